@@ -41,7 +41,8 @@ def ordered_position(df: DataFrame, hash_col: str, strata: Sequence[str] = (),
                          F.sum("__op_n").over(wpart).alias("__size"))
     local = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(hash_col)))
     d = d.withColumn("__rn", local)
-    j = lookup_join(d, offs, keys, "inner")
+    # offsets share lineage with ``d``; AQE broadcasts them at runtime when small
+    j = d.join(offs, keys, "inner")
     j = j.withColumn(out, (F.col("__off") + F.col("__rn")).cast("long"))
     if size_out:
         j = j.withColumnRenamed("__size", size_out)
