@@ -9,7 +9,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fitloom.sources.tables import table
@@ -87,3 +87,30 @@ def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
     prob = score.cast("double") / 1000.0
     return o.select("row_id", F.col("member").cast("int").alias("member"),
                     prob.alias("prob"), (prob >= 0.5).cast("int").alias("vote"))
+
+
+# Text features over whole documents (JVM regex functions, no UDF).
+DOC_FEATURES = ["log_len", "odd_share", "digit_share", "upper_share", "line_count", "lang_code", "source_code"]
+
+
+def documents_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents with numeric text features; label = quality, split by md5 order (1 in 5 test)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    n = F.greatest(F.length("text"), F.lit(1))
+    feats = d.join(lab, "doc_id").select(
+        F.col("doc_id").alias("row_id"), F.col("quality").alias("label"), "toxic",
+        F.log1p(F.length("text")).alias("log_len"),
+        (F.length(F.regexp_replace("text", "[a-zA-Z0-9 ]", "")) / n).alias("odd_share"),
+        (F.length(F.regexp_replace("text", "[^0-9]", "")) / n).alias("digit_share"),
+        (F.length(F.regexp_replace("text", "[^A-Z]", "")) / n).alias("upper_share"),
+        F.size(F.split("text", "\n")).cast("double").alias("line_count"),
+        "lang", "source")
+    langs = F.dense_rank().over(Window.orderBy("lang")) - 1
+    srcs = F.dense_rank().over(Window.orderBy("source")) - 1
+    lang_t = feats.select("lang").distinct().select("lang", langs.cast("double").alias("lang_code"))
+    src_t = feats.select("source").distinct().select("source", srcs.cast("double").alias("source_code"))
+    out = feats.join(lang_t, "lang").join(src_t, "source")
+    h = F.md5(F.col("row_id").cast("string"))
+    return out.withColumn("split", F.when(F.conv(F.substring(h, 1, 4), 16, 10).cast("int") % 5 == 0, "test")
+                          .otherwise("train"))
