@@ -52,8 +52,8 @@ def row_range(cols) -> Column:
     return row_max(cols) - row_min(cols)
 
 
-def _central(cols, power: int) -> Column:
-    mean = row_mean(cols)
+def _central(cols, power: int, mean: Column | None = None) -> Column:
+    mean = row_mean(cols) if mean is None else mean
     terms = []
     for c in _cols(cols):
         d = c - mean
@@ -63,22 +63,25 @@ def _central(cols, power: int) -> Column:
 
 
 # C3
-def row_var(cols) -> Column:
-    """Sample variance of the non-NULL values; fewer than two -> NULL."""
+def row_var(cols, mean: Column | None = None) -> Column:
+    """Sample variance of the non-NULL values; fewer than two -> NULL.
+
+    Pass ``mean`` (a column already holding ``row_mean``) to keep the generated
+    expression linear in the number of columns."""
     n = present_count(cols)
-    return F.when(n > 1, _central(cols, 2) / (n - 1))
+    return F.when(n > 1, _central(cols, 2, mean) / (n - 1))
 
 
-def row_std(cols) -> Column:
-    return F.sqrt(row_var(cols))
+def row_std(cols, mean: Column | None = None) -> Column:
+    return F.sqrt(row_var(cols, mean))
 
 
 # C4
-def row_skew(cols) -> Column:
+def row_skew(cols, mean: Column | None = None) -> Column:
     """Adjusted Fisher-Pearson skewness (pandas); constant row -> 0, fewer than three -> NULL."""
     n = present_count(cols).cast("double")
-    m2 = _central(cols, 2) / n
-    m3 = _central(cols, 3) / n
+    m2 = _central(cols, 2, mean) / n
+    m3 = _central(cols, 3, mean) / n
     g1 = m3 / F.pow(m2, F.lit(1.5))
     adj = F.sqrt(n * (n - 1)) / (n - 2)
     return F.when(n < 3, F.lit(None).cast("double")).when(m2 == 0, F.lit(0.0)).otherwise(g1 * adj)

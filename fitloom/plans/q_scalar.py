@@ -319,13 +319,15 @@ def c2_row_max_min(spark, sf):
 @register("c3_row_var_std", with_frames("basket", f"""
 SELECT id, {X.row_var()} AS sp_var, sqrt({X.row_var()}) AS sp_std FROM basket"""))
 def c3_row_var_std(spark, sf):
-    return basket(spark, sf).select("id", RW.row_var(SPEND_COLS).alias("sp_var"),
-                                    RW.row_std(SPEND_COLS).alias("sp_std"))
+    b = basket(spark, sf).withColumn("__m", RW.row_mean(SPEND_COLS))
+    v = RW.row_var(SPEND_COLS, F.col("__m"))
+    return b.withColumn("sp_var", v).select("id", "sp_var", F.sqrt("sp_var").alias("sp_std"))
 
 
 @register("c4_row_skew", with_frames("basket", f"SELECT id, round({X.row_skew()}, 9) AS sp_skew FROM basket"))
 def c4_row_skew(spark, sf):
-    return basket(spark, sf).select("id", F.round(RW.row_skew(SPEND_COLS), 9).alias("sp_skew"))
+    b = basket(spark, sf).withColumn("__m", RW.row_mean(SPEND_COLS))
+    return b.select("id", F.round(RW.row_skew(SPEND_COLS, F.col("__m")), 9).alias("sp_skew"))
 
 
 @register("c5_row_median", with_frames("basket", f"SELECT id, {X.row_median()} AS sp_median FROM basket"))

@@ -68,3 +68,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint to the shared checkpoint folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def keep_for_reuse(df: DataFrame) -> DataFrame:
+    """Persist a frame that several fits and the final apply read (memory, spilling to disk).
+
+    Lost executors recompute only their lost partitions from lineage.
+    """
+    from pyspark import StorageLevel
+
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
