@@ -134,7 +134,8 @@ def attach_group_stats(df: DataFrame, by, spec: dict[str, Sequence[str]], prefix
             if col == "*":
                 e = F.count(F.lit(1))
             elif s == "nunique1":
-                e = (F.count_distinct(F.col(col)) == 1).cast("int")
+                # exactly one distinct non-NULL value <=> min = max: partial aggregates, no distinct sets
+                e = F.coalesce(F.min(F.col(col)) == F.max(F.col(col)), F.lit(False)).cast("int")
             elif s == "median" and not exact_median:
                 e = F.percentile_approx(F.col(col), 0.5, 100_000)
             else:
@@ -151,18 +152,33 @@ def group_size(df: DataFrame, by, out: str = "g_size") -> DataFrame:
 
 
 # G3 ---------------------------------------------------------------------------
-def group_avg_rank(df: DataFrame, by, col: str, out: str | None = None) -> DataFrame:
+def group_avg_rank(df: DataFrame, by, col: str, out: str | None = None, buckets: int = 128) -> DataFrame:
     """Average rank (ties share the mean of their positions) of ``col`` within its group.
 
-    Rows collapse to (group, value, n); a running count over the distinct values
-    of each group gives rank_lo; avg rank = rank_lo + (n + 1) / 2.
+    Rows collapse to (group, value, n). Values are cut into ``buckets`` ranges by
+    approximate global quantile edges (any monotone cut keeps the order), so
+    the running count runs inside (group, bucket) partitions and a hot group is
+    spread over many tasks; each bucket's offset comes from a small (group,
+    bucket) count table. avg rank = rows below + (n + 1) / 2.
     """
     by = [by] if isinstance(by, str) else list(by)
     out = out or f"{col}_grank"
     counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*by).orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(*by, col, (F.coalesce(F.sum("__n").over(w), F.lit(0))
-                                     + (F.col("__n") + 1) / 2.0).alias(out))
+    probs = [i / buckets for i in range(1, buckets)]
+    edges = df.agg(F.percentile_approx(col, probs, 10 * buckets).alias("e")).first()["e"] or []
+    edges = sorted(set(edges))
+    bucket = F.lit(0)
+    if edges:
+        arr = F.array(*[F.lit(float(e)) for e in edges])
+        bucket = F.size(F.filter(arr, lambda e: e < F.col(col)))
+    counts = counts.withColumn("__b", bucket)
+    bt = counts.groupBy(*by, "__b").agg(F.sum("__n").alias("__bn"))
+    wb = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    bt = bt.select(*by, "__b", F.coalesce(F.sum("__bn").over(wb), F.lit(0)).alias("__off"))
+    w = Window.partitionBy(*by, "__b").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
+    local = counts.withColumn("__below", F.coalesce(F.sum("__n").over(w), F.lit(0)))
+    ranks = local.join(bt, by + ["__b"]).select(
+        *by, col, (F.col("__off") + F.col("__below") + (F.col("__n") + 1) / 2.0).alias(out))
     return lookup_join(df, ranks, by + [col], "left")
 
 

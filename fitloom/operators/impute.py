@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from fitloom.functions.joins import lookup_join, scalar_row
 from fitloom.functions.parse import tolerant_bool
+from fitloom.functions.quantiles import exact_quantiles
 from fitloom.functions.rowwise import row_sum
 from fitloom.operators.encode import fit_standard, one_hot
 from fitloom.operators.groupstats import group_mode
@@ -32,7 +33,10 @@ def fill_constant(df: DataFrame, values: Mapping[str, object], suffix: str = "")
 
 # D2 ---------------------------------------------------------------------------
 def fit_global_median(train: DataFrame, cols: Sequence[str], exact: bool = True) -> dict:
-    return scalar_row(train.agg(*[_median(c, exact).alias(c) for c in cols]))
+    """Median per column: exact through the bounded-memory quantile search, or the one-pass sketch."""
+    if exact:
+        return {c: exact_quantiles(train, c, [0.5])[0] for c in cols}
+    return scalar_row(train.agg(*[_median(c, False).alias(c) for c in cols]))
 
 
 # D3 ---------------------------------------------------------------------------
@@ -70,7 +74,8 @@ def group_stat_fill(df: DataFrame, col: str, key: str, out: str | None = None, s
     agg = _median(col, exact) if stat == "median" else F.avg(col)
     table = src.where(F.col(key).isNotNull()).groupBy(key).agg(agg.alias("__fill"))
     if default == "global":
-        default = scalar_row(src.agg(agg.alias("g")))["g"]
+        default = (exact_quantiles(src, col, [0.5])[0] if stat == "median" and exact
+                   else scalar_row(src.agg(agg.alias("g")))["g"])
     j = lookup_join(df, table, key, "left")
     fill = F.col("__fill") if default is None else F.coalesce(F.col("__fill"), F.lit(default))
     return j.withColumn(out, F.coalesce(F.col(col), fill)).drop("__fill")

@@ -47,3 +47,16 @@ def test_group_stats_broadcast_plan(spark):
     df = spark.range(1000).select((F.col("id") % 7).alias("g"), F.col("id").cast("double").alias("x"))
     plan = G.attach_group_stats(df, "g", {"x": ["mean"]})._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
+
+
+def test_exact_quantiles_match_percentile(spark):
+    from fitloom.functions.quantiles import exact_quantiles
+
+    rows = [((i * 7919) % 1013 / 7.0 if i % 5 else 3.0,) for i in range(3000)] + [(None,)] * 5
+    df = spark.createDataFrame(rows, "x double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    want = df.agg(F.percentile("x", F.array(*[F.lit(p) for p in probs])).alias("q")).first()["q"]
+    # a tiny collect bound forces several narrowing passes
+    got = exact_quantiles(df, "x", probs, bins=8, max_collect=20)
+    assert got == want
+    assert exact_quantiles(df, "x", probs) == want
