@@ -121,3 +121,55 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], bins: int =
         else:
             out.append((hi_r - pos) * lv + (pos - lo_r) * hv)
     return out
+
+
+def group_quantiles(df: DataFrame, by, col: str, probs: Sequence[float], names: Sequence[str] | None = None,
+                    buckets: int = 128) -> DataFrame:
+    """Exact linear-interpolated quantiles of ``col`` per group, skew-safe.
+
+    Rows collapse to (group, value, count) with partial aggregation. Each
+    value gets its rank range [start, start + count) from a running count that
+    runs inside (group, value bucket) partitions -- buckets are cut by
+    approximate global quantiles, so a hot group is spread over many tasks --
+    plus the bucket's offset. The order statistics are then picked with
+    conditional aggregates per group; no task holds a group's values.
+    Matches Spark ``percentile`` (pos = (n - 1) * p).
+    """
+    from pyspark.sql import Window
+
+    by = [by] if isinstance(by, str) else list(by)
+    names = list(names) if names else [f"{col}_q{str(p).replace('.', '_')}" for p in probs]
+    x = df.where(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("__v"))
+    counts = x.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    edges = x.agg(F.percentile_approx("__v", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("e")).first()["e"]
+    edges = sorted(set(edges or []))
+    bucket = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < F.col("__v"))) if edges \
+        else F.lit(0)
+    counts = counts.withColumn("__b", bucket)
+    bt = counts.groupBy(*by, "__b").agg(F.sum("__c").alias("__bn"))
+    wb = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    bt = bt.select(*by, "__b", F.coalesce(F.sum("__bn").over(wb), F.lit(0)).alias("__off"),
+                   F.sum("__bn").over(Window.partitionBy(*by)).alias("__n"))
+    w = Window.partitionBy(*by, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    lb = counts.withColumn("__lb", F.coalesce(F.sum("__c").over(w), F.lit(0)))
+    bt = bt.select(*[F.col(c).alias(f"__k_{c}") for c in by], "__b", "__off", "__n").withColumnRenamed("__b", "__kb")
+    cond = F.col("__b") == F.col("__kb")
+    for c in by:                                    # NULL group keys form a group, as in groupBy
+        cond = cond & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+    ranked = lb.join(bt, cond).drop("__kb", *[f"__k_{c}" for c in by])
+    start = F.col("__off") + F.col("__lb")
+    end = start + F.col("__c")
+    aggs = [F.first("__n").alias("__n")]
+    for i, p in enumerate(probs):
+        pos = (F.col("__n") - 1).cast("double") * F.lit(float(p))
+        lo, hi = F.floor(pos), F.ceil(pos)
+        aggs.append(F.max(F.when((start <= lo) & (lo < end), F.col("__v"))).alias(f"__lo{i}"))
+        aggs.append(F.max(F.when((start <= hi) & (hi < end), F.col("__v"))).alias(f"__hi{i}"))
+    g = ranked.groupBy(*by).agg(*aggs)
+    outs = []
+    for i, (p, name) in enumerate(zip(probs, names)):
+        pos = (F.col("__n") - 1).cast("double") * F.lit(float(p))
+        lo, hi = F.floor(pos), F.ceil(pos)
+        lv, hv = F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        outs.append(F.when((hi == lo) | (lv == hv), lv).otherwise((hi - pos) * lv + (pos - lo) * hv).alias(name))
+    return g.select(*by, *outs)

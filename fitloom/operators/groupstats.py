@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fitloom.functions.joins import lookup_join
+from fitloom.functions.quantiles import group_quantiles
 
 STAT_FUNCS = {
     "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
@@ -63,8 +64,9 @@ def label_rate(df: DataFrame, col: str, label: str) -> DataFrame:
 
 # F5 ---------------------------------------------------------------------------
 def filtered_median(df: DataFrame, cond: Column, by: str, col: str, exact: bool = True) -> DataFrame:
-    m = F.median(col) if exact else F.percentile_approx(col, 0.5, 100_000)
-    return df.where(cond).groupBy(by).agg(m.alias(f"{col}_median"))
+    if exact:
+        return group_quantiles(df.where(cond), by, col, [0.5], [f"{col}_median"])
+    return df.where(cond).groupBy(by).agg(F.percentile_approx(col, 0.5, 100_000).alias(f"{col}_median"))
 
 
 # F6 ---------------------------------------------------------------------------
@@ -127,10 +129,13 @@ def attach_group_stats(df: DataFrame, by, spec: dict[str, Sequence[str]], prefix
     std, min, max, sum, count, median, var, nunique1 (exactly one distinct value).
     """
     by = [by] if isinstance(by, str) else list(by)
-    exprs = []
+    exprs, medians = [], []
     for col, stats in spec.items():
         for s in stats:
             name = f"{prefix}_{'size' if col == '*' else col + '_' + s}"
+            if s == "median" and exact_median:
+                medians.append((col, name))
+                continue
             if col == "*":
                 e = F.count(F.lit(1))
             elif s == "nunique1":
@@ -143,7 +148,12 @@ def attach_group_stats(df: DataFrame, by, spec: dict[str, Sequence[str]], prefix
             if s in ("std", "var") and std_fill is not None:
                 e = F.coalesce(e, F.lit(std_fill))
             exprs.append(e.alias(name))
-    stats = df.groupBy(*by).agg(*exprs)
+    tables = [df.groupBy(*by).agg(*exprs)] if exprs else []
+    # exact medians: rank ranges over (group, value) counts, no per-group value sets in one task
+    tables += [group_quantiles(df, by, col, [0.5], [name]) for col, name in medians]
+    stats = tables[0]
+    for t in tables[1:]:
+        stats = stats.join(t, by, "full")
     return lookup_join(df, stats, by, "left")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from fitloom.functions.joins import lookup_join, scalar_row
 from fitloom.functions.parse import tolerant_bool
-from fitloom.functions.quantiles import exact_quantiles
+from fitloom.functions.quantiles import exact_quantiles, group_quantiles
 from fitloom.functions.rowwise import row_sum
 from fitloom.operators.encode import fit_standard, one_hot
 from fitloom.operators.groupstats import group_mode
@@ -26,6 +26,13 @@ def _median(c: str, exact: bool = True) -> Column:
     return F.median(c) if exact else F.percentile_approx(c, 0.5, 100_000)
 
 
+def _median_table(df: DataFrame, key: str, col: str, name: str, exact: bool = True) -> DataFrame:
+    """Per-group median table: exact and skew-safe (rank ranges), or the one-pass sketch."""
+    if exact:
+        return group_quantiles(df, key, col, [0.5], [name])
+    return df.groupBy(key).agg(F.percentile_approx(col, 0.5, 100_000).alias(name))
+
+
 # D1 ---------------------------------------------------------------------------
 def fill_constant(df: DataFrame, values: Mapping[str, object], suffix: str = "") -> DataFrame:
     return df.withColumns({f"{c}{suffix}": F.coalesce(F.col(c), F.lit(v)) for c, v in values.items()})
@@ -72,7 +79,9 @@ def group_stat_fill(df: DataFrame, col: str, key: str, out: str | None = None, s
         src = src.where(where)
     src = src.where(F.col(col).isNotNull())
     agg = _median(col, exact) if stat == "median" else F.avg(col)
-    table = src.where(F.col(key).isNotNull()).groupBy(key).agg(agg.alias("__fill"))
+    keyed = src.where(F.col(key).isNotNull())
+    table = (_median_table(keyed, key, col, "__fill", exact) if stat == "median"
+             else keyed.groupBy(key).agg(agg.alias("__fill")))
     if default == "global":
         default = (exact_quantiles(src, col, [0.5])[0] if stat == "median" and exact
                    else scalar_row(src.agg(agg.alias("g")))["g"])
@@ -124,9 +133,9 @@ def cluster_fill(df: DataFrame, cluster: str, numeric: Sequence[str] = (), categ
     """Numeric: cluster median -> global median. Categorical: cluster mode -> fallback / global mode."""
     d = df
     if numeric:
-        med = d.groupBy(cluster).agg(*[_median(c, exact).alias(f"__m_{c}") for c in numeric])
         glob = fit_global_median(df, numeric, exact)
-        d = lookup_join(d, med, cluster, "left")
+        for c in numeric:
+            d = lookup_join(d, _median_table(df, cluster, c, f"__m_{c}", exact), cluster, "left")
         d = d.withColumns({c: F.coalesce(F.col(c), F.col(f"__m_{c}"), F.lit(glob[c])) for c in numeric})
         d = d.drop(*[f"__m_{c}" for c in numeric])
     for c in categorical:
@@ -143,19 +152,23 @@ def cluster_rate_gate(df: DataFrame, cluster: str, state: str, col: str, out: st
                       rate: float = 0.7, exact: bool = True) -> DataFrame:
     """Missing -> 0 when the cluster's state rate exceeds ``rate``, else the cluster median (NULL -> 0)."""
     out = out or col
-    st = df.groupBy(cluster).agg(F.avg(F.col(state).cast("double")).alias("__rate"),
-                                 _median(col, exact).alias("__med"))
+    st = df.groupBy(cluster).agg(F.avg(F.col(state).cast("double")).alias("__rate"))
+    st = st.join(_median_table(df, cluster, col, "__med", exact), cluster, "left")
     d = lookup_join(df, st, cluster, "left")
     fill = F.when(F.col("__rate") > rate, F.lit(0.0)).otherwise(F.coalesce(F.col("__med"), F.lit(0.0)))
     return d.withColumn(out, F.coalesce(F.col(col), fill)).drop("__rate", "__med")
 
 
-def _attach_per_clustering(df: DataFrame, clusterings: Sequence[str], agg_for, name: str) -> tuple[DataFrame, list]:
+def _attach_per_clustering(df: DataFrame, clusterings: Sequence[str], name: str, agg_for=None,
+                           table_for=None) -> tuple[DataFrame, list]:
+    """Attach one statistic per clustering: ``agg_for()`` gives an aggregate column, or
+    ``table_for(frame, key, out)`` gives a keyed table."""
     d, cols = df, []
     for i, cl in enumerate(clusterings):
-        t = df.groupBy(cl).agg(agg_for().alias(f"__{name}{i}"))
+        out = f"__{name}{i}"
+        t = table_for(df, cl, out) if table_for is not None else df.groupBy(cl).agg(agg_for().alias(out))
         d = lookup_join(d, t, cl, "left")
-        cols.append(F.col(f"__{name}{i}"))
+        cols.append(F.col(out))
     return d, cols
 
 
@@ -164,7 +177,8 @@ def multiview_median_fill(df: DataFrame, col: str, clusterings: Sequence[str], o
                           exact: bool = True) -> DataFrame:
     """Missing -> median of the per-clustering medians that exist, else the global median."""
     out = out or col
-    d, meds = _attach_per_clustering(df, clusterings, lambda: _median(col, exact), "mv")
+    d, meds = _attach_per_clustering(df, clusterings, "mv",
+                                     table_for=lambda f, k, o: _median_table(f, k, col, o, exact))
     glob = fit_global_median(df, [col], exact)[col]
     vals = F.array_sort(F.filter(F.array(*meds), lambda x: x.isNotNull()))
     n = F.size(vals)
@@ -179,21 +193,25 @@ def conditional_quantile_fill(df: DataFrame, col: str, cluster: str, state: str,
                               q: float = 0.7, out: str | None = None, exact: bool = True) -> DataFrame:
     """state true -> 0; VIP -> cluster quantile q; else cluster median; floor at 0; none -> 0."""
     out = out or col
-    qq = F.percentile(col, F.array(F.lit(q), F.lit(0.5))) if exact else \
-        F.percentile_approx(col, F.array(F.lit(q), F.lit(0.5)), 100_000)
-    t = df.groupBy(cluster).agg(qq.alias("__q"))
+    if exact:
+        t = group_quantiles(df, cluster, col, [q, 0.5], ["__q0", "__q1"])
+    else:
+        qq = F.percentile_approx(col, F.array(F.lit(q), F.lit(0.5)), 100_000)
+        t = df.groupBy(cluster).agg(qq.alias("__q")).select(cluster, F.col("__q")[0].alias("__q0"),
+                                                             F.col("__q")[1].alias("__q1"))
     d = lookup_join(df, t, cluster, "left")
     s, v = tolerant_bool(state, default=None), tolerant_bool(vip, default=None)
-    val = F.when(v == 1, F.col("__q")[0]).otherwise(F.col("__q")[1])
+    val = F.when(v == 1, F.col("__q0")).otherwise(F.col("__q1"))
     fill = F.when(s == 1, F.lit(0.0)).otherwise(F.coalesce(F.greatest(F.lit(0.0), val), F.lit(0.0)))
-    return d.withColumn(out, F.coalesce(F.col(col), fill)).drop("__q")
+    return d.withColumn(out, F.coalesce(F.col(col), fill)).drop("__q0", "__q1")
 
 
 # D13 --------------------------------------------------------------------------
 def vote_fill(df: DataFrame, col: str, clusterings: Sequence[str], out: str | None = None) -> DataFrame:
     """Missing boolean -> mean of the available per-cluster true-rates > 0.5; none -> False."""
     out = out or col
-    d, rates = _attach_per_clustering(df, clusterings, lambda: F.avg(tolerant_bool(col, None).cast("double")), "vr")
+    d, rates = _attach_per_clustering(df, clusterings, "vr",
+                                      agg_for=lambda: F.avg(tolerant_bool(col, None).cast("double")))
     present = sum(F.when(r.isNotNull(), 1).otherwise(0) for r in rates)
     total = sum(F.coalesce(r, F.lit(0.0)) for r in rates)
     fill = F.when(present > 0, (total / present) > 0.5).otherwise(F.lit(False))

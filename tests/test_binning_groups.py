@@ -60,3 +60,15 @@ def test_exact_quantiles_match_percentile(spark):
     got = exact_quantiles(df, "x", probs, bins=8, max_collect=20)
     assert got == want
     assert exact_quantiles(df, "x", probs) == want
+
+
+def test_group_quantiles_match_percentile(spark):
+    from fitloom.functions.quantiles import group_quantiles
+
+    rows = [(i % 4, float((i * 7919) % 101) if i % 9 else None) for i in range(2000)] + [(9, 1.0), (8, None)]
+    df = spark.createDataFrame(rows, "g int, x double")
+    probs = [0.25, 0.5, 0.7]
+    want = {r["g"]: list(r["q"]) for r in df.groupBy("g").agg(
+        F.percentile("x", F.array(*[F.lit(p) for p in probs])).alias("q")).collect() if r["q"] is not None}
+    got = {r["g"]: [r["a"], r["b"], r["c"]] for r in group_quantiles(df, "g", "x", probs, ["a", "b", "c"], 4).collect()}
+    assert got == want
