@@ -116,10 +116,29 @@ def one_hot(df: DataFrame, col: str, categories: Sequence, drop_first: bool = Tr
 
 
 # J8 ---------------------------------------------------------------------------
-def fit_ordinal(frame: DataFrame, col: str) -> DataFrame:
-    """Sorted codes 0..n-1 over the distinct non-NULL values (fit on train or on the union)."""
+def fit_ordinal(frame: DataFrame, col: str, buckets: int = 256) -> DataFrame:
+    """Sorted codes 0..n-1 over the distinct non-NULL values (fit on train or on the union).
+
+    The code is the position of the value among the distinct values, computed
+    inside monotone value buckets (string prefixes, or approximate quantile
+    ranges for numbers) with per-bucket offsets, so a high-cardinality column
+    is not ranked in one task.
+    """
+    from pyspark.sql import types as T
+
+    from fitloom.operators.folds import ordered_position
+
     d = frame.where(F.col(col).isNotNull()).select(col).distinct()
-    return d.select(col, (F.dense_rank().over(Window.orderBy(col)) - 1).cast("int").alias("code"))
+    if isinstance(frame.schema[col].dataType, T.StringType):
+        bucket = F.substring(F.col(col), 1, 2)
+    else:
+        edges = d.agg(F.percentile_approx(F.col(col).cast("double"), [i / buckets for i in range(1, buckets)],
+                                          10 * buckets).alias("e")).first()["e"] or []
+        edges = sorted(set(edges))
+        bucket = (F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < F.col(col).cast("double")))
+                  if edges else F.lit(0))
+    pos = ordered_position(d, col, bucket=bucket, out="__pos")
+    return pos.select(col, (F.col("__pos") - 1).cast("int").alias("code"))
 
 
 def apply_ordinal(df: DataFrame, table: DataFrame, col: str, out: str) -> DataFrame:

@@ -29,10 +29,14 @@ def md5_of(*cols, salt: Column | None = None) -> Column:
 
 def ordered_position(df: DataFrame, hash_col: str, strata: Sequence[str] = (),
                      order: Sequence[str] = (), prefix_len: int = 4,
-                     out: str = "pos", size_out: str | None = None) -> DataFrame:
-    """1-based position of each row in (order..., hash) order within its stratum."""
+                     out: str = "pos", size_out: str | None = None, bucket: Column | None = None) -> DataFrame:
+    """1-based position of each row in (order..., hash_col) order within its stratum.
+
+    ``bucket`` must be monotone in ``hash_col`` (default: its first ``prefix_len``
+    characters, which is monotone for strings)."""
     strata, order = list(strata), list(order)
-    d = df.withColumn("__b", F.substring(F.col(hash_col), 1, prefix_len))
+    b = F.substring(F.col(hash_col), 1, prefix_len) if bucket is None else bucket
+    d = df.withColumn("__b", b)
     keys = strata + order + ["__b"]
     counts = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__op_n"))
     wpart = Window.partitionBy(*strata) if strata else Window.partitionBy()

@@ -9,7 +9,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fitloom.sources.tables import table
@@ -106,10 +106,10 @@ def documents_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.length(F.regexp_replace("text", "[^A-Z]", "")) / n).alias("upper_share"),
         F.size(F.split("text", "\n")).cast("double").alias("line_count"),
         "lang", "source")
-    langs = F.dense_rank().over(Window.orderBy("lang")) - 1
-    srcs = F.dense_rank().over(Window.orderBy("source")) - 1
-    lang_t = feats.select("lang").distinct().select("lang", langs.cast("double").alias("lang_code"))
-    src_t = feats.select("source").distinct().select("source", srcs.cast("double").alias("source_code"))
+    from fitloom.operators.encode import fit_ordinal
+
+    lang_t = fit_ordinal(feats, "lang").select("lang", F.col("code").cast("double").alias("lang_code"))
+    src_t = fit_ordinal(feats, "source").select("source", F.col("code").cast("double").alias("source_code"))
     out = feats.join(lang_t, "lang").join(src_t, "source")
     h = F.md5(F.col("row_id").cast("string"))
     return out.withColumn("split", F.when(F.conv(F.substring(h, 1, 4), 16, 10).cast("int") % 5 == 0, "test")
