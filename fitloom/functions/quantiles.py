@@ -100,7 +100,22 @@ def _order_statistics(df: DataFrame, col: str, ranks: Sequence[int], n: int, lo:
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], bins: int = 1024,
                     max_collect: int = 50_000) -> list[float | None]:
-    """Linear-interpolated quantiles of the non-NULL values (same values as Spark ``percentile``)."""
+    """Linear-interpolated quantiles of the non-NULL values (same values as Spark ``percentile``).
+
+    The search makes several passes, so the single projected column is persisted
+    (memory, spilling to disk) for its duration and released afterwards.
+    """
+    from pyspark import StorageLevel
+
+    df = df.select(col).where(F.col(col).isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _exact_quantiles(df, col, probs, bins, max_collect)
+    finally:
+        df.unpersist()
+
+
+def _exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], bins: int,
+                     max_collect: int) -> list[float | None]:
     st = df.agg(F.count(F.col(col)).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi")).first()
     n = st["n"]
     if not n:

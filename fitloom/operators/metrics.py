@@ -252,9 +252,40 @@ def weight_search_auc(wide: DataFrame, label: str, prob_cols: Sequence[str], wei
 
 
 # Q8 ---------------------------------------------------------------------------
+def _partial_accuracy(prob_cols, label, weights):
+    """mapInPandas body: per partition, correct-prediction counts for every weight vector."""
+    import numpy as np
+    import pandas as pd
+
+    wmat = np.asarray(weights, dtype=float).T            # members x weights
+
+    def run(batches):
+        correct = np.zeros(wmat.shape[1], dtype=np.int64)
+        rows = 0
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            blend = np.round(pdf[list(prob_cols)].to_numpy(dtype=float) @ wmat, PREC)
+            y = pdf[label].to_numpy(dtype=np.int64)[:, None]
+            correct += ((blend > 0.5).astype(np.int64) == y).sum(axis=0)
+            rows += len(pdf)
+        yield pd.DataFrame({"w_id": np.arange(wmat.shape[1], dtype=np.int32), "correct": correct,
+                            "rows": np.full(wmat.shape[1], rows, dtype=np.int64)})
+    return run
+
+
 def weight_search_accuracy(wide: DataFrame, label: str, prob_cols: Sequence[str],
-                           weights: Sequence[Sequence[float]]) -> DataFrame:
-    """Accuracy of the rounded (half-to-even: 0.5 -> 0) blend for every normalised weight vector."""
+                           weights: Sequence[Sequence[float]], vectorised: bool = True) -> DataFrame:
+    """Accuracy of the rounded (half-to-even: 0.5 -> 0) blend for every normalised weight vector.
+
+    Vectorised: each task returns one (weight, correct, rows) row per weight
+    vector (one matrix product per Arrow batch), so the shuffle is tasks x
+    weights. Otherwise the same counts come from explode + hash aggregate.
+    """
+    if vectorised:
+        src = wide.select(F.col(label).cast("int").alias(label), *[F.col(c).cast("double") for c in prob_cols])
+        part = src.mapInPandas(_partial_accuracy(prob_cols, label, weights), "w_id int, correct long, rows long")
+        return part.groupBy("w_id").agg(_r(F.sum("correct") / F.sum("rows")).alias("accuracy"))
     n_w = len(weights)
     e = wide.select(F.col(label).alias("__y"), *prob_cols, F.explode(F.sequence(F.lit(0), F.lit(n_w - 1))).alias("w_id"))
     blend = None

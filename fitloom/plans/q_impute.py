@@ -20,8 +20,11 @@ def tol(c):
 
 
 def clustered(spark, sf):
+    """basket + fixed cluster ids, persisted: the cluster fits and the final fill all read it."""
+    from fitloom.session import keep_for_reuse
+
     b = basket(spark, sf)
-    return b.withColumns({f"cl{k}": (F.col("grp") % k).cast("int") for k in (6, 8, 10, 12)})
+    return keep_for_reuse(b.withColumns({f"cl{k}": (F.col("grp") % k).cast("int") for k in (6, 8, 10, 12)}))
 
 
 CL = "b AS (SELECT *, CAST(grp % 6 AS INTEGER) AS cl6, CAST(grp % 8 AS INTEGER) AS cl8, " \
