@@ -47,3 +47,18 @@ def test_query_matches_oracle(spark, sf, con, key):
 
 def test_every_oracle_has_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_stream_apply_matches_batch(spark, sf):
+    """The streaming apply of a fitted encoder gives the same rows as the batch apply."""
+    from pyspark.sql import functions as F
+
+    from fitloom.operators import encode as J
+    from fitloom.sources.tables import table
+
+    streamed = E.queries()["s1_stream_apply_encoder"](spark, sf)
+    orders = table(spark, sf, "orders")
+    fitted, _ = J.fit_frequency(orders.where(F.col("o_orderkey") % 3 != 0), "o_orderpriority")
+    batch = J.apply_lookup(orders.select("o_orderkey", "o_orderpriority"), fitted, "o_orderpriority", "freq",
+                           "priority_freq", 0.0)
+    assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
