@@ -23,55 +23,61 @@ from pyspark.sql import functions as F
 MAX_PASSES = 64
 
 
-def _order_statistics(df: DataFrame, col: str, ranks: Sequence[int], n: int, lo: float, hi: float,
-                      bins: int, max_collect: int) -> dict[int, float]:
-    x = F.col(col)
-    # open intervals: id -> [a, b, below, count]
-    intervals = {0: [lo, hi, 0, n]}
-    owner = {r: 0 for r in ranks}
-    result: dict[int, float] = {}
+def _order_statistics(long: DataFrame, targets: Sequence[tuple[int, int]], init: dict[int, tuple[int, float, float]],
+                      bins: int, max_collect: int) -> dict[tuple[int, int], float]:
+    """k-th smallest values for (column id, rank) targets over a long (__cid, __v) frame, all columns per pass."""
+    x, cid = F.col("__v"), F.col("__cid")
+    # open intervals: id -> [column id, a, b, below, count]
+    intervals = {i: [c, float(lo), float(hi), 0, n] for i, (c, (n, lo, hi)) in enumerate(sorted(init.items()))}
+    start = {c: i for i, (c, _) in enumerate(sorted(init.items()))}
+    owner = {t: start[t[0]] for t in targets}
+    result: dict[tuple[int, int], float] = {}
+
+    def inside(i):
+        c, a, b = intervals[i][:3]
+        return (cid == c) & x.between(a, b)
+
     for _ in range(MAX_PASSES):
-        for r, iid in list(owner.items()):
-            a, b, _, cnt = intervals[iid]
-            if a == b:
-                result[r] = a
-                del owner[r]
+        for t, iid in list(owner.items()):
+            if intervals[iid][1] == intervals[iid][2]:
+                result[t] = intervals[iid][1]
+                del owner[t]
         if not owner:
             break
         live = sorted(set(owner.values()))
-        small = [i for i in live if intervals[i][3] <= max_collect]
-        big = [i for i in live if intervals[i][3] > max_collect]
+        small = [i for i in live if intervals[i][4] <= max_collect]
+        big = [i for i in live if intervals[i][4] > max_collect]
         if small:
             cond = None
             for i in small:
-                c = x.between(intervals[i][0], intervals[i][1])
-                cond = c if cond is None else (cond | c)
-            pairs = sorted((row[0], row[1]) for row in
-                           df.where(cond).groupBy(col).agg(F.count(F.lit(1)).alias("n")).collect())
-            for r, iid in list(owner.items()):
+                cond = inside(i) if cond is None else (cond | inside(i))
+            pairs: dict[int, list] = {}
+            for row in long.where(cond).groupBy("__cid", "__v").agg(F.count(F.lit(1)).alias("n")).collect():
+                pairs.setdefault(row[0], []).append((row[1], row[2]))
+            for t, iid in list(owner.items()):
                 if iid not in small:
                     continue
-                a, b, below, _ = intervals[iid]
-                k = r - below
-                for v, c in pairs:
+                c, a, b, below, _ = intervals[iid]
+                k = t[1] - below
+                for v, n in sorted(pairs.get(c, [])):
                     if v < a or v > b:
                         continue
-                    if k < c:
-                        result[r] = float(v)
+                    if k < n:
+                        result[t] = float(v)
                         break
-                    k -= c
-                del owner[r]
+                    k -= n
+                del owner[t]
         if not big:
             continue
         iid_expr, bucket_expr, cond = None, None, None
         for i in big:
-            a, b = intervals[i][0], intervals[i][1]
-            inside = x.between(a, b)
+            a, b = intervals[i][1], intervals[i][2]
+            ins = inside(i)
             bk = F.least(F.lit(bins - 1), F.floor((x - F.lit(a)) / F.lit(b - a) * bins)).cast("int")
-            iid_expr = F.when(inside, F.lit(i)) if iid_expr is None else iid_expr.when(inside, F.lit(i))
-            bucket_expr = F.when(inside, bk) if bucket_expr is None else bucket_expr.when(inside, bk)
-            cond = inside if cond is None else (cond | inside)
-        hist = (df.where(cond).select(iid_expr.alias("i"), bucket_expr.alias("k"), x.alias("v"))
+            iid_expr = F.when(ins, F.lit(i)) if iid_expr is None else iid_expr.when(ins, F.lit(i))
+            bucket_expr = F.when(ins, bk) if bucket_expr is None else bucket_expr.when(ins, bk)
+            cond = ins if cond is None else (cond | ins)
+        hist = (long.where(cond).select(iid_expr.alias("i"), bucket_expr.alias("k"), x.alias("v"))
                 .groupBy("i", "k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"))
                 .collect())
         by_interval: dict[int, list] = {}
@@ -79,65 +85,74 @@ def _order_statistics(df: DataFrame, col: str, ranks: Sequence[int], n: int, lo:
             by_interval.setdefault(row["i"], []).append((row["k"], row["n"], row["mn"], row["mx"]))
         next_id = max(intervals) + 1
         new_ids: dict[tuple, int] = {}
-        for r, iid in list(owner.items()):
+        for t, iid in list(owner.items()):
             if iid not in by_interval:
                 continue
-            below = intervals[iid][2]
-            for k, c, mn, mx in sorted(by_interval[iid]):
-                if r - below < c:
+            below = intervals[iid][3]
+            for k, n, mn, mx in sorted(by_interval[iid]):
+                if t[1] - below < n:
                     key = (iid, k)
                     if key not in new_ids:
                         new_ids[key] = next_id
-                        intervals[next_id] = [float(mn), float(mx), below, c]
+                        intervals[next_id] = [intervals[iid][0], float(mn), float(mx), below, n]
                         next_id += 1
-                    owner[r] = new_ids[key]
+                    owner[t] = new_ids[key]
                     break
-                below += c
+                below += n
     if owner:
-        raise RuntimeError(f"quantile search did not converge for ranks {sorted(owner)}")
+        raise RuntimeError(f"quantile search did not converge for {sorted(owner)}")
     return result
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], bins: int = 1024,
-                    max_collect: int = 50_000) -> list[float | None]:
-    """Linear-interpolated quantiles of the non-NULL values (same values as Spark ``percentile``).
+def exact_quantiles_multi(df: DataFrame, cols: Sequence[str], probs: Sequence[float], bins: int = 1024,
+                          max_collect: int = 50_000) -> dict[str, list[float | None]]:
+    """Linear-interpolated quantiles of several columns (same values as Spark ``percentile``).
 
-    The search makes several passes, so the single projected column is persisted
-    (memory, spilling to disk) for its duration and released afterwards.
+    The columns are stacked into one long (column id, value) frame that is
+    persisted (memory, spilling to disk) for the few passes of the search, so
+    each pass is one job for all columns; it is released afterwards.
     """
     from pyspark import StorageLevel
 
-    df = df.select(col).where(F.col(col).isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+    cols = list(cols)
+    long = (df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("__cid"), F.col(c).cast("double").alias("__v"))
+                                          for i, c in enumerate(cols)])).alias("__s"))
+            .select("__s.__cid", "__s.__v").where(F.col("__v").isNotNull())
+            .persist(StorageLevel.MEMORY_AND_DISK))
     try:
-        return _exact_quantiles(df, col, probs, bins, max_collect)
+        st = {r["__cid"]: (r["n"], r["lo"], r["hi"]) for r in long.groupBy("__cid").agg(
+            F.count(F.lit(1)).alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi")).collect()}
+        targets, spots = set(), {}
+        for i in st:
+            n = st[i][0]
+            spots[i] = []
+            for p in probs:
+                pos = (n - 1) * float(p)
+                lo_r, hi_r = int(math.floor(pos)), int(math.ceil(pos))
+                spots[i].append((pos, lo_r, hi_r))
+                targets.update({(i, lo_r), (i, hi_r)})
+        vals = _order_statistics(long, sorted(targets), st, bins, max_collect) if st else {}
     finally:
-        df.unpersist()
-
-
-def _exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], bins: int,
-                     max_collect: int) -> list[float | None]:
-    st = df.agg(F.count(F.col(col)).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi")).first()
-    n = st["n"]
-    if not n:
-        return [None for _ in probs]
-    spots = []
-    ranks = set()
-    for p in probs:
-        pos = (n - 1) * float(p)
-        lo_r, hi_r = int(math.floor(pos)), int(math.ceil(pos))
-        spots.append((pos, lo_r, hi_r))
-        ranks.update((lo_r, hi_r))
-    vals = _order_statistics(df, col, sorted(ranks), n, float(st["lo"]), float(st["hi"]), bins, max_collect)
-    out = []
-    for pos, lo_r, hi_r in spots:
-        lv, hv = vals[lo_r], vals[hi_r]
-        if hi_r == lo_r or lv == hv:
-            out.append(lv)
-        else:
-            out.append((hi_r - pos) * lv + (pos - lo_r) * hv)
+        long.unpersist()
+    out = {}
+    for i, c in enumerate(cols):
+        if i not in st:
+            out[c] = [None for _ in probs]
+            continue
+        res = []
+        for pos, lo_r, hi_r in spots[i]:
+            lv, hv = vals[(i, lo_r)], vals[(i, hi_r)]
+            res.append(lv if hi_r == lo_r or lv == hv else (hi_r - pos) * lv + (pos - lo_r) * hv)
+        out[c] = res
     return out
 
 
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], bins: int = 1024,
+                    max_collect: int = 50_000) -> list[float | None]:
+    """Linear-interpolated quantiles of one column's non-NULL values (same values as Spark ``percentile``)."""
+    return exact_quantiles_multi(df, [col], probs, bins, max_collect)[col]
+
+
 def group_quantiles(df: DataFrame, by, col: str, probs: Sequence[float], names: Sequence[str] | None = None,
                     buckets: int = 128) -> DataFrame:
     """Exact linear-interpolated quantiles of ``col`` per group, skew-safe.

@@ -162,10 +162,10 @@ def apply_scale(df: DataFrame, params: dict[str, tuple[float, float]], suffix: s
 # K2 ---------------------------------------------------------------------------
 def fit_robust(train: DataFrame, cols: Sequence[str], exact: bool = True) -> dict[str, tuple[float, float]]:
     """Median and inter-quartile range per column; a zero range scales by 1."""
-    from fitloom.functions.quantiles import exact_quantiles
+    from fitloom.functions.quantiles import exact_quantiles_multi
 
     if exact:
-        r = {c: exact_quantiles(train, c, [0.25, 0.5, 0.75]) for c in cols}
+        r = exact_quantiles_multi(train, cols, [0.25, 0.5, 0.75])
     else:
         arr = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
         r = scalar_row(train.agg(*[F.percentile_approx(c, arr, 100_000).alias(c) for c in cols]))

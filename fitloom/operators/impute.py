@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from fitloom.functions.joins import lookup_join, scalar_row
 from fitloom.functions.parse import tolerant_bool
-from fitloom.functions.quantiles import exact_quantiles, group_quantiles
+from fitloom.functions.quantiles import exact_quantiles, exact_quantiles_multi, group_quantiles
 from fitloom.functions.rowwise import row_sum
 from fitloom.operators.encode import fit_standard, one_hot
 from fitloom.operators.groupstats import group_mode
@@ -42,7 +42,7 @@ def fill_constant(df: DataFrame, values: Mapping[str, object], suffix: str = "")
 def fit_global_median(train: DataFrame, cols: Sequence[str], exact: bool = True) -> dict:
     """Median per column: exact through the bounded-memory quantile search, or the one-pass sketch."""
     if exact:
-        return {c: exact_quantiles(train, c, [0.5])[0] for c in cols}
+        return {c: v[0] for c, v in exact_quantiles_multi(train, cols, [0.5]).items()}
     return scalar_row(train.agg(*[_median(c, False).alias(c) for c in cols]))
 
 

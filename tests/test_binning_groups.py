@@ -72,3 +72,17 @@ def test_group_quantiles_match_percentile(spark):
         F.percentile("x", F.array(*[F.lit(p) for p in probs])).alias("q")).collect() if r["q"] is not None}
     got = {r["g"]: [r["a"], r["b"], r["c"]] for r in group_quantiles(df, "g", "x", probs, ["a", "b", "c"], 4).collect()}
     assert got == want
+
+
+def test_exact_quantiles_multi_columns(spark):
+    from fitloom.functions.quantiles import exact_quantiles_multi
+
+    df = spark.range(5000).select((F.col("id") % 97).cast("double").alias("a"),
+                                  F.when(F.col("id") % 4 == 0, None).otherwise(F.col("id") * 0.5).alias("b"),
+                                  F.lit(None).cast("double").alias("c"))
+    probs = [0.2, 0.5, 0.9]
+    got = exact_quantiles_multi(df, ["a", "b", "c"], probs, bins=16, max_collect=50)
+    for col in ("a", "b"):
+        want = df.agg(F.percentile(col, F.array(*[F.lit(p) for p in probs])).alias("q")).first()["q"]
+        assert got[col] == want
+    assert got["c"] == [None, None, None]
