@@ -220,6 +220,13 @@ def q5_best_threshold_accuracy(spark, sf):
     return Q.best_threshold(scored(spark, sf), "label", "prob", 4000, 6000, 100, "accuracy")
 
 
+@register("q5_best_threshold_accuracy_fine", with_frames("basket preds", _scan_sql(4500, 5500, 10)
+          + " SELECT t_units, 'accuracy' AS metric, accuracy AS value FROM m ORDER BY accuracy DESC, t_units LIMIT 1"))
+def q5_best_threshold_accuracy_fine(spark, sf):
+    """Accuracy over 0.450 .. 0.550 by 0.001 (101 thresholds) in the same single bucket pass."""
+    return Q.best_threshold(scored(spark, sf), "label", "prob", 4500, 5500, 10, "accuracy")
+
+
 _PANEL = [4000, 4500, 5500, 6000]
 
 
