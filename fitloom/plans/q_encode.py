@@ -17,7 +17,10 @@ MD5 = "md5(CAST(id AS VARCHAR))"
 
 
 def split_frames(spark, sf):
-    b = basket(spark, sf)
+    """basket persisted once: the fits read the training rows, the apply reads all rows."""
+    from fitloom.session import keep_for_reuse
+
+    b = keep_for_reuse(basket(spark, sf))
     return b, b.where(F.col("split") == "train")
 
 
