@@ -19,7 +19,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fitloom.functions.joins import lookup_join
 
 PREC = 12
 

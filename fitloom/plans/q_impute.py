@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fitloom.functions import rowwise as RW
 from fitloom.operators import impute as D
 from fitloom.plans import sqlexpr as X
 from fitloom.plans.registry import register
