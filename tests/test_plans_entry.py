@@ -42,3 +42,33 @@ def test_registry_covers_inventory():
         ids = {p for p in prefixes if p[0] == fam and p[1:].rstrip("b").isdigit()}
         assert len(ids) >= n, (fam, sorted(ids))
     assert {f"p{i}" for i in range(1, 19)} <= prefixes
+
+
+def test_prediction_store_prunes_member_partitions(spark, sf):
+    from fitloom.sources import io as A
+    from fitloom.sources.frames import preds
+
+    path = A.save_predictions(preds(spark, sf), A.scratch_path(spark, "test_preds"))
+    df = A.load_predictions(spark, path, members=[1, 3])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "member" in plan
+    assert sorted(r[0] for r in df.select("member").distinct().collect()) == [1, 3]
+
+
+def test_csv_scan_forces_string_id(spark, sf):
+    from fitloom.sources import io as A
+    from fitloom.sources.tables import table
+
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    path = A.csv_sink(o, A.scratch_path(spark, "test_csv"))
+    back = A.csv_scan(spark, path, "o_orderkey long, o_totalprice double", id_col="o_orderkey")
+    assert dict(back.dtypes)["o_orderkey"] == "string" and back.count() == o.count()
+
+
+def test_submission_read_back(spark, sf):
+    from fitloom.operators.ensemble import average_blend
+    from fitloom.sources import io as A
+    from fitloom.sources.frames import preds
+
+    sub = A.write_submission(average_blend(preds(spark, sf)), "row_id", "pred", A.scratch_path(spark, "test_sub"))
+    assert sub.dtypes == [("id", "string"), ("pred", "boolean")]
