@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fitloom.llm.common import table
 from fitloom.llm.kd_shards import kd_shards
+from fitloom.llm.line_dedup import dedup_lines
 from fitloom.llm.mixing import mix
+from fitloom.llm.packing import pack
 from fitloom.llm.quality_rules import judge
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chunks", "n_removed")
+
+
 def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents"), n_shards=16)
 
@@ -26,10 +32,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept", "posterior")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_kd_shards": op3_kd_shards,
     "op4_mixing": op4_mixing,
     "op6_quality_rules": op6_quality_rules,
+    "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {}
