@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(df: DataFrame, label: str) -> DataFrame:
+def scratch(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     Cuts the lineage: every executor reads the same files, so a lost executor
@@ -28,7 +28,7 @@ def scratch(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -41,3 +41,12 @@ def unit_hash(*cols: Column) -> Column:
     """Uniform double in (0, 1) from the hash of ``cols``; the same in every run."""
     h = F.shiftrightunsigned(F.xxhash64(*cols), 11)
     return (h.cast("double") + F.lit(0.5)) / F.lit(float(2**53))
+
+
+def local_rows(spark: SparkSession, rows: list[tuple], schema: list[tuple[str, str]]) -> DataFrame:
+    """A small table of numbers as a literal relation: no Python rows travel to executors."""
+    names = ", ".join(n for n, _ in schema)
+    if not rows:
+        return spark.sql("select " + ", ".join(f"cast(null as {t}) {n}" for n, t in schema) + " where false")
+    values = ", ".join("(" + ", ".join(f"cast({v!r} as {t})" for v, (_, t) in zip(r, schema, strict=True)) + ")" for r in rows)
+    return spark.sql(f"select * from values {values} as t({names})")

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fitloom.llm.common import scratch
+from fitloom.llm.common import local_rows, scratch
 
 VALUE_BITS = 24
 TIE_BITS = 24
@@ -57,15 +57,16 @@ def kd_shards(docs: DataFrame, n_shards: int = 16, dimensions: list[Column] | No
               tolerance: float = 1e-3) -> DataFrame:
     """Shard every row of ``docs``; returns doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    spark = docs.sparkSession
     dims = dimensions or default_dimensions(docs)
     points = scratch(docs.select(
         "doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.shiftrightunsigned(F.xxhash64("doc_id", text), 64 - TIE_BITS).alias("tie"),
+        F.lit(0).alias("leaf"),
         *[d.cast("double").alias(f"d{i}") for i, d in enumerate(dims)],
     ), "kd-points")
-    leaves = points.withColumn("leaf", F.lit(0))
     ranges = points.agg(
         F.count("*").alias("n"),
         *[f(f"d{i}").alias(f"{name}{i}") for i in range(len(dims)) for name, f in (("lo", F.min), ("hi", F.max))],
@@ -77,7 +78,7 @@ def kd_shards(docs: DataFrame, n_shards: int = 16, dimensions: list[Column] | No
             return F.lit(0).cast("long")
         return F.floor((F.col(f"d{i}") - F.lit(lo)) / F.lit(hi - lo) * F.lit(2**VALUE_BITS - 1)).cast("long")
 
-    keyed = leaves.select("doc_id", "size", "text_crc32", "tie", "leaf", *[place(i).alias(f"k{i}") for i in range(len(dims))])
+    keyed = points.select("doc_id", "size", "text_crc32", "tie", "leaf", *[place(i).alias(f"k{i}") for i in range(len(dims))])
     shards_of, next_leaf = {0: (0, n_shards)}, 1
     while any(k > 1 for _, k in shards_of.values()):
         cuts = _cuts(keyed, {leaf: k for leaf, (_, k) in shards_of.items() if k > 1}, len(dims), tolerance)
@@ -91,12 +92,12 @@ def kd_shards(docs: DataFrame, n_shards: int = 16, dimensions: list[Column] | No
             rows.append((leaf, dim, cut, next_leaf))
             next_leaf += 1
         shards_of = grown
-        table = keyed.sparkSession.createDataFrame(rows, "leaf int, cut_dim int, cut long, right_leaf int")
+        table = local_rows(spark, rows, [("leaf", "int"), ("cut_dim", "int"), ("cut", "bigint"), ("right_leaf", "int")])
         # one row per open leaf: never more than n_shards rows
         keyed = keyed.join(F.broadcast(table), "leaf", "left")
         keyed = keyed.withColumn("leaf", F.when(_key(F.col("cut_dim"), len(dims)) >= F.col("cut"), F.col("right_leaf"))
                                  .otherwise(F.col("leaf"))).drop("cut_dim", "cut", "right_leaf")
-    names = keyed.sparkSession.createDataFrame([(leaf, first) for leaf, (first, _) in shards_of.items()], "leaf int, shard int")
+    names = local_rows(spark, [(leaf, first) for leaf, (first, _) in shards_of.items()], [("leaf", "int"), ("shard", "int")])
     placed = keyed.join(F.broadcast(names), "leaf").select("doc_id", "size", "text_crc32", "tie", "shard")
     return _number_slots(placed, max(1, -(-ranges["n"] // (n_shards * ROWS_PER_SLOT_BUCKET))))
 
@@ -121,7 +122,7 @@ def _cuts(keyed: DataFrame, open_leaves: dict[int, int], n_dims: int, tolerance:
         going = [(leaf, s["dim"], s["prefix"]) for leaf, s in state.items() if s["cut"] is None]
         if not going:
             break
-        table = spark.createDataFrame(going, "leaf int, dim int, prefix long")
+        table = local_rows(spark, going, [("leaf", "int"), ("dim", "int"), ("prefix", "bigint")])
         hit = keyed.join(F.broadcast(table), "leaf").withColumn("key", _key(F.col("dim"), n_dims))
         if done:
             hit = hit.where(F.shiftright("key", bits - done) == F.col("prefix"))

@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fitloom.llm.common import SPACE_CHARS, SPACE_CLASS, scratch
+from fitloom.llm.common import SPACE_CHARS, SPACE_CLASS, local_rows, scratch
 
 KEEP_AT = 0.5
 # The base rule's limits.
@@ -145,7 +145,7 @@ def judge(docs: DataFrame, keep: list[Column | str]) -> DataFrame:
                      | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     # at most 3 ** len(RULES) rows, however large the corpus
     counts = {r["votes"]: r["n"] for r in s.groupBy("votes").agg(F.count("*").alias("n")).collect()}
-    table = docs.sparkSession.createDataFrame([(c, p) for c, p in fit(counts, len(RULES)).items()], "votes int, posterior double")
+    table = local_rows(docs.sparkSession, list(fit(counts, len(RULES)).items()), [("votes", "int"), ("posterior", "double")])
     s = s.join(F.broadcast(table), "votes", "left")
     return s.withColumn("kept", ~F.col("base_failed") & (F.coalesce("posterior", F.lit(0.0)) >= KEEP_AT))
 
