@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fitloom.llm.bag_minhash import near_duplicates
 from fitloom.llm.common import table
 from fitloom.llm.kd_shards import kd_shards
 from fitloom.llm.line_dedup import dedup_lines
@@ -14,6 +15,10 @@ from fitloom.llm.packing import pack
 from fitloom.llm.quality_rules import judge
 
 
+def op1_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chunks", "n_removed")
 
@@ -37,6 +42,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bag_minhash": op1_bag_minhash,
     "op2_line_dedup": op2_line_dedup,
     "op3_kd_shards": op3_kd_shards,
     "op4_mixing": op4_mixing,
