@@ -57,14 +57,17 @@ def source_targets(sizes: DataFrame, budget_share: float = 1.5, max_epochs: int
     return t.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level"), F.lit(float("inf"))) * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, quality: Column | None = None, budget_share: float = 1.5, max_epochs: int = 2) -> DataFrame:
-    """doc_id, size, source_size, target, taken, times (copies the mix takes), text_key for every row."""
+def mix(docs: DataFrame, quality: Column | None = None, budget_share: float = 1.5, max_epochs: int = 2,
+        keep: list[str] | None = None) -> DataFrame:
+    """``row`` (the ``keep`` columns, doc_id alone by default), size, source_size, target, taken and
+    times (copies the mix takes) for every row."""
     text = F.col("text")
     rows = scratch(docs.select(
-        "doc_id", "source", word_count(text).alias("size"),
+        F.struct(*[F.col(c) for c in keep or ["doc_id"]]).alias("row"), "doc_id", "source", word_count(text).alias("size"),
         unit_hash(F.col("doc_id"), F.coalesce(text, F.lit(""))).alias("u"),
         F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"),
-        (quality if quality is not None else quality_weight(text)).alias("quality")), "mix-rows")
+        (quality if quality is not None else quality_weight(text)).alias("quality")),
+        "mix-rows", "zstd" if keep else "snappy")
     rows = (rows.withColumn("key", -F.log("u") / F.coalesce("quality", F.lit(0.05)))
             # 1 - exp(-key) keeps the order of the keys and spreads them over (0, 1)
             .withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * KEY_BUCKETS), F.lit(KEY_BUCKETS - 1)).cast("int")))
@@ -91,14 +94,10 @@ def mix(docs: DataFrame, quality: Column | None = None, budget_share: float = 1.
     # a third epoch never comes: whole epochs use up a target that is a multiple of the size
     times = F.least(F.col("epochs") + F.col("more"), F.lit(max_epochs)).cast("int")
     return others.unionByName(at_border).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"), times.alias("times"), "text_key")
+        "row", "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"), times.alias("times"))
 
 
 def mixed_documents(docs: DataFrame, budget_share: float = 1.5, max_epochs: int = 2) -> DataFrame:
     """The mixture itself: each document as often as the mix takes it, with the columns of ``docs``."""
-    names = docs.columns
-    times = (mix(docs, budget_share=budget_share, max_epochs=max_epochs).where("times > 0")
-             .groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text")).agg(F.max("times").alias("__times")))
-    text_key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["__id"]) & (text_key == times["__text"]))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[docs[c] for c in names])
+    taken = mix(docs, budget_share=budget_share, max_epochs=max_epochs, keep=docs.columns).where("times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -62,10 +62,9 @@ def _repeat_words(grams: Column, n_grams: Column) -> Column:
     return F.array_sort(F.transform(F.filter(grams, repeated), lambda g: g["p"]))
 
 
-def signals(docs: DataFrame, keep: list[Column | str]) -> DataFrame:
-    """``keep`` columns plus the signals of ``text``; one row per row of ``docs``."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select(*keep, text.alias("__text"))
+def signals(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The ``keep`` columns of ``docs`` as one struct ``row``, and the signals of ``text``; one row per row."""
+    d = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("__text"))
     t = F.col("__text")
     packed = F.translate(t, SPACE_CHARS, "")
     d = d.withColumn("__words", F.filter(F.split(t, SPACE_CLASS + "+", -1), lambda w: w != ""))
@@ -83,8 +82,7 @@ def signals(docs: DataFrame, keep: list[Column | str]) -> DataFrame:
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.withColumn("__lines", lines).withColumn("n_lines", F.size("__lines").cast("long"))
     return d.select(
-        *[F.col(c) if isinstance(c, str) else F.col(docs.select(c).columns[0]) for c in keep],
-        "n_words", F.length(packed).cast("long").alias("word_chars"),
+        "row", "n_words", F.length(packed).cast("long").alias("word_chars"),
         F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.col("n_lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words", "n_lines",
@@ -138,9 +136,9 @@ def fit(counts: dict[int, int], n_rules: int) -> dict[int, float]:
     return {c: posterior(c) for c in counts}
 
 
-def judge(docs: DataFrame, keep: list[Column | str]) -> DataFrame:
-    """``keep`` columns, signals, base_failed, posterior and kept for every row of ``docs``."""
-    s = scratch(signals(docs, keep).withColumn("votes", vote_code()), "quality-signals")
+def judge(docs: DataFrame, keep: list[str], compression: str = "snappy") -> DataFrame:
+    """``row`` (the ``keep`` columns), signals, base_failed, posterior and kept for every row of ``docs``."""
+    s = scratch(signals(docs, keep).withColumn("votes", vote_code()), "quality-signals", compression)
     s = s.withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
                      | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     # at most 3 ** len(RULES) rows, however large the corpus
@@ -151,12 +149,5 @@ def judge(docs: DataFrame, keep: list[Column | str]) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, columns unchanged.
-
-    Verdicts are joined back by doc_id and a hash of the text, so rows that share an
-    id but not a text are judged apart, and repeated rows alike.
-    """
-    key = [F.col("doc_id").alias("__id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("__text_key")]
-    good = judge(docs, key).where("kept").select("__id", "__text_key").distinct()
-    text_key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["__id"]) & (text_key == good["__text_key"]), "left_semi")
+    """The rows of ``docs`` that are kept, columns unchanged. Rows wait for the fit on disk: nothing is shuffled."""
+    return judge(docs, docs.columns, "zstd").where("kept").select("row.*")
