@@ -12,6 +12,7 @@ from fitloom.llm.kd_shards import kd_shards
 from fitloom.llm.line_dedup import dedup_lines
 from fitloom.llm.mixing import mix
 from fitloom.llm.packing import pack
+from fitloom.llm.pii import digest
 from fitloom.llm.quality_rules import judge
 
 
@@ -37,6 +38,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept", "posterior")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_kd_shards": op3_kd_shards,
     "op4_mixing": op4_mixing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_pii": op7_pii,
     "op10_packing": op10_packing,
 }
 
