@@ -33,17 +33,18 @@ DIVISOR = 4
 ANCHOR_WORDS = 30
 
 
-def _lines(text: Column) -> Column:
-    """array<struct<s, h, first, last, anchor>>: the lines of ``text`` in order."""
-    def of_paragraph(p: Column) -> Column:
-        parts = F.filter(F.split(p, r"(?<=[.!?] )", -1), lambda s: s != "")
-        anchor = F.regexp_count(p, F.lit(WORD)) >= ANCHOR_WORDS
-        n = F.size(parts)
-        return F.transform(parts, lambda s, i: F.struct(
-            s.alias("s"), F.xxhash64(F.rtrim(s, F.lit("\n"))).alias("h"),
-            (i == 0).alias("first"), (i == n - 1).alias("last"), anchor.alias("anchor")))
+def _paragraphs(text: Column) -> Column:
+    """array<struct<parts, anchor>>: the newline-ended paragraphs, split after sentence ends."""
+    return F.transform(F.filter(F.split(text, r"(?<=\n)", -1), lambda p: p != ""), lambda p: F.struct(
+        F.filter(F.split(p, r"(?<=[.!?] )", -1), lambda s: s != "").alias("parts"),
+        (F.regexp_count(p, F.lit(WORD)) >= ANCHOR_WORDS).alias("anchor")))
 
-    return F.flatten(F.transform(F.filter(F.split(text, r"(?<=\n)", -1), lambda p: p != ""), of_paragraph))
+
+def _lines_of(p: Column) -> Column:
+    """array<struct<s, h, first, last, anchor>>: the lines of one paragraph."""
+    return F.transform(p["parts"], lambda s, i: F.struct(
+        s.alias("s"), F.xxhash64(F.rtrim(s, F.lit("\n"))).alias("h"),
+        (i == 0).alias("first"), (i == F.size(p["parts"]) - 1).alias("last"), p["anchor"].alias("anchor")))
 
 
 def _candidate(x: Column, i: Column) -> Column:
@@ -74,7 +75,7 @@ def chunked(docs: DataFrame) -> DataFrame:
     """``docs`` with the text replaced by ``__chunks`` and the row's key ``__row``."""
     # each array is a column of its own: referred to more than once, it is evaluated once per row
     d = docs.withColumn("__row", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("t")))
-    d = d.withColumn("__lines", _lines(F.col("text"))).drop("text")
+    d = d.withColumn("__lines", F.flatten(F.transform(_paragraphs(F.col("text")), _lines_of))).drop("text")
     d = d.withColumn("__marks", F.transform("__lines", _candidate))
     d = d.withColumn("__ends", F.filter(F.transform("__lines", lambda x, i: F.when(_ends(x, i), i)), lambda i: i.isNotNull()))
     d = d.withColumn("__chunks", F.transform("__ends", _chunk)).drop("__lines", "__marks", "__ends")

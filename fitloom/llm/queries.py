@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from fitloom.llm.bag_minhash import near_duplicates
 from fitloom.llm.common import table
 from fitloom.llm.kd_shards import kd_shards
+from fitloom.llm.language_id import identify
 from fitloom.llm.line_dedup import dedup_lines
 from fitloom.llm.mixing import mix
 from fitloom.llm.packing import pack
@@ -42,6 +43,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op6_quality_rules": op6_quality_rules,
     "op7_pii": op7_pii,
+    "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
 }
 
