@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fitloom.llm.bag_minhash import near_duplicates
 from fitloom.llm.common import table
+from fitloom.llm.html_wrappers import extract
 from fitloom.llm.kd_shards import kd_shards
 from fitloom.llm.language_id import identify
 from fitloom.llm.line_dedup import dedup_lines
@@ -33,6 +34,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), ["doc_id"]).select(
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_kd_shards": op3_kd_shards,
     "op4_mixing": op4_mixing,
+    "op5_html_wrappers": op5_html_wrappers,
     "op6_quality_rules": op6_quality_rules,
     "op7_pii": op7_pii,
     "op9_language_id": op9_language_id,
