@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fitloom.llm.bag_minhash import near_duplicates
 from fitloom.llm.common import table
+from fitloom.llm.hnsw_dedup import near_vectors
 from fitloom.llm.html_wrappers import extract
 from fitloom.llm.kd_shards import kd_shards
 from fitloom.llm.language_id import identify
@@ -48,6 +49,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
+def op8_hnsw_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_html_wrappers": op5_html_wrappers,
     "op6_quality_rules": op6_quality_rules,
     "op7_pii": op7_pii,
+    "op8_hnsw_dedup": op8_hnsw_dedup,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
 }
