@@ -12,14 +12,15 @@ probability sum(min weights) / sum(max weights).
 
 Bands of ``ROWS`` slots make buckets. Copies of one text are one node from the start. Then:
 
-1. every node of a bucket is compared with the bucket's least node (a star, not all pairs);
-2. edges of similarity ``THRESHOLD`` or more, counted exactly on the shingle multisets, are
-   joined to components;
-3. a bucket that still holds several components is dealt in blocks of ``BLOCK`` nodes, and
-   in each block pair the nodes of different components are compared by signature. The best
-   pair of a node with each other component is counted exactly first, components are
-   joined, and what is left over is counted exactly too, so no link between components
-   found by the bands is lost to step 1.
+1. every node of a bucket is compared with the bucket's least node (a star, not all pairs),
+   exactly, on the shingle multisets; links of ``THRESHOLD`` or more make components;
+2. buckets that still hold several components are dealt in blocks of about ``BLOCK`` nodes. A
+   task per block pair compares signatures across components, each pair in the first bucket
+   it shares, and gives the best spanning forest of the components, which is counted exactly
+   and joined;
+3. what is still apart and agrees in ``LOOK_FROM`` of the slots or more is counted exactly inside
+   the block tasks, pair by pair, and a spanning forest of the links is joined. So no link
+   between components found by the bands is lost to step 1, and no task sends pairs.
 
 Edge cases: NULL, empty or wordless texts are never duplicates; one to four words: equal
 word sequences only; ties go to the smallest doc_id (NULL first); rows that repeat doc_id
@@ -46,6 +47,7 @@ SLOTS = BANDS * ROWS
 #: Signature agreement from which a pair is counted exactly in step 3 (3.7 standard deviations under 0.8).
 LOOK_FROM = 0.65
 BLOCK = 512
+COLUMNS = 8192
 BYTES_AT_ONCE = 4 << 20
 ID_BITS = 44  # shingle ids; the upper bits of a sort key hold the text's place in its slice
 
@@ -179,6 +181,28 @@ def _overlap(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return common / np.maximum(total - common, 1)
 
 
+def _overlaps(texts: list[bytes]) -> np.ndarray:
+    """Weighted Jaccard similarities of all texts of a block, by products of incidence matrices."""
+    text, shingle, weight = shingles(texts)
+    # the k-th occurrence of a shingle is an item of its own: common items are the common multiset
+    text, shingle = np.repeat(text, weight), np.repeat(shingle, weight)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(weight) - weight, weight)
+    _, item, count = np.unique(mix64(shingle + np.uint64(0x9E3779B97F4A7C15) * nth.astype(np.uint64)), return_inverse=True, return_counts=True)
+    total = np.bincount(text, minlength=len(texts))
+    number = np.cumsum(count > 1) - 1
+    shared = count[item] > 1
+    text, item = text[shared], number[item[shared]]
+    order = np.argsort(item, kind="stable")
+    text, item = text[order], item[order]
+    common = np.zeros((len(texts), len(texts)), np.float32)
+    for lo in range(0, int(item[-1]) + 1 if len(item) else 0, COLUMNS):
+        at = slice(*np.searchsorted(item, [lo, lo + COLUMNS]))
+        m = np.zeros((len(texts), COLUMNS), np.float32)
+        m[text[at], item[at] - lo] = 1
+        common += m @ m.T
+    return common / np.maximum(total[:, None] + total[None, :] - common, 1)
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` whose texts have similarity ``THRESHOLD`` or more."""
 
@@ -189,79 +213,125 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     for i in np.flatnonzero(_overlap([a[i] for i in part], [b[i] for i in part]) >= THRESHOLD)]
             yield batch.select([0, 1]).take(pa.array(good, pa.int64()))
 
-    one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
-
-
-def _block_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of different components in a bucket whose sketches agree in ``LOOK_FROM`` of the slots."""
-
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        _, one, two = (k.as_py() for k in key)
-        node, part = t.column("node").to_pylist(), np.array(t.column("part").to_pylist())
-        _, group = np.unique(np.array(t.column("component").to_pylist(), object), return_inverse=True)
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, SLOTS)
-        a, b, agree = [], [], []
-        others = np.flatnonzero(part == two)
-        for i in np.flatnonzero(part == one):
-            look = others[(group[others] != group[i]) & ((one != two) | (others > i))]
-            share = (sketch[look] == sketch[i]).mean(1) if len(look) else np.empty(0)
-            for j in np.flatnonzero(share >= LOOK_FROM):
-                a.append(i), b.append(look[j]), agree.append(float(share[j]))
-        component = t.column("component").to_pylist()
-        return pa.table({"a": pa.array([node[i] for i in a], pa.binary()), "b": pa.array([node[i] for i in b], pa.binary()),
-                         "ca": pa.array([component[i] for i in a], pa.binary()), "cb": pa.array([component[i] for i in b], pa.binary()),
-                         "agree": pa.array(agree, pa.float64())})
-
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.withColumn("part", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    dealt = (dealt.select("*", other.alias("other"))
-             .select("bucket", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "node", "component", "sketch", "part"))
-    return dealt.groupBy("bucket", "one", "two").applyInArrow(run, "a binary, b binary, ca binary, cb binary, agree double").dropDuplicates(["a", "b"])
+    one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def _across(t: pa.Table, one: int, two: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j) of a block pair to look at, and their agreement: of different components, in the
+    first bucket that they share, with ``LOOK_FROM`` of the slots in common."""
+    part, component, bucket = (t.column(c).to_numpy() for c in ("part", "component", "bucket"))
+    sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, SLOTS)
+    bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    out_i, out_j, out_share = [], [], []
+    others = np.flatnonzero(part == two)
+    band = int(np.flatnonzero(bands[0] == bucket[0])[0]) if len(bands) else 0
+    for i in np.flatnonzero(part == one):
+        look = others[(component[others] != component[i]) & ((others > i) if one == two else True)]
+        share = (sketch[look] == sketch[i]).mean(1)
+        look, share = look[share >= LOOK_FROM], share[share >= LOOK_FROM]
+        fresh = ~(bands[look, :band] == bands[i, :band]).any(1)
+        out_i.append(np.full(int(fresh.sum()), i)), out_j.append(look[fresh]), out_share.append(share[fresh])
+    none = [np.empty(0, np.int64)]
+    return np.concatenate(out_i or none), np.concatenate(out_j or none), np.concatenate(out_share or none)
+
+
+def _forest(i: np.ndarray, j: np.ndarray, value: np.ndarray, component: np.ndarray) -> list[int]:
+    """Positions of the pairs that make the best spanning forest of the components."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    order = np.argsort(-value, kind="stable")
+    low, high = np.minimum(component[i], component[j])[order], np.maximum(component[i], component[j])[order]
+    _, first = np.unique(np.stack([low, high], 1), axis=0, return_index=True)  # the best pair of two components
+    kept = []
+    for k in np.sort(first):
+        a, b = find(int(low[k])), find(int(high[k]))
+        if a != b:
+            root[a] = b
+            kept.append(int(order[k]))
+    return kept
+
+
+def _dealt(shared: DataFrame, sig: DataFrame, found: DataFrame) -> DataFrame:
+    """The nodes of buckets that hold several components, dealt to block pairs."""
+    labelled = shared.join(found, F.col("id") == F.col("node"), "left").select(
+        "bucket", "id", F.coalesce("component", "id").alias("component"))
+    mixed = (labelled.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+             .where("lo != hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    d = labelled.join(mixed, "bucket").withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    d = d.select("bucket", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "id", "component")
+    return d.join(sig.select("id", "bands", "sketch"), "id")
+
+
+def _guess(key: tuple, t: pa.Table) -> pa.Table:
+    """The block pair's best spanning forest by signature."""
+    i, j, share = _across(t, key[1].as_py(), key[2].as_py())
+    k = _forest(i, j, share, t.column("component").to_numpy())
+    ids = t.column("id").to_numpy()
+    return pa.table({"a": np.minimum(ids[i[k]], ids[j[k]]), "b": np.maximum(ids[i[k]], ids[j[k]])}, schema=EDGES)
+
+
+def _involved(key: tuple, t: pa.Table) -> pa.Table:
+    """The rows of the block pair that some pair to look at needs."""
+    i, j, _ = _across(t, key[1].as_py(), key[2].as_py())
+    return t.take(pa.array(np.unique(np.concatenate([i, j]))))
+
+
+def _count(key: tuple, t: pa.Table) -> pa.Table:
+    """A spanning forest of the block pair's links between components, counted exactly."""
+    i, j, _ = _across(t, key[1].as_py(), key[2].as_py())
+    similar = _overlaps([x.encode() for x in t.column("text").to_pylist()])[i, j] if len(i) else np.empty(0)
+    i, j, similar = i[similar >= THRESHOLD], j[similar >= THRESHOLD], similar[similar >= THRESHOLD]
+    k = _forest(i, j, similar, t.column("component").to_numpy())
+    ids = t.column("id").to_numpy()
+    return pa.table({"a": ids[i[k]], "b": ids[j[k]]}, schema=EDGES)
+
+
+EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+BLOCK_KEYS = ("bucket", "one", "two")
+BLOCK_ROWS = "id long, bucket long, one int, two int, part int, component long, bands array<long>, sketch binary"
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, node, class_id, kept for every row: the class is named by its smallest doc_id."""
     text = F.col("text")
     rows = scratch(docs.select("doc_id", node_of(text).alias("node")), "near-rows")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
     pool = docs.select(node_of(text).alias("node"), text).where("node is not null")
     # every row is signed where it is read: copies cost time, a shuffle of all texts would cost more
-    sig = scratch(signed(pool).dropDuplicates(["node"]), "near-signatures")
-    members = sig.select("node", F.explode("bands").alias("bucket"))
-    hubs = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    star = members.join(hubs, "bucket").where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    star = scratch(star, "near-star")
-
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return scratch(pool.join(needed, "node", "left_semi").dropDuplicates(["node"]), "near-texts", "zstd")
-
-    def check(pairs: DataFrame, label: str) -> DataFrame:
-        return scratch(verified(pairs, texts_of(pairs)), label)
-
-    edges = check(star, "near-edges")
+    sig = scratch(signed(pool).dropDuplicates(["node"]).withColumn("id", F.monotonically_increasing_id()), "near-signatures")
+    members = sig.select("id", F.explode("bands").alias("bucket"))
+    hubs = members.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = scratch(members.join(hubs, "bucket"), "near-shared")
+    needed = sig.join(shared.select("id").distinct(), "id").select("id", "node")
+    # the one shuffle of texts
+    texts = scratch(pool.join(needed, "node").select("id", "text").dropDuplicates(["id"]), "near-texts", "zstd")
+    star = shared.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    edges = scratch(verified(star, texts), "near-edges")
+    found = components(edges)
+    guessed = _dealt(shared, sig, found).groupBy(*BLOCK_KEYS).applyInArrow(_guess, "a long, b long").distinct()
+    edges = edges.union(scratch(verified(guessed, texts), "near-guessed"))
     found = components(edges)
-    for best_only in (True, False):
-        labelled = sig.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        spread = labelled.select("node", "component", "sketch", F.explode("bands").alias("bucket"))
-        mixed = (spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-                 .where("lo != hi").select("bucket", "n"))
-        pairs = scratch(_block_pairs(spread.join(mixed, "bucket")), "near-pairs")
-        if best_only:
-            pairs = pairs.groupBy("a", "cb").agg(F.max_by("b", "agree").alias("b")).select("a", "b")
-        more = check(pairs.select("a", "b").join(star, ["a", "b"], "left_anti"), "near-more")
-        edges = edges.union(more)
-        found = components(edges)
-    classes = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = classes.groupBy("component").agg(F.min(F.struct("first", "node")).alias("keeper"))
-    named = classes.join(names, "component").select("node", F.col("keeper.first").alias("class_id"), F.col("keeper.node").alias("keeper"))
-    out = rows.join(named, "node", "left")
+    last = _dealt(shared, sig, found).select("id", "bucket", "one", "two", "part", "component", "bands", "sketch")
+    last = scratch(last.groupBy(*BLOCK_KEYS).applyInArrow(_involved, BLOCK_ROWS), "near-apart")
+    counted = last.join(texts, "id").groupBy(*BLOCK_KEYS).applyInArrow(_count, "a long, b long")
+    found = components(edges.union(scratch(counted, "near-counted")))
+    classes = (rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first")).join(sig.select("id", F.col("node").alias("__n")), F.col("node") == F.col("__n"))
+               .select("id", F.col("__n").alias("text_node"), "first"))
+    classes = scratch(classes.join(found, F.col("id") == F.col("node"), "left")
+                      .select("id", "text_node", "first", F.coalesce("component", "id").alias("component")), "near-classes")
+    names = classes.groupBy("component").agg(F.min(F.struct("first", "id")).alias("keeper"))
+    named = classes.join(names, "component").select("text_node", F.col("keeper.first").alias("class_id"), (F.col("keeper.id") == F.col("id")).alias("keeps"))
+    out = rows.join(named, F.col("node") == F.col("text_node"), "left")
     alone = F.col("node").isNull()
     return out.select("doc_id", "node", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-                      (alone | ((F.col("node") == F.col("keeper")) & F.col("doc_id").eqNullSafe(F.col("class_id")))).alias("kept"))
+                      (alone | (F.col("keeps") & F.col("doc_id").eqNullSafe(F.col("class_id")))).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
