@@ -161,7 +161,7 @@ class Model:
             d = np.clip(n1 / np.maximum(n1 + 2 * n2, 1), 0.1, 0.95)
             safe = np.maximum(total, 1.0)
             back = np.where(total > 0, d * types / safe, 1.0)
-            lower = np.full((len(g), len(langs)), FLOOR) if below is None else below[1][np.searchsorted(below[0], end)]
+            lower = np.full((len(g), len(langs)), 1 / len(g)) if below is None else below[1][np.searchsorted(below[0], end)]
             p = np.maximum(k - d, 0) / safe[which] + back[which] * lower
             self.grams[n], self.logp[n] = g, np.log(np.maximum(p, FLOOR)).astype(np.float32)
             self.contexts[n], self.logb[n] = c, np.log(np.maximum(back, FLOOR)).astype(np.float32)

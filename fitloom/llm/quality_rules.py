@@ -42,12 +42,12 @@ START = {True: 0.005, False: 0.2}
 RULES: dict[str, tuple[str, str]] = {
     "symbols": ("n_symbols > 0.2 * n_words", "n_symbols <= 0.05 * n_words"),
     "marks": ("n_marks > 0.3 * n_words", "n_marks <= 0.05 * n_words"),
-    "repeats": ("n_repeat_words > 0.3 * n_words", "n_repeat_words <= 0.15 * n_words"),
+    "repeats": ("n_repeat_words > 0.4 * n_words", "n_repeat_words <= 0.2 * n_words"),
     "lines": ("n_dup_lines > 2 and n_dup_lines > 0.5 * n_lines", "n_dup_lines <= 0.2 * n_lines"),
     "word_length": ("word_chars > 15 * n_words or word_chars < 2 * n_words",
                     "word_chars between 3 * n_words and 10 * n_words"),
     "capitals": ("n_capitals > 0.4 * word_chars", "n_capitals <= 0.15 * word_chars"),
-    "vocabulary": ("n_distinct_words < 0.1 * n_words", "n_distinct_words >= 0.25 * n_words"),
+    "vocabulary": ("n_distinct_words < 0.5 * sqrt(n_words)", "n_distinct_words >= 2 * sqrt(n_words)"),
     "letters": ("n_letters < 0.7 * word_chars", "n_letters >= 0.8 * word_chars"),
 }
 
