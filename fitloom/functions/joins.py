@@ -1,9 +1,11 @@
-"""Joins of fitted (small) tables onto row-level data.
+"""Joins of fitted tables onto row-level data.
 
 A fitted table is the output of an aggregate keyed by a category, bin, cluster
-or group. It is broadcast only after its row count has been checked against a
-bound; beyond the bound the join falls back to a shuffle join, where AQE's
-skew-join handling splits a hot key of the big side into several tasks.
+or group; grouped by an order or a customer it is as large as the data. The join
+is left to adaptive execution, which knows the table's real size in bytes once
+its aggregate has run: within Spark's broadcast threshold it is broadcast, beyond
+it a shuffle join splits the hot keys of the big side. Nothing is persisted or
+counted for it. A size that the caller has counted anyway can be passed in.
 """
 
 from __future__ import annotations
@@ -33,12 +35,9 @@ def materialize(df: DataFrame) -> tuple[DataFrame, int]:
 
 def lookup_join(big: DataFrame, small: DataFrame, on, how: str = "left",
                 max_rows: int | None = None, counted: int | None = None) -> DataFrame:
-    """Join a fitted table, broadcasting it only when its checked size is within bound."""
-    bound = broadcast_bound(big) if max_rows is None else max_rows
-    if counted is None:
-        small, counted = materialize(small)
-    if counted <= bound:
-        return big.join(F.broadcast(small), on, how)
+    """Join a fitted table; the strategy is adaptive unless a ``counted`` size allows a broadcast."""
+    if counted is not None and counted <= (broadcast_bound(big) if max_rows is None else max_rows):
+        small = F.broadcast(small)
     return big.join(small, on, how)
 
 

@@ -68,6 +68,7 @@ def split_id(c, sep: str = "_") -> tuple[Column, Column]:
             F.split_part(c, F.lit(sep), F.lit(2)).try_cast("int"))
 
 
+# Fixed values of the two splits below: the defaults ("Unknown", 0, "Unknown").
 # B4 / B4b ---------------------------------------------------------------------
 def split3(c, sep: str = "/", defaults=("Unknown", "0", "Unknown")) -> tuple[Column, Column, Column]:
     """Fill NULL with the joined defaults, then take the first three parts (missing part -> '')."""
@@ -91,8 +92,9 @@ def split3_guarded(c, sep: str = "/", min_len: int = 3,
 
 # B5 ---------------------------------------------------------------------------
 def to_number(c, kind: str = "double") -> Column:
-    """Numeric coercion; unparsable -> NULL (ANSI-safe)."""
-    return _c(c).cast("string").try_cast(kind)
+    """Numeric coercion; unparsable, NaN or infinite -> NULL (ANSI-safe)."""
+    text = F.trim(_c(c).cast("string"))
+    return F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast(kind))
 
 
 # B6 ---------------------------------------------------------------------------
@@ -104,7 +106,7 @@ def regex_capture(c, pattern: str, group: int = 1, default: str = "Unknown") ->
 # B7 ---------------------------------------------------------------------------
 def first_token(c) -> Column:
     """First whitespace-separated token; NULL for NULL or blank input."""
-    t = F.trim(_c(c))
+    t = F.regexp_replace(_c(c), r"^\s+|\s+$", "")
     return F.when(t.isNull() | (t == ""), F.lit(None).cast("string")).otherwise(
         F.split_part(F.regexp_replace(t, r"\s+", " "), F.lit(" "), F.lit(1)))
 
@@ -209,7 +211,9 @@ def square(c) -> Column:
 
 
 def int_div(c, n: int) -> Column:
-    return F.floor(_c(c) / F.lit(n)).cast("long")
+    """Floor division in decimals: whole numbers of any size stay exact."""
+    d = _c(c).cast("decimal(38,6)")
+    return ((d - F.pmod(d, F.lit(n).cast("decimal(38,6)"))) / F.lit(n)).cast("long")
 
 
 def int_mod(c, n: int) -> Column:

@@ -6,9 +6,10 @@ column. Here each needed order statistic is found by narrowing: one
 aggregate per pass builds a (interval, bucket) histogram with per-bucket
 min / max / count over the rows still inside an open interval; the interval
 holding the wanted rank shrinks to one bucket's [min, max]. Once an interval
-holds at most ``max_collect`` rows (or a single value), its (value, count)
-pairs are collected -- a bounded amount -- and the order statistic is read
-off exactly. Interpolation follows Spark's ``percentile``:
+holds at most ``max_collect / open intervals`` rows (or a single value), its
+(value, count) pairs are collected -- at most ``max_collect`` per pass in all --
+and the order statistic is read off exactly. NULL and NaN are skipped, infinite
+values counted at the ends. Interpolation follows Spark's ``percentile``:
 pos = (n - 1) * p, value = (hi - pos) * x[lo] + (pos - lo) * x[hi].
 """
 
@@ -20,8 +21,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_PASSES = 64
-
 
 def _order_statistics(long: DataFrame, targets: Sequence[tuple[int, int]], init: dict[int, tuple[int, float, float]],
                       bins: int, max_collect: int) -> dict[tuple[int, int], float]:
@@ -37,7 +36,8 @@ def _order_statistics(long: DataFrame, targets: Sequence[tuple[int, int]], init:
         c, a, b = intervals[i][:3]
         return (cid == c) & x.between(a, b)
 
-    for _ in range(MAX_PASSES):
+    # every pass shrinks each open interval to one of its ``bins`` buckets, so the loop ends
+    while owner:
         for t, iid in list(owner.items()):
             if intervals[iid][1] == intervals[iid][2]:
                 result[t] = intervals[iid][1]
@@ -45,8 +45,8 @@ def _order_statistics(long: DataFrame, targets: Sequence[tuple[int, int]], init:
         if not owner:
             break
         live = sorted(set(owner.values()))
-        small = [i for i in live if intervals[i][4] <= max_collect]
-        big = [i for i in live if intervals[i][4] > max_collect]
+        small = [i for i in live if intervals[i][4] <= max(1, max_collect // len(live))]
+        big = [i for i in live if i not in small]
         if small:
             cond = None
             for i in small:
@@ -73,7 +73,7 @@ def _order_statistics(long: DataFrame, targets: Sequence[tuple[int, int]], init:
         for i in big:
             a, b = intervals[i][1], intervals[i][2]
             ins = inside(i)
-            bk = F.least(F.lit(bins - 1), F.floor((x - F.lit(a)) / F.lit(b - a) * bins)).cast("int")
+            bk = F.least(F.lit(bins - 1), F.floor((x / 2 - F.lit(a / 2)) / F.lit(b / 2 - a / 2) * bins)).cast("int")
             iid_expr = F.when(ins, F.lit(i)) if iid_expr is None else iid_expr.when(ins, F.lit(i))
             bucket_expr = F.when(ins, bk) if bucket_expr is None else bucket_expr.when(ins, bk)
             cond = ins if cond is None else (cond | ins)
@@ -99,8 +99,6 @@ def _order_statistics(long: DataFrame, targets: Sequence[tuple[int, int]], init:
                     owner[t] = new_ids[key]
                     break
                 below += n
-    if owner:
-        raise RuntimeError(f"quantile search did not converge for {sorted(owner)}")
     return result
 
 
@@ -117,21 +115,36 @@ def exact_quantiles_multi(df: DataFrame, cols: Sequence[str], probs: Sequence[fl
     cols = list(cols)
     long = (df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("__cid"), F.col(c).cast("double").alias("__v"))
                                           for i, c in enumerate(cols)])).alias("__s"))
-            .select("__s.__cid", "__s.__v").where(F.col("__v").isNotNull())
+            .select("__s.__cid", "__s.__v").where(F.col("__v").isNotNull() & ~F.isnan("__v"))
             .persist(StorageLevel.MEMORY_AND_DISK))
     try:
-        st = {r["__cid"]: (r["n"], r["lo"], r["hi"]) for r in long.groupBy("__cid").agg(
-            F.count(F.lit(1)).alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi")).collect()}
+        st = {r["__cid"]: r for r in long.groupBy("__cid").agg(
+            F.count(F.lit(1)).alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"),
+            F.count_if(F.col("__v") == float("-inf")).alias("n_low"),
+            F.min(F.when(F.abs("__v") < float("inf"), F.col("__v"))).alias("f_lo"),
+            F.max(F.when(F.abs("__v") < float("inf"), F.col("__v"))).alias("f_hi"),
+            F.count_if(F.abs("__v") < float("inf")).alias("n_fin")).collect()}
         targets, spots = set(), {}
         for i in st:
-            n = st[i][0]
+            n = st[i]["n"]
             spots[i] = []
             for p in probs:
                 pos = (n - 1) * float(p)
                 lo_r, hi_r = int(math.floor(pos)), int(math.ceil(pos))
                 spots[i].append((pos, lo_r, hi_r))
                 targets.update({(i, lo_r), (i, hi_r)})
-        vals = _order_statistics(long, sorted(targets), st, bins, max_collect) if st else {}
+        # infinite values are order statistics by count alone; the search runs over the finite ones
+        vals, finite = {}, []
+        for i, k in sorted(targets):
+            if k < st[i]["n_low"]:
+                vals[(i, k)] = float("-inf")
+            elif k >= st[i]["n_low"] + st[i]["n_fin"]:
+                vals[(i, k)] = float("inf")
+            else:
+                finite.append((i, k - st[i]["n_low"]))
+        init = {i: (r["n_fin"], r["f_lo"], r["f_hi"]) for i, r in st.items() if r["n_fin"]}
+        found = _order_statistics(long.where(F.abs("__v") < float("inf")), finite, init, bins, max_collect) if finite else {}
+        vals.update({(i, k + st[i]["n_low"]): v for (i, k), v in found.items()})
     finally:
         long.unpersist()
     out = {}
@@ -169,7 +182,7 @@ def group_quantiles(df: DataFrame, by, col: str, probs: Sequence[float], names:
 
     by = [by] if isinstance(by, str) else list(by)
     names = list(names) if names else [f"{col}_q{str(p).replace('.', '_')}" for p in probs]
-    x = df.where(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("__v"))
+    x = df.select(*by, F.col(col).cast("double").alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
     counts = x.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__c"))
     edges = x.agg(F.percentile_approx("__v", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("e")).first()["e"]
     edges = sorted(set(edges or []))

@@ -35,7 +35,7 @@ def group_agg(df: DataFrame, by, spec: dict[str, Sequence[str]], decimals: int |
             e = STAT_FUNCS[s](F.col(col))
             if s != "count":
                 if decimals is not None:
-                    e = F.round(e, decimals)
+                    e = F.bround(e, decimals)   # half to even, as the reference rounds
                 if fill_null is not None:
                     e = F.coalesce(e, F.lit(fill_null))
             exprs.append(e.alias(f"{col}_{s}"))

@@ -99,6 +99,8 @@ def rule_cascade(df: DataFrame, spend_cols: Sequence[str], state: str, vip: str,
     total = row_sum(spend_cols)
     st = tolerant_bool(state, default=None)
     state_r = F.coalesce(st, F.when(total == 0, 1).when(total > 0, 0), F.lit(0))
+    # spend of rows in the state counts as zero before it decides on VIP
+    total = F.when(state_r == 1, F.lit(0.0)).otherwise(total)
     vp = tolerant_bool(vip, default=None)
     vip_r = F.coalesce(vp, F.when(total > vip_spend, 1), F.lit(0))
     gmean = df.where(F.col(age).isNotNull()).groupBy(group).agg(F.avg(age).alias("__gm"))

@@ -6,9 +6,10 @@ No metric sorts or windows the row-level data in one task:
 * Threshold scans map each score once to the number of grid thresholds it
   exceeds (integer arithmetic), aggregate per grid index, and take suffix
   sums over at most grid-size rows.
-* Weight searches explode the (bounded) weight list per row and aggregate
-  straight away by (weight id, quantised score), so the shuffle is bounded by
-  weights x distinct scores, not by rows.
+* Weight searches multiply rows by weights inside the tasks. For the AUC each
+  Arrow batch sends, per weight and score range, its distinct blends with
+  their counts as packed arrays, which one task per (weight, range) merges:
+  exact, without a histogram's ties and without a row per (row, weight).
 """
 
 from __future__ import annotations
@@ -35,16 +36,32 @@ def fold_accuracy(df: DataFrame, label: str, pred: str, fold: str) -> DataFrame:
 
 
 # Q2 ---------------------------------------------------------------------------
-def auc_by(df: DataFrame, label: str, score: str, by: Sequence[str] = (), buckets: int = 4096) -> DataFrame:
+def quantile_cuts(df: DataFrame, col: str, buckets: int) -> list[float]:
+    """At most ``buckets - 1`` ascending cuts that deal the values of ``col`` evenly (approximate quantiles)."""
+    probs = [i / buckets for i in range(1, buckets)]
+    cuts = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, 10 * buckets).alias("e")).first()["e"]
+    return sorted(set(cuts or []))
+
+
+def range_bucket(value: Column, cuts: Sequence[float]) -> Column:
+    """Number of cuts below ``value``: monotone, and even however the values crowd."""
+    if not cuts:
+        return F.lit(0)
+    arr = F.array(*[F.lit(float(c)) for c in cuts])
+    return F.size(F.filter(arr, lambda c: c < value.cast("double")))
+
+
+def auc_by(df: DataFrame, label: str, score: str, by: Sequence[str] = (), buckets: int = 64) -> DataFrame:
     """Exact ROC AUC with ties counted half, per ``by`` group.
 
-    Distinct scores carry (pos, neg); a score's negatives-below = negatives in
+    Distinct scores carry (pos, neg) and lie in ranges cut by approximate
+    quantiles, so crowded or unbounded scores spread evenly; a score's negatives-below = negatives in
     lower buckets (offset table) + negatives at lower scores in its bucket.
     """
     by = list(by)
     s = df.groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("__p"),
                                    F.sum((1 - F.col(label)).cast("long")).alias("__n"))
-    s = s.withColumn("__b", F.floor(F.col(score) * buckets).cast("long"))
+    s = s.withColumn("__b", range_bucket(F.col(score), quantile_cuts(df, score, buckets)))
     bt = s.groupBy(*by, "__b").agg(F.sum("__n").alias("__bn"))
     wb = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("__b").rowsBetween(
         Window.unboundedPreceding, -1)
@@ -169,85 +186,82 @@ def threshold_panel(df: DataFrame, score: str, thresholds_units: Sequence[int],
 
 # Q7 ---------------------------------------------------------------------------
 def simplex_weights(n_members: int, steps: int = 10) -> list[tuple[int, ...]]:
-    """All weight vectors in units of 1/steps summing to 1 (lexicographic order)."""
-    return [w for w in itertools.product(range(steps + 1), repeat=n_members) if sum(w) == steps]
-
-
-def auc_from_histogram(hist: DataFrame, by: Sequence[str], score: str, pos: str = "pos", neg: str = "neg") -> DataFrame:
-    """AUC per group from a (group, score bin, pos, neg) histogram whose bins per group are bounded."""
-    w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    h = hist.withColumn("__below", F.coalesce(F.sum(neg).over(w), F.lit(0)))
-    contrib = F.col(pos).cast("double") * (F.col("__below").cast("double") + F.col(neg) / 2.0)
-    agg = h.groupBy(*by).agg(F.sum(contrib).alias("__num"), F.sum(pos).alias("__p"), F.sum(neg).alias("__n"))
-    return agg.select(*by, _r(F.col("__num") / (F.col("__p") * F.col("__n"))).alias("auc"))
+    """All weight vectors in units of 1/steps summing to 1 (lexicographic order), built directly."""
+    if n_members == 1:
+        return [(steps,)]
+    return [(first, *rest) for first in range(steps + 1) for rest in simplex_weights(n_members - 1, steps - first)]
 
 
-# Largest per-task dense histogram (bytes) for the vectorised partial histogram.
-MAX_PARTIAL_HIST_BYTES = 256 * 1024 * 1024
+# Rows per score range, and weights per matrix product, of the AUC weight search.
+SEARCH_RANGE_ROWS = 500_000
+SEARCH_WEIGHTS_AT_ONCE = 64
 
 
-def _partial_histograms(prob_cols, label, weights, resolution):
-    """mapInPandas body: per partition, one dense (weight, score bin) histogram of positives and negatives,
-    emitted as its non-empty bins. Spark merges the partials with a bounded shuffle."""
+def _blend_counts(prob_cols, label, weights, cuts):
+    """mapInPandas body: per batch, weight and score range the distinct blends with positives and negatives."""
     import numpy as np
     import pandas as pd
 
     kmat = np.asarray(weights, dtype=float).T            # members x weights
-    n_w, width = kmat.shape[1], resolution + 1
-    offs = (np.arange(n_w, dtype=np.int64) * width)[None, :]
+    edges = np.asarray(cuts, dtype=float)
 
     def run(batches):
-        pos = np.zeros(n_w * width, dtype=np.int64)
-        neg = np.zeros(n_w * width, dtype=np.int64)
         for pdf in batches:
             if pdf.empty:
                 continue
             probs = pdf[list(prob_cols)].to_numpy(dtype=float)
             y = pdf[label].to_numpy(dtype=np.int64)
-            s = np.clip(np.rint((probs @ kmat) * resolution), 0, resolution).astype(np.int64) + offs
-            pos += np.bincount(s[y == 1].ravel(), minlength=n_w * width)
-            neg += np.bincount(s[y == 0].ravel(), minlength=n_w * width)
-        nz = np.flatnonzero(pos + neg)
-        if nz.size:
-            yield pd.DataFrame({"w_id": (nz // width).astype(np.int32), "__s": (nz % width).astype(np.int32),
-                                "pos": pos[nz], "neg": neg[nz]})
+            for lo in range(0, kmat.shape[1], SEARCH_WEIGHTS_AT_ONCE):
+                blends = np.round(probs @ kmat[:, lo:lo + SEARCH_WEIGHTS_AT_ONCE], PREC)
+                rows = []
+                for j in range(blends.shape[1]):
+                    order = np.argsort(blends[:, j])
+                    v = blends[order, j]
+                    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+                    v, pos = v[first], np.add.reduceat(y[order], first)
+                    n = np.diff(np.concatenate([first, [len(order)]]))
+                    at = np.concatenate([[0], np.searchsorted(v, edges, side="right"), [len(v)]])
+                    for r in np.flatnonzero(np.diff(at)):
+                        part = slice(at[r], at[r + 1])
+                        rows.append((lo + j, int(r), v[part].tobytes(), pos[part].astype(np.int32).tobytes(),
+                                     (n - pos)[part].astype(np.int32).tobytes()))
+                yield pd.DataFrame(rows, columns=["w_id", "rng", "v", "pos", "neg"])
     return run
 
 
+def _range_auc(pdf):
+    """One (weight, score range): positives, negatives and the pairs won inside the range."""
+    import numpy as np
+    import pandas as pd
+
+    v, pos, neg = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("v", float), ("pos", np.int32), ("neg", np.int32)))
+    order = np.argsort(v, kind="stable")
+    v, pos, neg = v[order], pos[order].astype(np.int64), neg[order].astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    pos, neg = np.add.reduceat(pos, first), np.add.reduceat(neg, first)
+    won = float((pos * (np.cumsum(neg) - neg)).sum()) + float((pos * neg).sum()) / 2.0
+    return pd.DataFrame({"w_id": [pdf["w_id"].iloc[0]], "rng": [pdf["rng"].iloc[0]], "pos": [pos.sum()], "neg": [neg.sum()], "won": [won]})
+
+
 def weight_search_auc(wide: DataFrame, label: str, prob_cols: Sequence[str], weights: Sequence[Sequence[float]],
-                      resolution: int = 10_000, vectorised: bool | None = None) -> DataFrame:
-    """AUC of sum(w_i * p_i) for every weight vector (probabilities in [0, 1], weights summing to 1).
-
-    Blends are quantised to 1/resolution and aggregated into a (weight id,
-    score bin) histogram, so the shuffle is bounded by weights x (resolution + 1)
-    whatever the row count. Exact when blends are multiples of 1/resolution
-    (member scores on a 1/1000 grid with weights in tenths); otherwise scores
-    within one bin count as ties.
-
-    The rows x weights expansion is the hot loop: by default each task builds
-    its partial histogram with one matrix product and ``bincount`` per Arrow
-    batch (checked memory: 16 bytes x weights x bins per task); beyond the bound
-    the same histogram is built with built-in explode + hash aggregate.
+                      range_rows: int = SEARCH_RANGE_ROWS) -> DataFrame:
+    """Exact AUC (ties half) of sum(w_i * p_i) for every weight vector, blends rounded to ``PREC`` decimals.
+
+    Tasks hold one Arrow batch of blends for 64 weights, or one score range of
+    one weight (about ``range_rows`` distinct blends); the ranges' counts below
+    are added up from a table of weights x ranges.
     """
-    n_w = len(weights)
-    if vectorised is None:
-        vectorised = 16 * n_w * (resolution + 1) <= MAX_PARTIAL_HIST_BYTES
-    if vectorised:
-        src = wide.select(F.col(label).cast("int").alias(label), *[F.col(c).cast("double") for c in prob_cols])
-        part = src.mapInPandas(_partial_histograms(prob_cols, label, weights, resolution),
-                               "w_id int, __s int, pos long, neg long")
-        hist = part.groupBy("w_id", "__s").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        return auc_from_histogram(hist, ["w_id"], "__s")
-    wid = F.explode(F.sequence(F.lit(0), F.lit(n_w - 1))).alias("w_id")
-    e = wide.select(F.col(label).cast("int").alias("__y"), *prob_cols, wid)
-    blend = None
-    for j, c in enumerate(prob_cols):
-        wj = F.element_at(F.array(*[F.lit(float(w[j])) for w in weights]), F.col("w_id") + 1)
-        t = wj * F.col(c)
-        blend = t if blend is None else blend + t
-    e = e.select("w_id", "__y", F.round(blend * resolution).cast("int").alias("__s"))
-    hist = e.groupBy("w_id", "__s").agg(F.sum("__y").alias("pos"), F.sum(1 - F.col("__y")).alias("neg"))
-    return auc_from_histogram(hist, ["w_id"], "__s")
+    src = wide.select(F.col(label).cast("int").alias(label), *[F.col(c).cast("double") for c in prob_cols])
+    mean = sum((F.col(c) for c in prob_cols[1:]), F.col(prob_cols[0])) / len(prob_cols)
+    ranges = -(-src.count() // range_rows)
+    cuts = quantile_cuts(src.select(mean.alias("m")), "m", ranges) if ranges > 1 else []
+    parts = src.mapInPandas(_blend_counts(prob_cols, label, weights, cuts), "w_id int, rng int, v binary, pos binary, neg binary")
+    per = parts.groupBy("w_id", "rng").applyInPandas(_range_auc, "w_id int, rng int, pos long, neg long, won double")
+    below = Window.partitionBy("w_id").orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    agg = per.groupBy("w_id").agg(F.sum(F.col("won") + F.col("pos").cast("double") * F.col("below")).alias("num"),
+                                  F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return agg.select("w_id", _r(F.col("num") / (F.col("p") * F.col("n"))).alias("auc"))
 
 
 # Q8 ---------------------------------------------------------------------------
@@ -274,27 +288,15 @@ def _partial_accuracy(prob_cols, label, weights):
 
 
 def weight_search_accuracy(wide: DataFrame, label: str, prob_cols: Sequence[str],
-                           weights: Sequence[Sequence[float]], vectorised: bool = True) -> DataFrame:
+                           weights: Sequence[Sequence[float]]) -> DataFrame:
     """Accuracy of the rounded (half-to-even: 0.5 -> 0) blend for every normalised weight vector.
 
-    Vectorised: each task returns one (weight, correct, rows) row per weight
-    vector (one matrix product per Arrow batch), so the shuffle is tasks x
-    weights. Otherwise the same counts come from explode + hash aggregate.
+    Each task returns one (weight, correct, rows) row per weight vector (one
+    matrix product per Arrow batch), so the shuffle is tasks x weights.
     """
-    if vectorised:
-        src = wide.select(F.col(label).cast("int").alias(label), *[F.col(c).cast("double") for c in prob_cols])
-        part = src.mapInPandas(_partial_accuracy(prob_cols, label, weights), "w_id int, correct long, rows long")
-        return part.groupBy("w_id").agg(_r(F.sum("correct") / F.sum("rows")).alias("accuracy"))
-    n_w = len(weights)
-    e = wide.select(F.col(label).alias("__y"), *prob_cols, F.explode(F.sequence(F.lit(0), F.lit(n_w - 1))).alias("w_id"))
-    blend = None
-    for j, c in enumerate(prob_cols):
-        wj = F.element_at(F.array(*[F.lit(float(w[j])) for w in weights]), F.col("w_id") + 1)
-        t = wj * F.col(c)
-        blend = t if blend is None else blend + t
-    pred = (F.round(blend, PREC) > 0.5).cast("int")
-    return e.groupBy("w_id").agg(
-        _r(F.avg((pred == F.col("__y")).cast("double"))).alias("accuracy"))
+    src = wide.select(F.col(label).cast("int").alias(label), *[F.col(c).cast("double") for c in prob_cols])
+    part = src.mapInPandas(_partial_accuracy(prob_cols, label, weights), "w_id int, correct long, rows long")
+    return part.groupBy("w_id").agg(_r(F.sum("correct") / F.sum("rows")).alias("accuracy"))
 
 
 def normalised_grid(options: Sequence[float], n_members: int) -> list[tuple[float, ...]]:

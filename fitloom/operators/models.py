@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
@@ -23,14 +23,20 @@ from fitloom.operators import metrics as Q
 
 
 def assembler(features: Sequence[str], out: str = "features") -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep")
+    return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="error")
 
 
-def classifier(kind: str, seed: int = 42, label: str = "label", n_features: int | None = None, **kw):
-    """Spark ML estimator for one reference model family."""
+def classifier(kind: str, seed: int = 42, label: str = "label", n_features: int | None = None,
+               n_rows: int | None = None, **kw):
+    """Spark ML estimator for one reference model family.
+
+    ``C`` (default 1) is the inverse penalty on the summed loss; Spark penalises the
+    mean loss, so ``regParam = 1 / (C * n_rows)`` on the unscaled coefficients.
+    """
     common = {"featuresCol": "features", "labelCol": label}
     if kind == "lr":                                   # O1
-        return LogisticRegression(maxIter=kw.get("maxIter", 100), regParam=kw.get("regParam", 0.0), **common)
+        reg = kw.get("regParam", 1.0 / (kw.get("C", 1.0) * max(n_rows or 1, 1)))
+        return LogisticRegression(maxIter=kw.get("maxIter", 100), regParam=reg, standardization=False, **common)
     if kind == "gbt":                                  # O2 / O3
         g = GBTClassifier(maxIter=kw.get("maxIter", 20), maxDepth=kw.get("maxDepth", 3),
                           stepSize=kw.get("stepSize", 0.1), subsamplingRate=kw.get("subsamplingRate", 1.0),
@@ -53,6 +59,16 @@ def classifier(kind: str, seed: int = 42, label: str = "label", n_features: int
     raise ValueError(kind)
 
 
+def fitted_pipeline(train: DataFrame, kind: str, features: Sequence[str], label: str = "label", seed: int = 42, **kw):
+    """Assemble, scale where the family needs it (neural net: zero mean, unit variance) and fit."""
+    n_rows = train.count() if kind == "lr" else None
+    est = classifier(kind, seed, label, n_features=len(features), n_rows=n_rows, **kw)
+    if kind == "mlp":
+        scale = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
+        return Pipeline(stages=[assembler(features, "raw_features"), scale, est]).fit(train)
+    return Pipeline(stages=[assembler(features), est]).fit(train)
+
+
 def positive_prob(pred: DataFrame, col: str = "probability") -> DataFrame:
     return pred.withColumn("prob", vector_to_array(F.col(col))[1])
 
@@ -60,15 +76,13 @@ def positive_prob(pred: DataFrame, col: str = "probability") -> DataFrame:
 def fit_predict(train: DataFrame, score: DataFrame, kind: str, features: Sequence[str], label: str = "label",
                 seed: int = 42, keep: Sequence[str] = ("row_id",), **kw) -> DataFrame:
     """Fit on ``train``; return ``keep`` + prob + pred for ``score`` rows."""
-    est = classifier(kind, seed, label, n_features=len(features), **kw)
-    model = Pipeline(stages=[assembler(features), est]).fit(train)
+    model = fitted_pipeline(train, kind, features, label, seed, **kw)
     out = positive_prob(model.transform(score))
     return out.select(*keep, F.round("prob", 12).alias("prob"), (F.col("prob") > 0.5).cast("int").alias("pred"))
 
 
 def fit_model(train: DataFrame, kind: str, features: Sequence[str], label: str = "label", seed: int = 42, **kw):
-    est = classifier(kind, seed, label, n_features=len(features), **kw)
-    return Pipeline(stages=[assembler(features), est]).fit(train)
+    return fitted_pipeline(train, kind, features, label, seed, **kw)
 
 
 # O7 ---------------------------------------------------------------------------
@@ -76,8 +90,11 @@ def ridge_classify(train: DataFrame, score: DataFrame, features: Sequence[str],
                    alpha: float = 1.0, keep: Sequence[str] = ("row_id",)) -> DataFrame:
     """Ridge classifier: L2 least squares on labels mapped to -1/+1; predict the sign."""
     t = train.withColumn("__pm", F.col(label) * 2.0 - 1.0)
-    n = t.count()
-    lr = LinearRegression(featuresCol="features", labelCol="__pm", regParam=alpha / max(n, 1), elasticNetParam=0.0)
+    size = t.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("__pm").alias("sd")).first()
+    # Spark penalises the mean squared error of the label in units of its deviation
+    reg = alpha / max(size["n"], 1) * (size["sd"] or 1.0)
+    lr = LinearRegression(featuresCol="features", labelCol="__pm", regParam=reg, elasticNetParam=0.0, solver="normal",
+                          standardization=False)
     model = Pipeline(stages=[assembler(features), lr]).fit(t)
     out = model.transform(score)
     return out.select(*keep, F.round("prediction", 12).alias("margin"), (F.col("prediction") > 0).cast("int").alias("pred"))

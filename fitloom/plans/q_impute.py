@@ -101,7 +101,7 @@ DEST_TO_SEGMENT = {"AMERICA": "MACHINERY", "EUROPE": "BUILDING", "ASIA": "AUTOMO
 gm AS (SELECT grp, avg(age_n) AS gm FROM basket WHERE age_n IS NOT NULL GROUP BY grp),
 r AS (SELECT id, age_n, planet_n, dest, gm,
   coalesce({tol('state_n')}, CASE WHEN {TOTAL} = 0 THEN 1 WHEN {TOTAL} > 0 THEN 0 END, 0) AS state_r,
-  coalesce({tol('vip')}, CASE WHEN {TOTAL} > 1000.0 THEN 1 END, 0) AS vip_r
+  coalesce({tol('vip')}, CASE WHEN state_r <> 1 AND {TOTAL} > 1000.0 THEN 1 END, 0) AS vip_r
   FROM basket LEFT JOIN gm USING (grp))
 SELECT id, state_r, vip_r,
   round(CASE WHEN age_n IS NOT NULL AND age_n > 0 THEN age_n WHEN gm IS NOT NULL THEN gm

@@ -27,9 +27,5 @@ def load_all() -> None:
     import importlib
 
     for mod in ("q_sources", "q_scalar", "q_groups", "q_relate", "q_encode", "q_impute",
-                "q_folds", "q_blend", "q_cluster", "q_models", "q_flows"):
-        try:
-            importlib.import_module(f"fitloom.plans.{mod}")
-        except ModuleNotFoundError as e:
-            if e.name != f"fitloom.plans.{mod}":
-                raise
+                "q_blend", "q_cluster", "q_models", "q_flows"):
+        importlib.import_module(f"fitloom.plans.{mod}")

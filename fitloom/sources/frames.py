@@ -94,11 +94,12 @@ DOC_FEATURES = ["log_len", "odd_share", "digit_share", "upper_share", "line_coun
 
 
 def documents_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents with numeric text features; label = quality, split by md5 order (1 in 5 test)."""
+    """All documents with numeric text features. Rows to fit on (split ``train``) are four in five of the
+    labelled ones by md5 order, label = quality; every other document, labelled or not, is to be scored."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     n = F.greatest(F.length("text"), F.lit(1))
-    feats = d.join(lab, "doc_id").select(
+    feats = d.join(lab, "doc_id", "left").select(
         F.col("doc_id").alias("row_id"), F.col("quality").alias("label"), "toxic",
         F.log1p(F.length("text")).alias("log_len"),
         (F.length(F.regexp_replace("text", "[a-zA-Z0-9 ]", "")) / n).alias("odd_share"),
@@ -110,7 +111,9 @@ def documents_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     lang_t = fit_ordinal(feats, "lang").select("lang", F.col("code").cast("double").alias("lang_code"))
     src_t = fit_ordinal(feats, "source").select("source", F.col("code").cast("double").alias("source_code"))
-    out = feats.join(lang_t, "lang").join(src_t, "source")
+    out = (feats.join(lang_t, "lang", "left").join(src_t, "source", "left")
+           .fillna(-1.0, ["lang_code", "source_code"]).fillna(0.0, ["log_len", "odd_share", "digit_share", "upper_share"])
+           .fillna(1.0, ["line_count"]))
     h = F.md5(F.col("row_id").cast("string"))
-    return out.withColumn("split", F.when(F.conv(F.substring(h, 1, 4), 16, 10).cast("int") % 5 == 0, "test")
+    return out.withColumn("split", F.when(F.col("label").isNull() | (F.conv(F.substring(h, 1, 4), 16, 10).cast("int") % 5 == 0), "test")
                           .otherwise("train"))

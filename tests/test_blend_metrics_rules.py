@@ -51,16 +51,31 @@ def test_threshold_scan_matches_brute_force(spark):
         assert (scan[t]["tp"], scan[t]["fp"]) == (tp, fp)
 
 
-def test_weight_search_paths_agree(spark):
-    rows = [(i, (i * 37 % 1000) / 1000.0, (i * 91 % 1000) / 1000.0, int(i % 3 == 0)) for i in range(300)]
-    wide = spark.createDataFrame(rows, "row_id int, p0 double, p1 double, label int")
-    weights = [(k / 10, 1 - k / 10) for k in range(11)]
-    a = {r["w_id"]: r["auc"] for r in Q.weight_search_auc(wide, "label", ["p0", "p1"], weights, vectorised=True).collect()}
-    b = {r["w_id"]: r["auc"] for r in Q.weight_search_auc(wide, "label", ["p0", "p1"], weights, vectorised=False).collect()}
-    assert a == b
-    for w_id, (w0, w1) in enumerate(weights):
-        brute = _brute_auc([(round(w0 * p0 + w1 * p1, 9), y) for _, p0, p1, y in rows])
-        assert abs(a[w_id] - brute) < 1e-9
+def test_weight_search_is_exact_off_the_grid(spark):
+    import random
+
+    rng = random.Random(3)
+    # six members, scores off any grid, closer together than a ten-thousandth, and a crowd of equal ones
+    rows = [(i, *[rng.random() * 1e-4 if i % 3 else rng.random() for _ in range(6)], int(rng.random() < 0.4)) for i in range(300)]
+    rows += [(300 + i, *[0.5] * 6, i % 2) for i in range(100)]
+    cols = [f"p{m}" for m in range(6)]
+    wide = spark.createDataFrame(rows, "row_id int, " + ", ".join(f"{c} double" for c in cols) + ", label int")
+    weights = [tuple(k / 3 for k in w) for w in Q.simplex_weights(6, 3)]
+    assert len(weights) == 56 and len(set(weights)) == 56
+    for range_rows in (1_000, 37):
+        got = {r["w_id"]: r["auc"] for r in Q.weight_search_auc(wide, "label", cols, weights, range_rows).collect()}
+        for w_id, w in enumerate(weights):
+            brute = _brute_auc([(round(sum(a * b for a, b in zip(w, r[1:7])), 12), r[7]) for r in rows])
+            assert abs(got[w_id] - brute) < 1e-9
+
+
+def test_auc_of_crowded_and_unbounded_scores(spark):
+    rows = [(1e-9 * i, i % 2) for i in range(200)] + [(-1e6, 1), (1e9, 0), (0.0, 1), (0.0, 0)]
+    df = spark.createDataFrame(rows, "score double, label int")
+    assert abs(Q.auc(df, "label", "score").first()["auc"] - _brute_auc(rows)) < 1e-9
+    cuts = Q.quantile_cuts(df, "score", 16)
+    sizes = [r["n"] for r in df.groupBy(Q.range_bucket(F.col("score"), cuts).alias("b")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 10 and max(sizes) < 40
 
 
 def test_rules_groups_and_children(spark):
