@@ -50,3 +50,13 @@ def local_rows(spark: SparkSession, rows: list[tuple], schema: list[tuple[str, s
         return spark.sql("select " + ", ".join(f"cast(null as {t}) {n}" for n, t in schema) + " where false")
     values = ", ".join("(" + ", ".join(f"cast({v!r} as {t})" for v, (_, t) in zip(r, schema, strict=True)) + ")" for r in rows)
     return spark.sql(f"select * from values {values} as t({names})")
+
+
+def keep_listed(df: DataFrame, listed: DataFrame, key: str, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Rows of ``df`` whose ``key`` (a long) is in ``listed``.
+
+    The list is broadcast when it is counted at no more than ``broadcast_rows`` (16 bytes each);
+    beyond that it is a shuffle join with the same rows.
+    """
+    small = listed.limit(broadcast_rows + 1).count() <= broadcast_rows
+    return df.join(F.broadcast(listed) if small else listed, key, "left_semi")

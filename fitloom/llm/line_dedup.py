@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fitloom.llm.common import WORD, scratch
+from fitloom.llm.common import WORD, keep_listed, scratch
 
 DIVISOR = 4
 ANCHOR_WORDS = 30
@@ -88,11 +88,12 @@ def removals(rows: DataFrame) -> DataFrame:
     found = rows.select("__row", F.posexplode(F.col("__chunks.hash")).alias("k", "hash")).where("hash is not null")
     found = found.select("hash", F.struct(F.col("__row.id"), F.col("__row.t"), "k").alias("place"))
     repeated = scratch(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "lines-repeated")
-    found = found.join(repeated, "hash", "left_semi")
+    found = keep_listed(found, repeated, "hash")
     texts = (rows.select("__row", F.posexplode("__chunks").alias("k", "c"))
              .select(F.col("c.hash").alias("hash"), F.rtrim("c.text", F.lit("\n")).alias("bytes"),
                      F.struct(F.col("__row.id"), F.col("__row.t"), "k").alias("place"))
-             .where("hash is not null").join(repeated, "hash", "left_semi"))
+             .where("hash is not null"))
+    texts = keep_listed(texts, repeated, "hash")
     groups = texts.groupBy("hash", "bytes").agg(F.min("place").alias("first"), F.max("place").alias("last"))
     # chunks with one hash but different bytes are collisions: a handful, told apart by their bytes
     same_hash = Window.partitionBy("hash")
