@@ -38,9 +38,9 @@ def word_count(text: Column) -> Column:
 
 
 def unit_hash(*cols: Column) -> Column:
-    """Uniform double in (0, 1) from the hash of ``cols``; the same in every run."""
-    h = F.shiftrightunsigned(F.xxhash64(*cols), 11)
-    return (h.cast("double") + F.lit(0.5)) / F.lit(float(2**53))
+    """Uniform double in (0, 1) from the MD5 of ``cols`` (strings; NULL as empty); the same in every run and engine."""
+    text = F.concat_ws("#", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**52))
 
 
 def local_rows(spark: SparkSession, rows: list[tuple], schema: list[tuple[str, str]]) -> DataFrame:

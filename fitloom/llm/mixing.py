@@ -64,8 +64,7 @@ def mix(docs: DataFrame, quality: Column | None = None, budget_share: float = 1.
     text = F.col("text")
     rows = scratch(docs.select(
         F.struct(*[F.col(c) for c in keep or ["doc_id"]]).alias("row"), "doc_id", "source", word_count(text).alias("size"),
-        unit_hash(F.col("doc_id"), F.coalesce(text, F.lit(""))).alias("u"),
-        F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"),
+        F.md5(F.coalesce(text, F.lit(""))).alias("text_key"), unit_hash(F.col("doc_id"), F.md5(F.coalesce(text, F.lit("")))).alias("u"),
         (quality if quality is not None else quality_weight(text)).alias("quality")),
         "mix-rows", "zstd" if keep else "snappy")
     rows = (rows.withColumn("key", -F.log("u") / F.coalesce("quality", F.lit(0.05)))

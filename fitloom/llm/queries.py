@@ -74,4 +74,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+# The mixture as plain windows: one running sum per source instead of bucket sums and a border bucket.
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>{}]')) AS symbols, md5(coalesce(text, '')) AS text_key FROM documents),
+k AS (SELECT *, -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '#' || text_key), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)
+    / greatest(0.05, 1.0 - symbols / CAST(greatest(size, 1) AS DOUBLE)) AS key FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w, source_size * 2.0::DOUBLE AS cap FROM s),
+l AS (SELECT *, (sum(source_size::DOUBLE) OVER () * 1.5::DOUBLE
+      - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+    / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, cap / w) FROM l WHERE level <= cap / w), 'inf'::DOUBLE) * w) AS target FROM l),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM t),
+x AS (SELECT k.*, source_size, target, epochs, target - epochs * source_size AS rest,
+    coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id NULLS FIRST, size, text_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+  CAST(size * least(epochs + CASE WHEN before + size / 2.0 <= rest THEN 1 ELSE 0 END, 2) AS BIGINT) AS taken FROM x"""
+
+ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL}
