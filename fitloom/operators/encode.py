@@ -10,6 +10,7 @@ replaces k refits.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,6 @@ from pyspark.sql import functions as F
 
 from fitloom.functions.joins import lookup_join, scalar_row
 
-MAX_ONE_HOT = 10_000
 
 
 def category_key(col: str, nan_as_category: bool = False) -> Column:
@@ -96,14 +96,37 @@ def fit_sigmoid_target(train: DataFrame, col: str, label: str, smoothing: float
     return st.where(F.col(col).isNotNull()).select(col, enc.alias("enc")), g
 
 
+def oof_sigmoid_target(train: DataFrame, col: str, label: str, fold: str, out: str, smoothing: float = 0.2,
+                       min_samples_leaf: int = 20) -> DataFrame:
+    """Sigmoid-weighted target encoding in which a row sees the other folds only; their mean is the prior.
+
+    Counts and sums per (category, fold) and per fold, taken off the totals: no fit per fold.
+    """
+    y = F.col(label).cast("double")
+    sums = [F.sum(y).alias("s"), F.count(F.lit(1)).alias("n")]
+    per = train.where(F.col(col).isNotNull()).groupBy(col, fold).agg(*sums)
+    every = train.where(F.col(col).isNotNull()).groupBy(col).agg(F.sum(y).alias("__sa"), F.count(F.lit(1)).alias("__na"))
+    total = train.agg(F.sum(y).alias("__st"), F.count(F.lit(1)).alias("__nt"))
+    prior = (train.groupBy(fold).agg(*sums).crossJoin(F.broadcast(total))       # one row of totals
+             .select(fold, F.try_divide(F.col("__st") - F.col("s"), F.col("__nt") - F.col("n")).alias("__prior")))
+    n, mean = F.col("__na") - F.col("n"), F.try_divide(F.col("__sa") - F.col("s"), F.col("__na") - F.col("n"))
+    w = 1.0 / (1.0 + F.exp(-(n - F.lit(min_samples_leaf)) / F.lit(smoothing)))
+    table = per.join(every, col).select(col, fold, F.when(n > 0, mean).alias("__mean"), F.when(n > 0, w).otherwise(0.0).alias("__w"))
+    j = lookup_join(lookup_join(train, prior, fold, "left"), table, [col, fold], "left")
+    w, mean = F.coalesce("__w", F.lit(0.0)), F.coalesce("__mean", F.lit(0.0))
+    return j.withColumn(out, F.col("__prior") * (1 - w) + mean * w).drop("__prior", "__mean", "__w")
+
+
 # J7 ---------------------------------------------------------------------------
-def fit_categories(train: DataFrame, col: str, max_categories: int = MAX_ONE_HOT) -> list:
-    """Sorted distinct non-NULL values (checked against a bound before collecting)."""
+def fit_categories(train: DataFrame, col: str, max_categories: int | None = None) -> list:
+    """Sorted distinct non-NULL values: one column each, so their number is the caller's choice of feature.
+
+    ``max_categories`` raises beyond the caller's own bound; there is no built-in one.
+    """
     d = train.where(F.col(col).isNotNull()).select(col).distinct()
-    vals = [r[0] for r in d.limit(max_categories + 1).collect()]
-    if len(vals) > max_categories:
+    if max_categories is not None and d.limit(max_categories + 1).count() > max_categories:
         raise ValueError(f"{col}: more than {max_categories} categories for one-hot encoding")
-    return sorted(vals)
+    return sorted(r[0] for r in d.collect())
 
 
 def one_hot(df: DataFrame, col: str, categories: Sequence, drop_first: bool = True,
@@ -130,7 +153,10 @@ def fit_ordinal(frame: DataFrame, col: str, buckets: int = 256) -> DataFrame:
 
     d = frame.where(F.col(col).isNotNull()).select(col).distinct()
     if isinstance(frame.schema[col].dataType, T.StringType):
-        bucket = F.substring(F.col(col), 1, 2)
+        # values between the least and the greatest share their common prefix: bucket by what follows it
+        ends = d.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
+        common = len(os.path.commonprefix([ends["lo"] or "", ends["hi"] or ""]))
+        bucket = F.substring(F.col(col), 1, common + 3)
     else:
         edges = d.agg(F.percentile_approx(F.col(col).cast("double"), [i / buckets for i in range(1, buckets)],
                                           10 * buckets).alias("e")).first()["e"] or []

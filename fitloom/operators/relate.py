@@ -61,13 +61,16 @@ def split_back(df: DataFrame, col: str = "split") -> tuple[DataFrame, DataFrame]
 # I2 ---------------------------------------------------------------------------
 def add_pseudo_labels(labelled: DataFrame, scored: DataFrame, prob: str, label: str,
                       hi: float = 0.9, lo: float | None = 0.1, min_rows: int = 0) -> DataFrame:
-    """Union labelled rows with confidently scored rows (p >= hi -> 1, p <= lo -> 0)."""
+    """Union labelled rows with confidently scored rows (p >= hi -> 1, p <= lo -> 0).
+
+    The reference's rule: they are used only if there are more than ``min_rows`` of them.
+    """
     conf = F.col(prob) >= hi
     if lo is not None:
         conf = conf | (F.col(prob) <= lo)
     pseudo = (scored.where(conf).withColumn(label, (F.col(prob) >= hi).cast("int"))
               .drop(prob).withColumn("is_pseudo", F.lit(1)))
-    if min_rows and pseudo.limit(min_rows).count() < min_rows:
+    if min_rows and pseudo.limit(min_rows + 1).count() <= min_rows:
         pseudo = pseudo.limit(0)
     return labelled.withColumn("is_pseudo", F.lit(0)).unionByName(pseudo, allowMissingColumns=True)
 

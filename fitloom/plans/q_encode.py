@@ -123,6 +123,21 @@ def j6_sigmoid_target(spark, sf):
     return out.select("id", F.round("grp_sigmoid_te", 9).alias("grp_sigmoid_te"))
 
 
+@register("j6_sigmoid_target_oof", with_frames("basket", f"""
+tr AS (SELECT id, grp, label, (row_number() OVER (ORDER BY {MD5}) - 1) % 5 AS fold FROM basket WHERE split = 'train'),
+p AS (SELECT f.fold, avg(CAST(t.label AS DOUBLE)) AS prior FROM (SELECT DISTINCT fold FROM tr) f JOIN tr t ON t.fold <> f.fold GROUP BY 1),
+pf AS (SELECT grp, fold, sum(CAST(label AS DOUBLE)) AS sf, count(*) AS nf FROM tr GROUP BY grp, fold),
+pa AS (SELECT grp, sum(CAST(label AS DOUBLE)) AS sa, count(*) AS na FROM tr GROUP BY grp),
+e AS (SELECT grp, fold, CASE WHEN na > nf THEN (sa - sf) / (na - nf) END AS m,
+  CASE WHEN na > nf THEN 1.0 / (1.0 + exp(-(na - nf - 3) / 0.3)) ELSE 0.0 END AS w FROM pf JOIN pa USING (grp))
+SELECT id, round(prior * (1 - coalesce(w, 0.0)) + coalesce(m, 0.0) * coalesce(w, 0.0), 9) AS grp_sigmoid_te
+FROM tr JOIN p USING (fold) LEFT JOIN e USING (grp, fold)"""))
+def j6_sigmoid_target_oof(spark, sf):
+    _, tr = split_frames(spark, sf)
+    out = J.oof_sigmoid_target(N.kfold(tr, "id", 5), "grp", "label", "fold", "te", smoothing=0.3, min_samples_leaf=3)
+    return out.select("id", F.round("te", 9).alias("grp_sigmoid_te"))
+
+
 _SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 

@@ -230,3 +230,78 @@ def d15_typed_preprocess(spark, sf):
     b = basket(spark, sf)
     out = D.typed_preprocess(b, b, ["age_n", "sp_economy"], ["planet_n", "dest"], keep=["id"])
     return out.withColumns({c: F.round(c, 9) for c in ["age_n", "sp_economy"]})
+
+
+# ---------------------------------------------------------------- both sides of every rule
+# A state that contradicts the spend (true with spend, NULL, false without), a VIP flag with NULLs, and clusters
+# by id in which the state rate is 1, about a half and 0.
+
+CONFLICTS = """c AS (SELECT * REPLACE (CASE WHEN id % 5 = 0 THEN true WHEN id % 5 = 1 THEN NULL ELSE false END AS state_n,
+  CASE WHEN id % 3 = 0 THEN NULL ELSE vip END AS vip,
+  (id % 4 = 0 OR (id % 4 = 1 AND id % 3 = 0)) AS state), CAST(id % 4 AS INTEGER) AS cl4, CAST(id % 8 AS INTEGER) AS cl8,
+  CASE WHEN id % 7 = 0 THEN NULL ELSE (id % 4 = 0 OR (id % 4 = 1 AND id % 3 = 0)) END AS state_m FROM basket)"""
+
+
+def conflicts(spark, sf):
+    b = basket(spark, sf)
+    k = F.col("id")
+    state = (k % 4 == 0) | ((k % 4 == 1) & (k % 3 == 0))
+    return b.withColumns({
+        "state_n": F.when(k % 5 == 0, True).when(k % 5 == 1, None).otherwise(False),
+        "vip": F.when(k % 3 == 0, None).otherwise(F.col("vip")), "state": state,
+        "cl4": (k % 4).cast("int"), "cl8": (k % 8).cast("int"), "state_m": F.when(k % 7 == 0, None).otherwise(state)})
+
+
+@register("d7_rule_cascade_conflicts", with_frames("basket", f"""
+{CONFLICTS},
+r AS (SELECT id, coalesce({tol('state_n')}, CASE WHEN {TOTAL} = 0 THEN 1 WHEN {TOTAL} > 0 THEN 0 END, 0) AS state_r,
+  coalesce({tol('vip')}, CASE WHEN state_r <> 1 AND {TOTAL} > 1000.0 THEN 1 END, 0) AS vip_r FROM c)
+SELECT id, state_r, vip_r FROM r"""))
+def d7_rule_cascade_conflicts(spark, sf):
+    out = D.rule_cascade(conflicts(spark, sf), SPEND_COLS, "state_n", "vip", "age_n", "grp",
+                         ("planet_n", "dest"), DEST_TO_SEGMENT, "HOUSEHOLD")
+    return out.select("id", "state_r", "vip_r")
+
+
+_TOL_S = tol("state_n")
+
+
+@register("d8_repair_contradictions_conflicts", with_frames("basket", f"""
+{CONFLICTS},
+f AS (SELECT *, CASE WHEN {_TOL_S} = 1 THEN 1 WHEN {TOTAL} > 0 THEN 0 WHEN {_TOL_S} IS NULL AND {TOTAL} = 0 THEN 1 ELSE {_TOL_S} END AS fx FROM c)
+SELECT id, fx AS state_fixed, CASE WHEN fx = 1 THEN 0.0 ELSE sp_economy END AS sp_economy_fixed FROM f"""))
+def d8_repair_contradictions_conflicts(spark, sf):
+    return D.repair_contradictions(conflicts(spark, sf), "state_n", SPEND_COLS).select("id", "state_fixed", "sp_economy_fixed")
+
+
+@register("d10_cluster_rate_gate_conflicts", with_frames("basket", f"""
+{CONFLICTS},
+s AS (SELECT cl4, avg(CAST(state AS DOUBLE)) AS rate, median(sp_economy) AS med FROM c GROUP BY cl4)
+SELECT id, rate > 0.7 AS gated, round(coalesce(sp_economy, CASE WHEN rate > 0.7 THEN 0.0 ELSE coalesce(med, 0.0) END), 6) AS econ_g
+FROM c LEFT JOIN s USING (cl4)"""))
+def d10_cluster_rate_gate_conflicts(spark, sf):
+    out = D.cluster_rate_gate(conflicts(spark, sf), "cl4", "state", "sp_economy", "econ_g")
+    return out.select("id", (F.col("cl4") == 0).alias("gated"), F.round("econ_g", 6).alias("econ_g"))
+
+
+@register("d13_vote_fill_conflicts", with_frames("basket", f"""
+{CONFLICTS},
+a AS (SELECT cl4, avg(CAST(state_m AS DOUBLE)) AS r4 FROM c GROUP BY cl4),
+e AS (SELECT cl8, avg(CAST(state_m AS DOUBLE)) AS r8 FROM c GROUP BY cl8)
+SELECT id, coalesce(state_m, (coalesce(r4, 0.0) + coalesce(r8, 0.0)) / ((r4 IS NOT NULL)::INT + (r8 IS NOT NULL)::INT) > 0.5) AS state_v
+FROM c LEFT JOIN a USING (cl4) LEFT JOIN e USING (cl8)"""))
+def d13_vote_fill_conflicts(spark, sf):
+    return D.vote_fill(conflicts(spark, sf), "state_m", ["cl4", "cl8"], "state_v").select("id", "state_v")
+
+
+@register("q11_rule_compliance_conflicts", with_frames("basket", f"""
+{CONFLICTS},
+t AS (SELECT count(*) FILTER (WHERE coalesce(state_n, false)) AS n_applicable,
+  count(*) FILTER (WHERE coalesce(state_n, false) AND {TOTAL} = 0) AS n_valid FROM c)
+SELECT n_applicable, n_valid, n_applicable - n_valid AS n_violation,
+  round(CAST(n_valid AS DOUBLE) / nullif(n_applicable, 0), 12) AS share_valid FROM t"""))
+def q11_rule_compliance_conflicts(spark, sf):
+    from fitloom.functions.rowwise import row_sum
+    from fitloom.operators import metrics as Q
+
+    return Q.rule_compliance(conflicts(spark, sf), F.col("state_n"), row_sum(SPEND_COLS) == 0)

@@ -124,13 +124,13 @@ SEEDS = [42, 123, 456, 789, 2024]
 @register("p12_seed_ensemble")
 def p12_seed_ensemble(spark, sf):
     _, tr, te = docs(spark, sf)
-    return S.seed_ensemble(tr, te, "rf", FEATS, SEEDS)
+    return S.seed_ensemble(tr, te, ["rf", "lr"], FEATS, SEEDS, cluster_on=["log_len", "odd_share"])
 
 
 @register("p14_pseudo_label_refit")
 def p14_pseudo_label_refit(spark, sf):
     _, tr, te = docs(spark, sf)
-    return S.pseudo_label_refit(tr, te, "lr", FEATS, hi=0.9, lo=0.1, min_rows=10)
+    return S.pseudo_label_refit(tr, te, "lr", FEATS, hi=0.9, lo=0.1, min_rows=50)
 
 
 CONFIGS = {"lr": ("lr", {}), "rf_shallow": ("rf", {"maxDepth": 3}), "gbt": ("gbt", {"maxIter": 10})}
