@@ -23,7 +23,7 @@ def test_rule_cascade(spark):
     out = {r["id"]: r for r in D.rule_cascade(df, SP, "state", "vip", "age", "g", ("cat", "dest"),
                                                {"AMERICA": "M", "EUROPE": "B"}, "H").collect()}
     assert out[1]["state_r"] == 1 and out[1]["age_r"] == 40.0 and out[1]["category_r"] == "M"   # group mean
-    assert out[2]["state_r"] == 1 and out[2]["vip_r"] == 1                    # parsed state, spend > 1000
+    assert out[2]["state_r"] == 1 and out[2]["vip_r"] == 0                    # in the state, its spend counts as 0
     assert out[3]["vip_r"] == 1 and out[3]["age_r"] == -3.0                   # group mean of its own value
     assert out[4]["age_r"] == 35.0 and out[4]["category_r"] == "H"            # no group age, state from spend
 
