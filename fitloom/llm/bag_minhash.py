@@ -63,6 +63,22 @@ def draws(seed: np.ndarray, n: int) -> np.ndarray:
     return mix64(seed + np.uint64(n * 0x9E3779B97F4A7C15 % 2**64))
 
 
+def _word_hashes(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word: its bytes times one odd factor per place, scrambled. Done a slice of words at a time."""
+    word = np.empty(len(start), np.uint64)
+    upto = np.concatenate([[0], np.cumsum(length)])
+    lo = 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + BYTES_AT_ONCE, side="right")) - 1)
+        n, begin = length[lo:hi], upto[lo:hi] - upto[lo]
+        at = np.arange(int(n.sum())) - np.repeat(begin, n)
+        factors = mix64(np.arange(1, int(n.max()) + 1, dtype=np.uint64)) | np.uint64(1)
+        inside = data[np.repeat(start[lo:hi], n) + at].astype(np.uint64) + np.uint64(1)
+        word[lo:hi] = mix64(np.add.reduceat(inside * factors[at], begin) + n.astype(np.uint64))
+        lo = hi
+    return word
+
+
 def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, shingle id, weight) of every distinct shingle, sorted by text and id."""
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
@@ -71,11 +87,7 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start, end = edge[::2], edge[1::2]
     if not len(start):
         return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
-    length = end - start
-    at = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-    inside = data[~space].astype(np.uint64) + np.uint64(1)
-    factors = mix64(np.arange(1, int(length.max()) + 1, dtype=np.uint64)) | np.uint64(1)
-    word = mix64(np.add.reduceat(inside * factors[at], np.cumsum(length) - length) + length.astype(np.uint64))
+    word = _word_hashes(data, start, end - start)
     ends = np.cumsum([len(t) + 1 for t in texts])
     text = np.searchsorted(ends, start, side="right")
     count = np.bincount(text, minlength=len(texts))

@@ -107,9 +107,10 @@ def removals(rows: DataFrame) -> DataFrame:
         F.collect_set("place.k").alias("__gone"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated chunks cut from ``text``, plus n_chunks and n_removed."""
-    names = docs.columns
+def dedup_lines(docs: DataFrame, report: bool = True) -> DataFrame:
+    """``docs`` with repeated chunks cut from ``text``; ``report`` adds n_chunks and n_removed
+    (in place of columns of ``docs`` with these names)."""
+    names = [c for c in docs.columns if not (report and c in ("n_chunks", "n_removed"))]
     rows = scratch(chunked(docs), "lines", compression="zstd")
     gone = removals(rows)
     left = rows.join(gone.withColumnRenamed("__row", "__r"), F.col("__row").eqNullSafe(F.col("__r")), "left")
@@ -119,5 +120,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     left = left.withColumn("__keep", keep)
     text = F.array_join(F.transform("__keep", lambda i: F.get("__chunks", i)["text"]), "")
     out = left.withColumn("text", F.when(F.col("__chunks").isNotNull(), text))
+    if not report:
+        return out.select(*names)
     return out.select(*names, F.greatest(n, F.lit(0)).alias("n_chunks"),
                       F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).alias("n_removed"))

@@ -21,7 +21,7 @@ EDGE_ROWS = [
     (7, "Ünï çödé ✓ 日本語 text\nwith lines\nwith lines", "fr", "b", 1, 1, "k", 2.0),
     (8, "12345 67890 !!! ###", "en", "b", 1, 1, "k", 2.0),
 ]
-EDGE_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, key string, bucket double"
+EDGE_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, key string, n_removed double"
 
 
 def edge_docs(spark):
