@@ -140,6 +140,17 @@ def q2_auc(spark, sf):
     return Q.auc(scored(spark, sf), "label", "prob")
 
 
+@register("q2_auc_by_member", with_frames("basket preds", """
+s AS (SELECT member, prob AS s, sum(CAST(label AS BIGINT)) AS p, sum(CAST(1 - label AS BIGINT)) AS n
+      FROM basket JOIN preds ON id = row_id GROUP BY 1, 2),
+w AS (SELECT member, p, n, coalesce(sum(n) OVER (PARTITION BY member ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM s)
+SELECT member, round(sum(CAST(p AS DOUBLE) * (CAST(below AS DOUBLE) + n / 2.0)) / (sum(p) * sum(n)), 12) AS auc,
+       CAST(sum(p) AS BIGINT) AS n_pos, CAST(sum(n) AS BIGINT) AS n_neg FROM w GROUP BY member"""))
+def q2_auc_by_member(spark, sf):
+    b = basket(spark, sf).select(F.col("id").alias("row_id"), "label")
+    return Q.auc_by(b.join(preds(spark, sf), "row_id"), "label", "prob", ["member"])
+
+
 def text_signal(spark, sf):
     """documents joined to labels with the share of characters outside [a-zA-Z0-9 ] (whole text)."""
     d = table(spark, sf, "documents").select("doc_id", "text")
@@ -264,6 +275,24 @@ def q7_blend_weight_auc(spark, sf):
     return Q.weight_search_auc(wide, "label", [f"p{m}" for m in range(5)], weights)
 
 
+# Six members whose scores lie off any grid, weights in quarters.
+_SIX = Q.simplex_weights(6, 4)
+_SIX_SQL = ", ".join("(" + ", ".join([str(i)] + [repr(k / 4) for k in w]) + ")" for i, w in enumerate(_SIX))
+
+
+@register("q7_blend_weight_auc_six", with_frames("basket", f"""
+w(w_id, {', '.join(f'w{m}' for m in range(6))}) AS (VALUES {_SIX_SQL}),
+wide AS (SELECT label, {', '.join(f'(((id * {7919 + 2 * m}) % 100003) / 100003.0)::DOUBLE AS p{m}' for m in range(6))} FROM basket),
+x AS (SELECT w_id, label, round({' + '.join(f'w{m} * p{m}' for m in range(6))}, 12) AS s FROM wide CROSS JOIN w),
+s AS (SELECT w_id, s, sum(CAST(label AS BIGINT)) AS p, sum(CAST(1 - label AS BIGINT)) AS n FROM x GROUP BY 1, 2),
+b AS (SELECT w_id, p, n, coalesce(sum(n) OVER (PARTITION BY w_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM s)
+SELECT CAST(w_id AS INTEGER) AS w_id, round(sum(CAST(p AS DOUBLE) * (CAST(below AS DOUBLE) + n / 2.0)) / (sum(p) * sum(n)), 12) AS auc FROM b GROUP BY w_id"""))
+def q7_blend_weight_auc_six(spark, sf):
+    b = basket(spark, sf)
+    wide = b.select("label", *[((F.col("id") * (7919 + 2 * m)) % 100003 / 100003.0).alias(f"p{m}") for m in range(6)])
+    return Q.weight_search_auc(wide, "label", [f"p{m}" for m in range(6)], [tuple(k / 4 for k in w) for w in _SIX])
+
+
 _GRID = Q.normalised_grid([0.8, 1.0, 1.2, 1.5], 4)
 _GRID_SQL = ", ".join("(" + ", ".join([str(i)] + [repr(x) for x in w]) + ")" for i, w in enumerate(_GRID))
 

@@ -74,10 +74,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def keep_for_reuse(df: DataFrame) -> DataFrame:
-    """Persist a frame that several fits and the final apply read (memory, spilling to disk).
+    """A frame that several fits and the final apply read: computed once, into the shared checkpoint folder.
 
-    Lost executors recompute only their lost partitions from lineage.
+    Nothing stays in executor storage for the life of the session, and a lost
+    executor costs a re-read.
     """
-    from pyspark import StorageLevel
-
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return cut_lineage(df)
