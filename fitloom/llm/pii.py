@@ -11,9 +11,9 @@ Disclosing terms (C-sanitisation): every base match is a protected entity e. Ter
 (equal texts count once), ``PMI(t; e) = log2(n(t, e) * n / (n(t) * n(e)))`` says how many of the
 ``IC(e) = log2(n / n(e))`` bits of the entity the term gives away. A term that gives away
 ``GENERALISE`` of them is a span of kind ``term`` wherever it occurs, and is replaced by a
-placeholder; from ``REMOVE`` on it is removed. A pair counts once it was seen in ``SUPPORT``
-texts with as many different neighbours of the term, so copies of one passage do not make its
-words disclosing.
+placeholder; from ``REMOVE`` on it is removed. A pair counts once it was seen with ``SUPPORT``
+different neighbours of the term, none of them in more than half of the texts, so copies and
+near copies of one passage do not make its words disclosing.
 
 Only pairs near an entity are shuffled, combined on the map side; document counts are
 taken for terms of such pairs alone. The base result is written without texts, so the last
@@ -84,9 +84,10 @@ def _mark_of(kind: str):
 
 def _places(d: DataFrame, out: str, found: Column, between: Column) -> DataFrame:
     """Add ``out``: array<struct<s, start, end>> of the matches ``found``, given the texts ``between`` them."""
-    # step[k]: from the start of match k - 1 (or of the text) to the start of match k
-    d = d.withColumn("__m", found).withColumn("__g", between)
-    d = d.withColumn("__step", F.transform("__m", lambda m, k: F.length(F.get("__g", k)) + F.coalesce(F.length(F.get("__m", k - 1)), F.lit(0))))
+    # lengths of the text before each match and of the match; step[k]: from match k - 1's start to match k's
+    d = d.withColumn("__m", found)
+    d = d.withColumn("__len", F.zip_with(between, "__m", lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"))))
+    d = d.withColumn("__step", F.transform("__m", lambda m, k: F.get("__len", k)["g"] + F.coalesce(F.get("__len", k - 1)["m"], F.lit(0))))
     blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size("__step") / SUM_BLOCK).cast("int")),
                          lambda b: F.aggregate(F.slice("__step", b * SUM_BLOCK + 1, F.lit(SUM_BLOCK)), F.lit(0), lambda a, x: a + x))
     d = d.withColumn("__block", F.when(F.size("__step") > 0, blocks))
@@ -97,7 +98,7 @@ def _places(d: DataFrame, out: str, found: Column, between: Column) -> DataFrame
         start = F.get("__base", b) + F.aggregate(F.slice("__step", b * SUM_BLOCK + 1, k % SUM_BLOCK + 1), F.lit(0), lambda a, x: a + x)
         return F.struct(m.alias("s"), start.alias("start"), (start + F.length(m)).alias("end"))
 
-    return d.withColumn(out, F.transform("__m", place)).drop("__m", "__g", "__step", "__block", "__base")
+    return d.withColumn(out, F.transform("__m", place)).drop("__m", "__len", "__step", "__block", "__base")
 
 
 def with_base_spans(d: DataFrame, text: str) -> DataFrame:
@@ -143,46 +144,54 @@ def base(docs: DataFrame) -> DataFrame:
         "id", "t", *[F.transform(f"__{k}", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(k) for k in KINDS], "near"), "pii-base")
 
 
+def _share(n: int, both: Column, n_term: Column, n_entity: Column) -> Column:
+    """PMI of term and entity as a share of the entity's information."""
+    bits = F.log2(F.lit(float(n)) / n_entity)
+    return F.when(bits > 0, F.log2(both * float(n) / (n_term * n_entity)) / bits).otherwise(0.0)
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(term, share): terms that give away at least ``GENERALISE`` of some entity's information."""
+    """(id, t, term, share) for every text and each term in it that gives away at least
+    ``GENERALISE`` of some entity's information."""
     near = found.where(F.size("near") > 0).select("t", F.explode("near").alias("x")).select("t", "x.entity", "x.words")
     words = F.col("words")
-    seen = (near.select("t", "entity", F.explode(F.transform(words, lambda w, i: F.struct(
+    seen = scratch(near.select("t", "entity", F.explode(F.transform(words, lambda w, i: F.struct(
         w.alias("term"), F.xxhash64(F.get(words, i - 1), F.get(words, i + 1)).alias("around")))).alias("y"))
-        .select("t", "entity", "y.term", "y.around").distinct())
-    pairs = (seen.groupBy("entity", "term", "t").agg(F.min("around").alias("around"), F.max("around").alias("other"))
-             .groupBy("entity", "term").agg(F.count("*").alias("both"), F.countDistinct("around").alias("kinds"))
-             .where((F.col("both") >= SUPPORT) & (F.col("kinds") >= SUPPORT)))
-    pairs = scratch(pairs.select("entity", "term", "both"), "pii-pairs")
-    terms = pairs.select("term").distinct()
-    texts = _row_key(docs)
-    n = found.select("t").distinct().count()
-    held = (texts.select("t", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-            .join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term")))
-    entities = (near.select("t", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")))
-    scored = pairs.join(held, "term").join(entities, "entity")
-    bits = F.log2(F.lit(float(max(n, 2))) / F.col("n_entity"))
-    pmi = F.log2(F.col("both") * float(max(n, 2)) / (F.col("n_term") * F.col("n_entity")))
-    share = F.when(bits > 0, pmi / bits).otherwise(0.0)
-    return scratch(scored.withColumn("share", share).groupBy("term").agg(F.max("share").alias("share"))
-                   .where(F.col("share") >= GENERALISE), "pii-terms")
+        .select("t", "entity", "y.term", "y.around").distinct(), "pii-near")
+    n = max(2, found.select("t").distinct().count())
+    entities = near.select("t", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    # copies and near copies of one passage repeat one neighbourhood: no neighbourhood may hold more than half
+    pairs = (seen.groupBy("entity", "term", "t").agg(F.min("around").alias("around"))
+             .groupBy("entity", "term", "around").agg(F.count("*").alias("texts"))
+             .groupBy("entity", "term").agg(F.sum("texts").alias("both"), F.count("*").alias("kinds"), F.max("texts").alias("most"))
+             .where((F.col("kinds") >= SUPPORT) & (2 * F.col("most") <= F.col("both"))))
+    # the texts with the term near any entity are a lower bound of those with the term at all: most
+    # pairs end here, and only the rest needs counts over whole texts
+    around_any = seen.select("term", "t").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    pairs = (pairs.join(entities, "entity").join(around_any, "term")
+             .where(_share(n, F.col("both"), F.col("n_near"), F.col("n_entity")) >= GENERALISE).select("entity", "term", "both", "n_entity"))
+    pairs = scratch(pairs, "pii-pairs")
+    held = scratch(_row_key(docs).select("id", "t", F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+                   .join(pairs.select("term").distinct(), "term", "left_semi").distinct(), "pii-held")
+    count = held.select("term", "t").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    terms = (pairs.join(count, "term").groupBy("term").agg(F.max(_share(n, F.col("both"), F.col("n_term"), F.col("n_entity"))).alias("share"))
+             .where(F.col("share") >= GENERALISE))
+    return scratch(held.join(terms, "term"), "pii-terms")
 
 
 def _term_pattern(term: Column) -> Column:
     return F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_-])"), term, F.lit(r"(?![\p{L}\p{N}_-])"))
 
 
-def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """id, t, terms array<struct<start, end, removed>> for the texts that hold a disclosing term."""
-    texts = _row_key(docs)
-    held = (texts.select("id", "t", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-            .join(terms, "term").distinct())
-    d = texts.join(held.select(F.col("id").alias("i"), F.col("t").alias("k"), "term", "share"),
-                   F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("k"))).drop("i", "k")
+def term_spans(docs: DataFrame, held: DataFrame) -> DataFrame:
+    """id, t, term array<struct<start, end, removed>> for the texts that hold a disclosing term."""
+    d = _row_key(docs).join(held.select(F.col("id").alias("i"), F.col("t").alias("k"), "term", "share"),
+                            F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("k"))).drop("i", "k")
     pattern = _term_pattern(F.col("term"))
     d = d.dropDuplicates(["id", "t", "term"]).withColumn("__pattern", pattern)
     d = _places(d, "__at", F.regexp_extract_all("text", F.col("__pattern"), F.lit(0)), F.split("text", F.col("__pattern"), -1))
-    each = d.select("id", "t", "share", F.explode("__at").alias("x"))
+    # explode() would bring a filter on the array's size, whose pushdown repeats every step above per match
+    each = d.select("id", "t", "share", F.explode_outer("__at").alias("x")).where("x is not null")
     return each.groupBy("id", "t").agg(F.array_sort(F.collect_set(
         F.struct("x.start", "x.end", (F.col("share") >= REMOVE).alias("removed")))).alias("term"))
 
