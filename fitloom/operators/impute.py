@@ -91,6 +91,7 @@ def group_stat_fill(df: DataFrame, col: str, key: str, out: str | None = None, s
 
 
 # D7 ---------------------------------------------------------------------------
+# The spend limit 1000 and the ages 35 and 29 below.
 def rule_cascade(df: DataFrame, spend_cols: Sequence[str], state: str, vip: str, age: str, group: str,
                  category: str, category_rules: Mapping[str, str], category_default: str,
                  vip_spend: float = 1000.0, age_if_state: float = 35.0, age_default: float = 29.0) -> DataFrame:
@@ -115,6 +116,13 @@ def rule_cascade(df: DataFrame, spend_cols: Sequence[str], state: str, vip: str,
     return d.withColumns({"age_r": age_r, "category_r": cat_r}).drop("__gm")
 
 
+def side_from_vip(df: DataFrame, side: str, vip: str, out: str, unknown: str = "Unknown",
+                  if_vip: str = "P", otherwise: str = "S") -> DataFrame:
+    """Unknown side: one value for VIPs (after their own repair), the other for the rest."""
+    known = F.col(side).isNotNull() & (F.col(side) != unknown)
+    return df.withColumn(out, F.when(known, F.col(side)).when(F.col(vip) == 1, F.lit(if_vip)).otherwise(F.lit(otherwise)))
+
+
 # D8 ---------------------------------------------------------------------------
 def repair_contradictions(df: DataFrame, state: str, spend_cols: Sequence[str], out_state: str = "state_fixed",
                           suffix: str = "_fixed") -> DataFrame:

@@ -255,12 +255,15 @@ def conflicts(spark, sf):
 @register("d7_rule_cascade_conflicts", with_frames("basket", f"""
 {CONFLICTS},
 r AS (SELECT id, coalesce({tol('state_n')}, CASE WHEN {TOTAL} = 0 THEN 1 WHEN {TOTAL} > 0 THEN 0 END, 0) AS state_r,
-  coalesce({tol('vip')}, CASE WHEN state_r <> 1 AND {TOTAL} > 1000.0 THEN 1 END, 0) AS vip_r FROM c)
-SELECT id, state_r, vip_r FROM r"""))
+  coalesce({tol('vip')}, CASE WHEN state_r <> 1 AND {TOTAL} > 1000.0 THEN 1 END, 0) AS vip_r,
+  CASE WHEN id % 6 = 0 THEN 'Unknown' WHEN id % 6 < 4 THEN NULL WHEN id % 6 = 4 THEN 'P' ELSE 'S' END AS side FROM c)
+SELECT id, state_r, vip_r, CASE WHEN side <> 'Unknown' THEN side WHEN vip_r = 1 THEN 'P' ELSE 'S' END AS side_r FROM r"""))
 def d7_rule_cascade_conflicts(spark, sf):
     out = D.rule_cascade(conflicts(spark, sf), SPEND_COLS, "state_n", "vip", "age_n", "grp",
                          ("planet_n", "dest"), DEST_TO_SEGMENT, "HOUSEHOLD")
-    return out.select("id", "state_r", "vip_r")
+    k = F.col("id") % 6
+    out = out.withColumn("side", F.when(k == 0, "Unknown").when(k < 4, None).when(k == 4, "P").otherwise("S"))
+    return D.side_from_vip(out, "side", "vip_r", "side_r").select("id", "state_r", "vip_r", "side_r")
 
 
 _TOL_S = tol("state_n")

@@ -142,6 +142,16 @@ def p15_best_config(spark, sf):
     return S.scoreboard(spark, tr, CONFIGS, FEATS, "fold", 3).where("is_best = 1")
 
 
+STACKS = {"original": ("lr", False, ["lr", "rf"]), "passthrough": ("lr", True, ["lr", "rf"]), "ridge": ("ridge", False, ["lr", "rf"]),
+          "one_member": ("lr", False, ["rf"])}
+
+
+@register("p15_best_stack")
+def p15_best_stack(spark, sf):
+    tr, _ = docs_folds(spark, sf, 2)
+    return S.stack_scoreboard(spark, tr, STACKS, ["lr", "rf"], FEATS, "fold", 2)
+
+
 @register("p16_ablation")
 def p16_ablation(spark, sf):
     tr, _ = docs_folds(spark, sf, 3)

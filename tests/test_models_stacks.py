@@ -85,6 +85,14 @@ def test_stack_is_out_of_fold(docs):
     assert out.count() == held.count()
 
 
+def test_stack_scoreboard_ranks_every_stack(spark, docs):
+    _, tr, _, _ = docs
+    board = S.stack_scoreboard(spark, N.stratified_kfold(tr, "row_id", "label", 2), {"lr": ("lr", False, ["lr"]), "ridge": ("ridge", True, ["lr"])},
+                               ["lr"], DOC_FEATURES, "fold", 2).collect()
+    assert {r["config"] for r in board} == {"lr", "ridge"} and sum(r["is_best"] for r in board) == 1
+    assert all(0.7 < r["cv_mean"] <= 1 for r in board)
+
+
 def test_clusters_repeat_and_cover(docs):
     _, tr, te, _ = docs
     views = [("a", ["log_len"], 3), ("b", ["odd_share", "line_count"], 4)]
