@@ -39,7 +39,7 @@ THRESHOLD = 0.95
 SLACK = 1e-4  # single precision search; double precision decides
 LEAST_SHARDS, SHARD_NODES, CHUNK_NODES = 8, 50_000, 20_000
 LINKS = 16
-BUILD_BEAM, FIRST_BEAM = 48, 32
+BUILD_BEAM, FIRST_BEAM = 48, 16
 BATCH = 1024
 AUDIT, RECALL = 64, 0.999
 EXPAND = 4
@@ -139,8 +139,10 @@ class Graph:
         out[rows[r], place] = candidates[r, c]
         return out
 
-    def _beam(self, q: np.ndarray, entry: np.ndarray, layer: int, ef: int, visited: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The ``ef`` best nodes found for each query (-1 padded) and their cosines."""
+    def _beam(self, q: np.ndarray, entry: np.ndarray, layer: int, ef: int, visited: np.ndarray | None = None,
+              hits: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ``ef`` best nodes found for each query (-1 padded) and their cosines. ``hits`` gets every
+        (queries, nodes) at the threshold that was met, also those that the beam has no room for."""
         adj, m = self.layers[layer], len(q)
         seen = np.zeros((m, self.n), bool) if visited is None else visited
         ids = np.full((m, ef), -1, np.int64)
@@ -155,7 +157,9 @@ class Graph:
             r, c = np.nonzero(nodes >= 0)
             seen[rows[r], nodes[r, c]] = True
             sim = np.full(nodes.shape, -3, np.float32)
-            sim[r, c] = np.einsum("kd,kd->k", q[rows[r]], self.x[nodes[r, c]])
+            sim[r, c] = near = np.einsum("kd,kd->k", q[rows[r]], self.x[nodes[r, c]])
+            if hits is not None and (good := near >= THRESHOLD - SLACK).any():
+                hits.append((rows[r[good]], nodes[r[good], c[good]]))
             all_ids = np.concatenate([ids[rows], nodes], 1)
             all_sims = np.concatenate([sims[rows], sim], 1)
             all_open = np.concatenate([open_[rows], nodes >= 0], 1)
@@ -194,9 +198,9 @@ class Graph:
                 at = self._beam(part, at, layer, 4)[0]
                 at = np.where(at >= 0, at, 0)
             seen = np.zeros((len(part), self.n), bool)
-            ids, sims = self._beam(part, at, 0, ef, seen)
-            r, c = np.nonzero((sims >= THRESHOLD - SLACK) & (ids >= 0))
-            r, node = r, ids[r, c]
+            hits: list = []
+            self._beam(part, at, 0, ef, seen, hits)
+            r, node = (np.concatenate(x) if hits else np.empty(0, np.int64) for x in (zip(*hits, strict=True) if hits else ((), ())))
             while len(r):
                 out_q.append(r + lo), out_n.append(node)
                 near = self.layers[0][node].astype(np.int64)
