@@ -4,9 +4,9 @@ Lines: a text is split after every newline, and a line further after every sente
 (``. ``, ``! ``, ``? ``), so a passage written as one long line is several lines too. The
 lines put together again are the text, byte for byte.
 
-Chunks: line hashes are rolled over a window of two lines, and a line whose rolling hash is
-0 modulo ``DIVISOR`` ends a chunk, unless the line before it does already (a chunk holds two
-lines at least). A newline-ended line of ``ANCHOR_WORDS`` words or more starts and ends a chunk,
+Chunks: line hashes are rolled over a window of two lines, and a line whose rolling hash is less
+than both its neighbours' ends a chunk, so a chunk has two lines at least and three on
+average. A newline-ended line of ``ANCHOR_WORDS`` words or more starts and ends a chunk,
 with no boundary that would split off its first or last sentence. All of this depends on
 the neighbouring lines alone, so a passage is cut alike wherever it stands.
 
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 
 from fitloom.llm.common import WORD, keep_listed, scratch
 
-DIVISOR = 4
 ANCHOR_WORDS = 30
 
 
@@ -47,11 +46,10 @@ def _lines_of(p: Column) -> Column:
         (i == 0).alias("first"), (i == F.size(p["parts"]) - 1).alias("last"), p["anchor"].alias("anchor")))
 
 
-def _candidate(x: Column, i: Column) -> Column:
-    """Whether the rolling hash ends a chunk at line ``i``."""
+def _mark(x: Column, i: Column) -> Column:
+    """The rolling hash over line ``i`` and the one before it; alone where an anchored line begins."""
     alone = (i == 0) | (x["first"] & x["anchor"])
-    before = F.get("__lines", i - 1)["h"]
-    return F.pmod(F.when(alone, F.xxhash64(x["h"])).otherwise(F.xxhash64(before, x["h"])), F.lit(DIVISOR)) == 0
+    return F.when(alone, F.xxhash64(x["h"])).otherwise(F.xxhash64(F.get("__lines", i - 1)["h"], x["h"]))
 
 
 def _ends(x: Column, i: Column) -> Column:
@@ -59,8 +57,9 @@ def _ends(x: Column, i: Column) -> Column:
     after = F.get("__lines", i + 1)
     at_anchor = x["last"] & (x["anchor"] | after["anchor"])
     splits_edge = x["anchor"] & (x["first"] | after["last"])
-    rolled = F.get("__marks", i) & ~F.coalesce(F.get("__marks", i - 1), F.lit(False)) & ~splits_edge
-    return (i == F.size("__lines") - 1) | at_anchor | rolled
+    here = F.get("__marks", i)
+    least = (F.get("__marks", i - 1) > here) & (F.get("__marks", i + 1) > here)
+    return (i == F.size("__lines") - 1) | at_anchor | (F.coalesce(least, F.lit(False)) & ~splits_edge)
 
 
 def _chunk(end: Column, k: Column) -> Column:
@@ -76,7 +75,7 @@ def chunked(docs: DataFrame) -> DataFrame:
     # each array is a column of its own: referred to more than once, it is evaluated once per row
     d = docs.withColumn("__row", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("t")))
     d = d.withColumn("__lines", F.flatten(F.transform(_paragraphs(F.col("text")), _lines_of))).drop("text")
-    d = d.withColumn("__marks", F.transform("__lines", _candidate))
+    d = d.withColumn("__marks", F.transform("__lines", _mark))
     d = d.withColumn("__ends", F.filter(F.transform("__lines", lambda x, i: F.when(_ends(x, i), i)), lambda i: i.isNotNull()))
     d = d.withColumn("__chunks", F.transform("__ends", _chunk)).drop("__lines", "__marks", "__ends")
     return d.withColumn("__chunks", F.transform("__chunks", lambda c: F.struct(
