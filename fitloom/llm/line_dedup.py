@@ -42,14 +42,14 @@ def _paragraphs(text: Column) -> Column:
 def _lines_of(p: Column) -> Column:
     """array<struct<s, h, first, last, anchor>>: the lines of one paragraph."""
     return F.transform(p["parts"], lambda s, i: F.struct(
-        s.alias("s"), F.xxhash64(F.rtrim(s, F.lit("\n"))).alias("h"),
+        s.alias("s"), F.md5(F.rtrim(s, F.lit("\n"))).alias("h"),
         (i == 0).alias("first"), (i == F.size(p["parts"]) - 1).alias("last"), p["anchor"].alias("anchor")))
 
 
 def _mark(x: Column, i: Column) -> Column:
     """The rolling hash over line ``i`` and the one before it; alone where an anchored line begins."""
     alone = (i == 0) | (x["first"] & x["anchor"])
-    return F.when(alone, F.xxhash64(x["h"])).otherwise(F.xxhash64(F.get("__lines", i - 1)["h"], x["h"]))
+    return F.md5(F.when(alone, x["h"]).otherwise(F.concat(F.get("__lines", i - 1)["h"], x["h"])))
 
 
 def _ends(x: Column, i: Column) -> Column:

@@ -93,4 +93,24 @@ x AS (SELECT k.*, source_size, target, epochs, target - epochs * source_size AS
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
   CAST(size * least(epochs + CASE WHEN before + size / 2.0 <= rest THEN 1 ELSE 0 END, 2) AS BIGINT) AS taken FROM x"""
 
-ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL}
+# Line dedup with lines and chunks as rows; the first chunk of equal bytes stays.
+OP2_SQL = r"""
+WITH p AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\n]*\n|[^\n]+')) AS para,
+    generate_subscripts(regexp_extract_all(text, '[^\n]*\n|[^\n]+'), 1) AS pn FROM documents),
+s AS (SELECT doc_id, pn, unnest(regexp_extract_all(para, '(?s).*?[.!?] |.+')) AS s, generate_subscripts(regexp_extract_all(para, '(?s).*?[.!?] |.+'), 1) AS sn,
+    len(regexp_extract_all(para, '(?s).*?[.!?] |.+')) AS parts, len(regexp_extract_all(para, '[^\x20\x09-\x0D]+')) >= 30 AS anchor FROM p),
+l AS (SELECT *, md5(rtrim(s, chr(10))) AS h, sn = parts AS last, row_number() OVER d AS i, count(*) OVER (PARTITION BY doc_id) AS n
+  FROM s WINDOW d AS (PARTITION BY doc_id ORDER BY pn, sn)),
+m AS (SELECT *, md5(CASE WHEN i = 1 OR (sn = 1 AND anchor) THEN h ELSE lag(h) OVER d || h END) AS mark FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+e AS (SELECT *, i = n OR (last AND (anchor OR lead(anchor) OVER d))
+    OR (coalesce(mark < lag(mark) OVER d AND mark < lead(mark) OVER d, false) AND NOT (anchor AND (sn = 1 OR lead(last) OVER d))) AS ends
+  FROM m WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+k AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM e),
+c AS (SELECT doc_id, chunk, string_agg(s, '' ORDER BY i) AS body, count(*) > 1 OR bool_or(anchor) AS compared FROM k GROUP BY doc_id, chunk),
+r AS (SELECT *, compared AND row_number() OVER (PARTITION BY compared, rtrim(body, chr(10)) ORDER BY doc_id, chunk) > 1 AS gone FROM c),
+g AS (SELECT doc_id, string_agg(body, '' ORDER BY chunk) FILTER (WHERE NOT gone) AS text, count(*) AS n_chunks, count(*) FILTER (WHERE gone) AS n_removed FROM r GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(g.text, '') END AS text,
+  CAST(coalesce(n_chunks, 0) AS INTEGER) AS n_chunks, CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed
+FROM documents d LEFT JOIN g USING (doc_id)"""
+
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_mixing": OP4_SQL}
