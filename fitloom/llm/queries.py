@@ -113,4 +113,25 @@ SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(g.text, '') END AS t
   CAST(coalesce(n_chunks, 0) AS INTEGER) AS n_chunks, CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed
 FROM documents d LEFT JOIN g USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_mixing": OP4_SQL}
+# Brute force over all pairs with a common shingle, then reachability.
+OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) > 0),
+b AS (SELECT doc_id, s, count(*) AS n FROM s GROUP BY doc_id, s),
+t AS (SELECT doc_id, sum(n) AS total FROM b GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.n, y.n)) AS common FROM b x JOIN b y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN t x ON x.doc_id = a JOIN t y ON y.doc_id = b WHERE common / (x.total + y.total - common) >= 0.8),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT a AS doc_id, min(b) AS class_id, a = min(b) AS kept FROM r GROUP BY a"""
+
+# Brute force over all pairs of vectors, then reachability.
+OP8_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) AND list_cosine_similarity(x.e, y.e) >= 0.95),
+r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT r.a AS vec_id, coalesce(any_value(n.n), 0) AS n_links, min(r.b) AS component_id, r.a = min(r.b) AS kept
+FROM r LEFT JOIN n ON n.a = r.a GROUP BY r.a"""
+
+ORACLES: dict[str, str] = {"op1_bag_minhash": OP1_SQL, "op2_line_dedup": OP2_SQL, "op4_mixing": OP4_SQL, "op8_hnsw_dedup": OP8_SQL}
