@@ -42,17 +42,21 @@ def ordered_position(df: DataFrame, hash_col: str, strata: Sequence[str] = (),
     d = df.withColumn("__b", b)
     keys = strata + order + ["__b"]
     counts = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__op_n"))
-    # running counts inside ranges of the first ordering column, plus the few ranges' own: the table of counts
-    # grows with the distinct ordering values, and no task orders it whole
-    rng = range_bucket(F.col(order[0]), quantile_cuts(d, order[0], ORDER_RANGES)) if order else F.lit(0)
-    counts = counts.withColumn("__rng", rng)
-    ranges = counts.groupBy(*strata, "__rng").agg(F.sum("__op_n").alias("__rn_n"))
     wpart = Window.partitionBy(*strata) if strata else Window.partitionBy()
-    ranges = ranges.select(*strata, "__rng", F.sum("__rn_n").over(wpart).alias("__size"), F.coalesce(F.sum("__rn_n").over(
-        wpart.orderBy("__rng").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    wrun = Window.partitionBy(*strata, "__rng").orderBy(*order, "__b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.withColumn("__in", F.coalesce(F.sum("__op_n").over(wrun), F.lit(0))).join(ranges, [*strata, "__rng"])
-    offs = offs.select(*keys, (F.col("__before") + F.col("__in")).alias("__off"), "__size")
+    upto = (Window.unboundedPreceding, -1)
+    if order:
+        # the table of counts grows with the distinct ordering values: running counts inside ranges of the
+        # first one, plus the few ranges' own, so that no task orders it whole
+        counts = counts.withColumn("__rng", range_bucket(F.col(order[0]), quantile_cuts(d, order[0], ORDER_RANGES)))
+        ranges = counts.groupBy(*strata, "__rng").agg(F.sum("__op_n").alias("__rn_n"))
+        ranges = ranges.select(*strata, "__rng", F.sum("__rn_n").over(wpart).alias("__size"),
+                               F.coalesce(F.sum("__rn_n").over(wpart.orderBy("__rng").rowsBetween(*upto)), F.lit(0)).alias("__before"))
+        wrun = Window.partitionBy(*strata, "__rng").orderBy(*order, "__b").rowsBetween(*upto)
+        offs = counts.withColumn("__in", F.coalesce(F.sum("__op_n").over(wrun), F.lit(0))).join(ranges, [*strata, "__rng"])
+        offs = offs.select(*keys, (F.col("__before") + F.col("__in")).alias("__off"), "__size")
+    else:
+        offs = counts.select(*keys, F.coalesce(F.sum("__op_n").over(wpart.orderBy("__b").rowsBetween(*upto)), F.lit(0)).alias("__off"),
+                             F.sum("__op_n").over(wpart).alias("__size"))
     local = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(hash_col)))
     d = d.withColumn("__rn", local)
     # offsets share lineage with ``d``; AQE broadcasts them at runtime when small

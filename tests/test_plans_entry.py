@@ -28,10 +28,12 @@ def test_scan_prunes_columns_and_pushes_filters(spark, sf):
 
     from fitloom.sources.frames import basket
 
-    b = basket(spark, sf).where(F.col("split") == "train").select("id", "age")
-    p = b._jdf.queryExecution().executedPlan().toString()
+    b = basket(spark, sf).where(F.col("split") == "train")
+    p = b.select("id", "age", "sp_economy")._jdf.queryExecution().executedPlan().toString()
     # the lineitem scan reads only the three columns the spend aggregate needs
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_extendedprice:double>" in p
+    # nothing of the spend is asked for: its join and scan go
+    assert "l_orderkey" not in b.select("id", "age")._jdf.queryExecution().executedPlan().toString()
 
 
 def test_registry_covers_inventory():
