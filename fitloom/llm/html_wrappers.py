@@ -10,15 +10,19 @@ slot; the result is a union-free regular expression, the host's wrapper. Alignme
 (host, part) first and then per host, so a host with a third of all pages is split over tasks.
 
 Each slot of the wrapper is known by its path. Its statistics over all pages of the host (characters,
-whether every page has one same text there) choose the main region: from the root down
-into the container that holds most of the varying text. Slots with one same text on all pages
-are template text when the rest of the region varies. A page's text is its blocks inside the
-region, outside of elements that are menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles or reader comments by tag, role or a word of class or id.
+whether every page has one same text there) choose the main region: the lowest container that
+holds all the varying text, so an article in several containers, or a host with two layouts, is
+read whole. Slots with one same text on all pages are template text when most of the text varies, and
+otherwise where they lie outside the container with most of the varying text. A page's text is
+its blocks inside the region, outside of elements that are menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles or reader comments by tag, role or a word of class or
+id. A form, or an element skipped for a word of its class or id (comments apart), that holds most
+of a page's text counts as a wrapper of the page if that text is mostly paragraphs or holds an
+article, main or h1 element: it is not skipped.
 
 A block ends where a block-level tag begins or ends; inline tags vanish, ``<br>`` is white space;
 character references are decoded, white space becomes one space, blocks are joined by
-newlines in page order.
+newlines in page order. MathML elements are inline, without their annotations.
 
 Edge cases: NULL or empty html gives the empty text; a cut page is read as far as it goes (an
 unfinished last tag is dropped); a NULL url is a host of its own (the empty one); a page
@@ -44,16 +48,21 @@ from fitloom.llm.common import scratch
 # Element names and words by their role on a page.
 SKIPPED = frozenset(
     "nav header footer aside form script style noscript template iframe svg button select option textarea head title "
-    "menu dialog object canvas audio video map input label fieldset math".split())
+    "menu dialog object canvas audio video map input label fieldset".split())
 SKIP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices "
     "alert popup modal overlay sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments "
     "respond reply replies disqus discussion share sharing social related recommended newsletter subscribe subscription login signup "
     "search pager pagination widget copyright toolbar skip".split())
+# never a wrapper of the page: readers can write more than the author
+COMMENT_WORDS = frozenset("comment comments respond reply replies disqus discussion".split())
+# skipped unless they hold most of the page
+WRAPPING = frozenset("form fieldset".split())
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup "
-    "time tt u var wbr img".split())
+    "time tt u var wbr img math mi mn mo ms mrow mfrac msqrt mroot mtext mspace mstyle merror mpadded mphantom mfenced menclose msub msup "
+    "msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd mlabeledtr maction semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr !doctype".split())
 CONTAINERS = frozenset("html body div main article section td table tbody tr center #page".split())
 WHOLE = frozenset("html body main article".split())
@@ -61,7 +70,7 @@ WHOLE = frozenset("html body main article".split())
 CLOSED_BY = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z!][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z!][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(script|style|annotation-xml|annotation)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z!][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z!][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)",
     re.S | re.I)
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORDS = re.compile(r"[a-z]+")
@@ -70,27 +79,33 @@ LONGEST_FOLD = 3
 TEMPLATE_PAGES = 5
 
 
-def _tag(name: str, attributes: str) -> tuple[str, bool]:
-    """Signature (name, and class or id with digits masked) and whether the element is skipped."""
-    skipped, sig = name in SKIPPED, name
+def _tag(name: str, attributes: str) -> tuple[str, int]:
+    """Signature (name, and class or id with digits masked) and how the element is skipped: 0 not, 1 unless it
+    holds most of the page, 2 always."""
+    skipped, sig = 2 if name in SKIPPED and name not in WRAPPING else int(name in WRAPPING), name
     if attributes:
         for key, a, b, c in NAMES.findall(attributes):
             value, key = (a or b or c).lower(), key.lower()
             if key == "role":
-                skipped |= value in SKIP_ROLES
+                if value in SKIP_ROLES:
+                    skipped = max(skipped, 1 if value in WRAPPING else 2)
             else:
                 sig += ("#" if key == "id" else ".") + re.sub(r"\d+", "0", value).replace(">", "")
-                skipped |= bool(SKIP_WORDS.intersection(WORDS.findall(value)))
-    return sig, skipped and name not in WHOLE
+                words = SKIP_WORDS.intersection(WORDS.findall(value))
+                if words:
+                    skipped = max(skipped, 2 if words & COMMENT_WORDS else 1)
+    return sig, 0 if name in WHOLE else skipped
 
 
 class Page:
     """Blocks (path, text, skipped) in page order and the skeleton tree of one page."""
 
     def __init__(self, html: str, skeleton: bool = False):
-        self.blocks: list[tuple[str, str, bool]] = []
+        read: list[tuple[str, str, bool, tuple[int, ...]]] = []
         self.root: list = ["#page", 0, []]  # signature, flags, children
-        stack: list[tuple[str, str, bool, list]] = [("#page", "#page", False, self.root)]
+        # name, path, skipped, node, numbers of the elements around that may turn out to be wrappers of the page
+        stack: list[tuple[str, str, bool, list, tuple[int, ...]]] = [("#page", "#page", False, self.root, ())]
+        doubtful: list[list] = []  # characters, those in paragraphs, whether a title or an article is inside
         pieces: list[str] = []
         at = 0
 
@@ -98,8 +113,12 @@ class Page:
             text = " ".join("".join(pieces).split())
             pieces.clear()
             if text:
-                _, path, skipped, node = stack[-1]
-                self.blocks.append((path, text, skipped))
+                name, path, skipped, node, around = stack[-1]
+                read.append((path, text, skipped, around))
+                if not skipped:
+                    for k in around:
+                        doubtful[k][0] += len(text)
+                        doubtful[k][1] += len(text) if name == "p" else 0
                 if skeleton:
                     node[2].append(["#text", 0, []])
 
@@ -127,10 +146,20 @@ class Page:
                 node = [sig, 0, []]
                 if skeleton:
                     stack[-1][3][2].append(node)
-                stack.append((name, f"{stack[-1][1]}>{sig}", skipped or stack[-1][2], node))
+                around = stack[-1][4]
+                if name in ("article", "main", "h1"):
+                    for k in around:
+                        doubtful[k][2] = True
+                if skipped == 1:
+                    around = (*around, len(doubtful))
+                    doubtful.append([0, 0, False])
+                stack.append((name, f"{stack[-1][1]}>{sig}", skipped == 2 or stack[-1][2], node, around))
         if at < len(html):
             pieces.append(unescape(html[at:]))
         flush()
+        total = sum(len(text) for _, text, skipped, _ in read if not skipped)
+        out = {k for k, (chars, prose, article) in enumerate(doubtful) if 2 * chars <= total or not (article or 2 * prose > chars)}
+        self.blocks: list[tuple[str, str, bool]] = [(path, text, skipped or not out.isdisjoint(around)) for path, text, skipped, around in read]
 
 
 # Skeletons: [signature, flags, children]; flag 1: repeated, 2: optional.
@@ -234,8 +263,8 @@ def _merged(skeletons: pd.Series) -> str:
     return json.dumps(whole, separators=(",", ":"))
 
 
-def region_of(paths: list[str], chars: list[int], constant: list[bool]) -> str:
-    """From the root down into the container that holds more than half of the varying text."""
+def region_of(paths: list[str], chars: list[int], constant: list[bool], whole: bool = True) -> str:
+    """From the root down into the container that holds all of the varying text (not ``whole``: more than half)."""
     mass = {p: c for p, c, same in zip(paths, chars, constant, strict=True) if not same} or dict(zip(paths, chars, strict=True))
     at, total = "#page", sum(mass.values())
     while True:
@@ -245,7 +274,7 @@ def region_of(paths: list[str], chars: list[int], constant: list[bool]) -> str:
                 child = at + ">" + p[len(at) + 1:].split(">", 1)[0]
                 below[child] = below.get(child, 0) + c
         best = max(sorted(below), key=lambda p: below[p], default=None)
-        if best is None or 2 * below[best] <= total or re.split("[.#]", best.rsplit(">", 1)[1])[0] not in CONTAINERS:
+        if best is None or (below[best] < total if whole else 2 * below[best] <= total) or re.split("[.#]", best.rsplit(">", 1)[1])[0] not in CONTAINERS:
             return at
         at = best
 
@@ -269,7 +298,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
         constant = [bool(p == n >= TEMPLATE_PAGES and lo == hi) for p, lo, hi in zip(right["pages"], right["low"], right["high"], strict=True)]
         paths, chars = list(right["path"]), [int(c) for c in right["chars"]]
         varying = sum(c for c, same in zip(chars, constant, strict=True) if not same)
-        template = [p for p, same in zip(paths, constant, strict=True) if same] if 2 * varying > sum(chars) else []
+        core = region_of(paths, chars, constant, whole=False)
+        template = [p for p, same in zip(paths, constant, strict=True) if same and (2 * varying > sum(chars) or not (p + ">").startswith(core + ">"))]
         return pd.DataFrame({"host": [key[0]], "wrapper": [expression(tree)], "region": [region_of(paths, chars, constant)], "template": [template]})
 
     return merged.groupBy("host").cogroup(slots.groupBy("host")).applyInPandas(choose, "host string, wrapper string, region string, template array<string>")

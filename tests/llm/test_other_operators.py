@@ -151,6 +151,31 @@ def test_template_text_goes_where_the_rest_varies(spark):
     assert all(r.text.startswith("Our daily news") for r in html.extract(same).collect())
 
 
+def test_articles_in_several_containers_are_read_whole(spark):
+    rng = random.Random(8)
+
+    def words(n):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+
+    rows, want = [], {}
+    for i in range(12):
+        a, b, c = words(40), words(60), words(20)
+        two = f"<div class=top>Site of all</div><div class=page><div class=lead><p>{a}</p></div><div class=body><p>{b}</p></div><table><tr><td>{c}</table></div>"
+        rows.append((i, f"http://two.org/{i}", f"<html><body>{two}</body></html>"))
+        want[i] = f"{a}\n{b}\n{c}"
+        other = f"<div class=big><p>{a} {b}</p></div>" if i < 9 else f"<div class=big><p>{c}</p></div><div class=small><p>{a}</p></div>"
+        rows.append((100 + i, f"http://layouts.org/{i}", f"<html><body>{other}</body></html>"))
+        want[100 + i] = f"{a} {b}" if i < 9 else f"{c}\n{a}"
+        side = "<div class='content has-sidebar'><h1>A title</h1><p>{}</p><div class=sidebar><p>{}</p></div></div>".format(b, words(9))
+        rows.append((200 + i, f"http://s{i}.org/", f"<html><body><form><div class=menu><a>{words(3)}</a></div>{side}</form></body></html>"))
+        want[200 + i] = f"A title\n{b}"
+        formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x = 2</annotation></semantics></math>"
+        rows.append((300 + i, f"http://m{i}.org/", f"<article><p>{a} {formula} {b}</p></article><div class=comments><p>{words(400)}</p></div>"))
+        want[300 + i] = f"{a} x=2 {b}"
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.extract(d).collect()} == want
+
+
 def test_page_edges(spark):
     extra = [(100, None, None), (101, "http://h0.org", ""), (102, None, "just text &am"), (103, "http://h0.org/x", "<html><body><article><h1>Cut &amp; go</h1><p>unfinished <b cla"),
              (104, "bad url", "<p>a<p>b<script>never ends"), (105, "http://h1.org/", "<div>other<div>layout</div></div>"), (105, "http://h1.org/", "<div>other<div>layout</div></div>"),
