@@ -9,10 +9,12 @@ side has becomes an optional group, what repeats on either side a repeated group
 slot; the result is a union-free regular expression, the host's wrapper. Alignment runs per
 (host, part) first and then per host, so a host with a third of all pages is split over tasks.
 
-Each slot of the wrapper is known by its path. Its statistics over all pages of the host (characters,
-whether every page has one same text there) choose the main region: the lowest container that
-holds all the varying text, so an article in several containers, or a host with two layouts, is
-read whole. Slots with one same text on all pages are template text when most of the text varies, and
+Every page is then matched against its host's wrapper, element by element: as many children as can be are
+assigned to children of the wrapper in order, repeated ones again, repeated groups from their
+beginning. A slot is known by its place in the wrapper. Its statistics over all pages of the
+host with any text (characters, whether every page has the same texts there) choose the main
+region: the lowest container that holds all the varying text, so an article in several
+containers, or a host with two layouts, is read whole. Slots with the same texts on all pages are template text when most of the text varies, and
 otherwise where they lie outside the container with most of the varying text. A page's text is
 its blocks inside the region, outside of elements that are menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles or reader comments by tag, role or a word of class or
@@ -25,7 +27,8 @@ character references are decoded, white space becomes one space, blocks are join
 newlines in page order. MathML elements are inline, without their annotations.
 
 Edge cases: NULL or empty html gives the empty text; a cut page is read as far as it goes (an
-unfinished last tag is dropped); a NULL url is a host of its own (the empty one); a page
+unfinished last tag is dropped); a NULL url is a host of its own (the empty one); text that the
+wrapper has no slot for belongs to the deepest element that was matched and is never template text; a page
 without its host's region gives all blocks outside excluded elements; repeated rows get
 the same result; an empty table gives no rows; extra columns are ignored.
 """
@@ -120,7 +123,7 @@ class Page:
                         doubtful[k][0] += len(text)
                         doubtful[k][1] += len(text) if name == "p" else 0
                 if skeleton:
-                    node[2].append(["#text", 0, []])
+                    node[2].append(["#text", 0, [], len(read) - 1])
 
         for m in TOKEN.finditer(html):
             if m.start() > at:
@@ -162,7 +165,7 @@ class Page:
         self.blocks: list[tuple[str, str, bool]] = [(path, text, skipped or not out.isdisjoint(around)) for path, text, skipped, around in read]
 
 
-# Skeletons: [signature, flags, children]; flag 1: repeated, 2: optional.
+# Skeletons: [signature, flags, children]; flag 1: repeated, 2: optional. A page's text has its block's number besides.
 
 
 def fold(node: list) -> list:
@@ -219,40 +222,169 @@ def expression(node: list) -> str:
     return f"({body}){mark}" if mark else body
 
 
+class Wrapper:
+    """A host's wrapper with its nodes numbered from the root (0) in page order."""
+
+    def __init__(self, tree: list):
+        self.sig: list[str] = []
+        self.repeated: list[bool] = []
+        self.parent: list[int] = []
+        self.kids: list[list[int]] = []
+        self.known: dict[tuple, list[int]] = {}
+        stack = [(tree, -1)]
+        while stack:
+            node, parent = stack.pop()
+            number = len(self.sig)
+            self.sig.append(node[0]), self.repeated.append(bool(node[1] & 1)), self.parent.append(parent), self.kids.append([])
+            if parent >= 0:
+                self.kids[parent].append(number)
+            stack.extend((c, number) for c in reversed(node[2]))
+        # the nodes under k are those from k to end[k]
+        self.end = list(range(1, len(self.sig) + 1))
+        for k in range(len(self.sig) - 1, 0, -1):
+            self.end[self.parent[k]] = max(self.end[self.parent[k]], self.end[k])
+
+    def path(self, number: int) -> str:
+        return (self.path(self.parent[number]) + ">" if number else "") + self.sig[number]
+
+    def _pairs(self, number: int, sigs: tuple[str, ...]) -> list[int]:
+        """For each of a page element's children the wrapper's child that it is, -1: none."""
+        key = number, sigs
+        if key not in self.known:
+            if len(self.known) > 20_000:
+                self.known.clear()
+            kids = self.kids[number]
+            names, repeated = [self.sig[k] for k in kids], [self.repeated[k] for k in kids]
+            found = self._in_turn(sigs, names, repeated)
+            if found is None:
+                found = self._most(sigs, names, repeated)
+            self.known[key] = [kids[j] if j >= 0 else -1 for j in found]
+        return self.known[key]
+
+    @staticmethod
+    def _back(j: int, repeated: list[bool]) -> int:
+        """The first child that may follow child ``j``: of a repeated group the beginning."""
+        if not repeated[j]:
+            return j + 1
+        least = j
+        while least > 0 and repeated[least - 1] and j - least < LONGEST_FOLD - 1:
+            least -= 1
+        return least
+
+    def _in_turn(self, sigs: tuple[str, ...], names: list[str], repeated: list[bool]) -> list[int] | None:
+        """The nearest choice for each child, None where one has none."""
+        at, out = -1, []
+        for s in sigs:
+            if at >= 0 and repeated[at] and names[at] == s:
+                pass
+            elif at + 1 < len(names) and names[at + 1] == s:
+                at += 1
+            else:
+                back = range(self._back(at, repeated), at) if at >= 0 else ()
+                at = next((j for j in (*back, *range(at + 2, len(names))) if names[j] == s), None)
+                if at is None:
+                    return None
+            out.append(at)
+        return out
+
+    def _most(self, sigs: tuple[str, ...], names: list[str], repeated: list[bool]) -> list[int]:
+        """The choice that gives the most children one."""
+        m, k = len(sigs), len(names)
+        after = [self._back(j, repeated) for j in range(k)]
+        best = [[0] * (k + 1) for _ in range(m + 1)]
+        for i in range(m - 1, -1, -1):
+            for j in range(k - 1, -1, -1):
+                best[i][j] = max(best[i][j + 1], best[i + 1][j], 1 + best[i + 1][after[j]] if names[j] == sigs[i] else 0)
+        i = j = 0
+        out = []
+        while i < m:
+            if j < k and names[j] == sigs[i] and best[i][j] == 1 + best[i + 1][after[j]]:
+                out.append(j)
+                i, j = i + 1, after[j]
+            elif j < k and best[i][j] == best[i][j + 1]:
+                j += 1
+            else:
+                out.append(-1)
+                i += 1
+        return out
+
+    def places(self, page: Page) -> list[int]:
+        """The slot of each of the page's blocks; where it has none, the deepest element that was matched."""
+        out = [0] * len(page.blocks)
+        stack = [(page.root, 0, True)]
+        while stack:
+            node, number, matched = stack.pop()
+            pairs = self._pairs(number, tuple(c[0] for c in node[2])) if matched else [-1] * len(node[2])
+            for c, to in zip(node[2], pairs, strict=True):
+                if c[0] == "#text":
+                    out[c[3]] = number if to < 0 else to
+                elif c[2]:
+                    stack.append((c, number if to < 0 else to, to >= 0))
+        return out
+
+    def region(self, mass: dict[int, int], whole: bool = True) -> int:
+        """From the root down into the container that holds all of ``mass`` (not ``whole``: more than half)."""
+        before = [0]
+        for k in range(len(self.sig)):
+            before.append(before[-1] + mass.get(k, 0))
+        at, total = 0, before[-1]
+        while True:
+            best = max(self.kids[at], key=lambda k: before[self.end[k]] - before[k], default=None)
+            if best is None or re.split("[.#]", self.sig[best])[0] not in CONTAINERS:
+                return at
+            held = before[self.end[best]] - before[best]
+            if held < total if whole else 2 * held <= total:
+                return at
+            at = best
+
+
 def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1), F.lit("")))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, html) -> skeleton counts and slot sums, added up per batch."""
+    """(host, html) -> skeleton counts, added up per batch."""
     for batch in batches:
         skeletons: dict[tuple[str, str], int] = {}
-        slots: dict[tuple[str, str], list] = {}
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            page = Page(html or "", skeleton=True)
-            key = host, json.dumps(fold(page.root), separators=(",", ":"))
+            key = host, json.dumps(fold(Page(html or "", skeleton=True).root), separators=(",", ":"))
             skeletons[key] = skeletons.get(key, 0) + 1
-            own: dict[str, list] = {}
-            for path, text, skipped in page.blocks:
+        yield pa.RecordBatch.from_arrays([
+            pa.array([h for h, _ in skeletons], pa.string()), pa.array([k for _, k in skeletons], pa.string()), pa.array(list(skeletons.values()), pa.int64()),
+        ], names=["host", "skeleton", "pages"])
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, html, tree) -> sums of each slot of the wrapper, added up per batch; place 0 counts the pages with text."""
+    known: dict[str, Wrapper] = {}
+    for batch in batches:
+        slots: dict[tuple[str, int], list] = {}
+        for host, html, tree in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            page = Page(html or "", skeleton=True)
+            own: dict[int, list[str]] = {}
+            for place, (_, text, skipped) in zip(_wrapper(known, host, tree).places(page), page.blocks, strict=True):
                 if not skipped:
-                    mark = xxhash.xxh3_64_hexdigest(text)
-                    s = own.setdefault(path, [0, mark, mark])
-                    s[0] += len(text)
-                    s[1], s[2] = min(s[1], mark), max(s[2], mark)
-            for path, (chars, low, high) in own.items():
-                s = slots.setdefault((host, path), [0, 0, low, high])
+                    own.setdefault(place, []).append(text)
+            if own:
+                own.setdefault(0, [])
+            for place, texts in own.items():
+                mark = xxhash.xxh3_64_hexdigest("\0".join(texts))
+                s = slots.setdefault((host, place), [0, 0, mark, mark])
                 s[0] += 1
-                s[1] += chars
-                s[2], s[3] = min(s[2], low), max(s[3], high)
-        rows = [(h, k, n, 0, None, None) for (h, k), n in skeletons.items()] + [(h, None, n, c, lo, hi, p) for (h, p), (n, c, lo, hi) in slots.items()]
+                s[1] += sum(map(len, texts))
+                s[2], s[3] = min(s[2], mark), max(s[3], mark)
         yield pa.RecordBatch.from_arrays([
-            pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()),
-            pa.array([r[6] if len(r) > 6 else None for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()),
-            pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.string()), pa.array([r[5] for r in rows], pa.string()),
-        ], names=["host", "skeleton", "path", "pages", "chars", "low", "high"])
+            pa.array([h for h, _ in slots], pa.string()), pa.array([p for _, p in slots], pa.int32()),
+            *[pa.array([s[k] for s in slots.values()], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))],
+        ], names=["host", "place", "pages", "chars", "low", "high"])
 
 
-READ_SCHEMA = "host string, skeleton string, path string, pages long, chars long, low string, high string"
+def _wrapper(known: dict[str, Wrapper], host: str, tree: str) -> Wrapper:
+    if host not in known:
+        if len(known) >= 1000:
+            known.clear()
+        known[host] = Wrapper(json.loads(tree))
+    return known[host]
 
 
 def _merged(skeletons: pd.Series) -> str:
@@ -263,62 +395,62 @@ def _merged(skeletons: pd.Series) -> str:
     return json.dumps(whole, separators=(",", ":"))
 
 
-def region_of(paths: list[str], chars: list[int], constant: list[bool], whole: bool = True) -> str:
-    """From the root down into the container that holds all of the varying text (not ``whole``: more than half)."""
-    mass = {p: c for p, c, same in zip(paths, chars, constant, strict=True) if not same} or dict(zip(paths, chars, strict=True))
-    at, total = "#page", sum(mass.values())
-    while True:
-        below: dict[str, int] = {}
-        for p, c in mass.items():
-            if p.startswith(at + ">"):
-                child = at + ">" + p[len(at) + 1:].split(">", 1)[0]
-                below[child] = below.get(child, 0) + c
-        best = max(sorted(below), key=lambda p: below[p], default=None)
-        if best is None or (below[best] < total if whole else 2 * below[best] <= total) or re.split("[.#]", best.rsplit(">", 1)[1])[0] not in CONTAINERS:
-            return at
-        at = best
+def _with_trees(pages: DataFrame, known: DataFrame) -> DataFrame:
+    """``pages`` plus ``__h`` and the columns of ``known``. As many rows as hosts: Spark broadcasts them only under its size limit."""
+    rows = pages.withColumn("__h", host_of(F.col("url")))
+    return rows.join(known.withColumnRenamed("host", "__host"), F.col("__h") == F.col("__host"))
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (expression), region (path), template (paths of template slots): one row per host."""
-    read = scratch(pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_read, READ_SCHEMA), "html-read")
-    distinct = read.where("skeleton is not null").groupBy("host", "skeleton").agg(F.sum("pages").alias("pages"))
+    """host, wrapper (expression), region (path), template (places of template slots), and the tree and the
+    region's place in it: one row per host."""
+    pages = pages.select("url", "html")
+    read = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_read, "host string, skeleton string, pages long")
+    distinct = read.groupBy("host", "skeleton").agg(F.sum("pages").alias("pages"))
     distinct = distinct.withColumn("part", F.pmod(F.xxhash64("skeleton"), F.lit(PARTS)).cast("int"))
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "skeleton": [_merged(pdf["skeleton"])], "pages": [pdf["pages"].sum()]})
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "skeleton": [_merged(pdf["skeleton"])]})
 
-    schema = "host string, skeleton string, pages long"
-    merged = distinct.groupBy("host", "part").applyInPandas(merge, schema).groupBy("host").applyInPandas(merge, schema)
-    slots = read.where("path is not null").groupBy("host", "path").agg(
+    schema = "host string, skeleton string"
+    merged = scratch(distinct.groupBy("host", "part").applyInPandas(merge, schema).groupBy("host").applyInPandas(merge, schema), "html-trees")
+    slots = (_with_trees(pages, merged).select("__h", "html", "skeleton")
+             .mapInArrow(_slots, "host string, place int, pages long, chars long, low string, high string"))
+    slots = slots.groupBy("host", "place").agg(
         F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.min("low").alias("low"), F.max("high").alias("high"))
 
     def choose(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        tree, n = json.loads(left["skeleton"].iloc[0]), int(left["pages"].iloc[0])
-        constant = [bool(p == n >= TEMPLATE_PAGES and lo == hi) for p, lo, hi in zip(right["pages"], right["low"], right["high"], strict=True)]
-        paths, chars = list(right["path"]), [int(c) for c in right["chars"]]
-        varying = sum(c for c, same in zip(chars, constant, strict=True) if not same)
-        core = region_of(paths, chars, constant, whole=False)
-        template = [p for p, same in zip(paths, constant, strict=True) if same and (2 * varying > sum(chars) or not (p + ">").startswith(core + ">"))]
-        return pd.DataFrame({"host": [key[0]], "wrapper": [expression(tree)], "region": [region_of(paths, chars, constant)], "template": [template]})
-
-    return merged.groupBy("host").cogroup(slots.groupBy("host")).applyInPandas(choose, "host string, wrapper string, region string, template array<string>")
+        tree = left["skeleton"].iloc[0]
+        whole = Wrapper(json.loads(tree))
+        n = int(right["pages"].max()) if len(right) else 0
+        chars = {int(p): int(c) for p, c in zip(right["place"], right["chars"], strict=True)}
+        constant = {int(p) for p, pages, lo, hi in zip(right["place"], right["pages"], right["low"], right["high"], strict=True)
+                    if whole.sig[p] == "#text" and pages == n >= TEMPLATE_PAGES and lo == hi}
+        mass = {p: c for p, c in chars.items() if p not in constant}
+        varies = 2 * sum(mass.values()) > sum(chars.values())
+        mass = mass if any(mass.values()) else chars
+        region, core = whole.region(mass), whole.region(mass, whole=False)
+        template = sorted(p for p in constant if varies or not core <= p < whole.end[core])
+        return pd.DataFrame({"host": [key[0]], "wrapper": [expression(json.loads(tree))], "region": [whole.path(region)], "template": [template],
+                             "tree": [tree], "place": [region]})
+
+    return merged.groupBy("host").cogroup(slots.groupBy("host")).applyInPandas(
+        choose, "host string, wrapper string, region string, template array<int>, tree string, place int")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages``."""
-    known = scratch(wrappers(pages), "html-wrappers").select(F.col("host").alias("__host"), "region", "template")
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("__h"))
-    # as many rows as hosts: Spark broadcasts them only under its size limit
-    rows = rows.join(known, F.col("__h") == F.col("__host"), "left").select("page_id", "url", "html", "region", "template")
+    known = scratch(wrappers(pages), "html-wrappers").select("host", "tree", "place", "template")
+    rows = _with_trees(pages.select("page_id", "url", "html"), known).select("page_id", "url", "html", "__h", "tree", "place", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees: dict[str, Wrapper] = {}
         for batch in batches:
             texts = []
-            for html, region, template in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-                blocks = [(p, t) for p, t, skipped in Page(html or "").blocks if not skipped]
-                region, template = region or "#page", set(template or ())
-                inside = [(p, t) for p, t in blocks if p == region or p.startswith(region + ">")] or blocks
+            for html, host, tree, region, template in zip(*(batch.column(k).to_pylist() for k in range(2, 7)), strict=True):
+                page, whole, template = Page(html or "", skeleton=True), _wrapper(trees, host, tree), set(template)
+                blocks = [(p, t) for p, (_, t, skipped) in zip(whole.places(page), page.blocks, strict=True) if not skipped]
+                inside = [(p, t) for p, t in blocks if region <= p < whole.end[region]] or blocks
                 texts.append("\n".join(t for p, t in inside if p not in template))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],

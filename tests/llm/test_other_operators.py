@@ -151,6 +151,18 @@ def test_template_text_goes_where_the_rest_varies(spark):
     assert all(r.text.startswith("Our daily news") for r in html.extract(same).collect())
 
 
+def test_slots_are_places_of_the_wrapper(spark):
+    # the slogan and the paragraphs have one path, and so have the two items that every page repeats
+    rows = [(i, f"http://p.org/{i}", f"<body><p>Follow us</p><h1>About {i}</h1>" + "".join(f"<p>{'long text ' * 9}{i} {k}" for k in range(i % 4 + 1))
+             + "<ul><li>Old<li>New</ul></body>") for i in range(9)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(d).collect()}
+    assert got == {i: "\n".join([f"About {i}"] + [f"{'long text ' * 9}{i} {k}" for k in range(i % 4 + 1)]) for i in range(9)}
+    whole = html.Wrapper(["#page", 0, [["h2", 1, [["#text", 0, []]]], ["p", 1, [["#text", 0, []]]], ["div", 2, [["#text", 0, []]]], ["p", 0, [["#text", 0, []]]]]])
+    page = html.Page("<h2>a</h2><p>b</p><h2>c</h2><p>d</p><div>e</div><b>f</b><p>g</p>", skeleton=True)
+    assert [t for _, t, _ in page.blocks] == list("abcdefg") and whole.places(page) == [2, 4, 2, 4, 6, 0, 8]
+
+
 def test_articles_in_several_containers_are_read_whole(spark):
     rng = random.Random(8)
 
