@@ -1,8 +1,10 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 Fitting: documents outside the held-out fold whose language is known. Per language a
-sample of at most ``SAMPLE_CHARS`` characters of whole texts is taken by a hash of the text (the
-documented bound of the fit; all of them where there are fewer). Spark counts n-grams of
+sample of ``SAMPLE_CHARS`` characters of distinct texts is taken in the order of a hash of the text (the
+documented bound of the fit; all of them where there are fewer): whole texts, of which the last
+is read up to the bound. Copies count once, so no language is without a text however often one is
+repeated. Spark counts n-grams of
 orders 1 to ``ORDER`` per language with partial sums; the counts reach the driver as sorted hash
 arrays, whose size the sample bounds.
 
@@ -29,13 +31,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fitloom.llm.common import scratch
 
 ORDER = 4
 SAMPLE_CHARS = 2_000_000
+HASH_BUCKETS = 4096
 REJECT_QUANTILE = 0.999
 SHARPNESS = 20.0
 FLOOR = 1e-7  # probability of a character that no language has seen
@@ -206,18 +209,30 @@ class Model:
             total[:, j] += np.bincount(rows, values[:, j], len(total))
 
 
+def sampled(known: DataFrame) -> DataFrame:
+    """(lang, text) -> the sample's texts: per language distinct texts in hash order until ``SAMPLE_CHARS`` is reached."""
+    known = known.withColumn("h", F.xxhash64("text"))
+    texts = known.groupBy("lang", "h").agg(F.max(F.length("text")).alias("size")).where("size > 0")
+    texts = scratch(texts.withColumn("bucket", F.pmod("h", F.lit(HASH_BUCKETS))), "lang-texts")
+    # running sums over buckets first, so that only texts of the buckets up to the bound are sorted
+    in_order = Window.partitionBy("lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = texts.groupBy("lang", "bucket").agg(F.sum("size").alias("chars"))
+    buckets = buckets.withColumn("start", F.coalesce(F.sum("chars").over(in_order), F.lit(0))).where(F.col("start") < SAMPLE_CHARS)
+    in_bucket = Window.partitionBy("lang", "bucket").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    taken = texts.join(buckets.select("lang", "bucket", "start"), ["lang", "bucket"])
+    room = SAMPLE_CHARS - F.col("start") - F.coalesce(F.sum("size").over(in_bucket), F.lit(0))
+    taken = taken.withColumn("room", room).where("room > 0").select("lang", "h", F.least("size", "room").cast("int").alias("room"))
+    taken = scratch(taken, "lang-taken")
+    return known.join(taken, ["lang", "h"]).select("lang", F.substring("text", F.lit(1), F.col("room")).alias("text")).dropDuplicates()
+
+
 def fit(docs: DataFrame) -> tuple[Model, np.ndarray] | None:
     """The model and each language's rejection limit; None where there is nothing to learn from."""
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    known = known.select("lang", "text", F.xxhash64("text").alias("h"), F.length("text").alias("size"))
-    sizes = {r["lang"]: r["size"] for r in known.groupBy("lang").agg(F.sum("size").alias("size")).collect()}
-    langs = sorted(x for x, size in sizes.items() if size)
+    sample = scratch(sampled(known.select("lang", "text")), "lang-sample")
+    langs = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
     if not langs:
         return None
-    share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, SAMPLE_CHARS / sizes[x]))) for x in langs])
-    # equal texts hash alike and count once: copies do not fill the sample
-    place = F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30)
-    sample = scratch(known.where(place < share).select("lang", "text").dropDuplicates(), "lang-sample")
     counts = counted(sample).toPandas()
     model = Model({c: counts[c].to_numpy() for c in counts.columns}, langs)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -302,6 +302,23 @@ def test_unseen_script_and_edges(spark):
     assert [(r.lang_pred, r.score) for r in lang.identify(unknown).collect()] == [("und", 0.0)]
 
 
+def test_languages_of_many_copies_or_long_texts_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(lang, "SAMPLE_CHARS", 3000)
+    rng = random.Random(5)
+
+    def text(letters, n):
+        return " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
+
+    rows = [(i, text("abcdef", 10), "x") for i in range(60)]
+    rows += [(100 + i, text("ghijkl", 10), "y") for i in range(20)] + [(200 + i, "ghi " * 20, "y") for i in range(3000)]
+    rows += [(10_000 + i, text("mnopqr", 20_000), "z") for i in range(10)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    sizes = lang.sampled(d.select("lang", "text")).toPandas().groupby("lang").text.agg(lambda t: t.str.len().sum())
+    assert sizes["x"] == sizes["z"] == 3000 and sizes["y"] == sum(len(t) for t in {t for _, t, x in rows if x == "y"})
+    out = {r.doc_id: r.lang_pred for r in lang.identify(d).collect()}
+    assert all(out[i] == x for i, _, x in rows)
+
+
 def test_lang_and_source_are_no_inputs_of_a_prediction(spark, sf):
     from pyspark.sql import functions as F
 
