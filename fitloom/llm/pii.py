@@ -6,16 +6,18 @@ a run of their characters begins, so a long run costs linear time and no stack;
 what the plain patterns match. Offsets come from the texts between the matches; their
 running sums are taken in two levels, so a text with very many matches stays cheap.
 
-Disclosing terms (C-sanitisation): every base match is a protected entity e. Terms within
-``WINDOW`` characters of it in the same text co-occur with it. Over the texts of the whole corpus
-(equal texts count once), ``PMI(t; e) = log2(n(t, e) * n / (n(t) * n(e)))`` says how many of the
-``IC(e) = log2(n / n(e))`` bits of the entity the term gives away. A term that gives away
-``GENERALISE`` of them is a span of kind ``term`` wherever it occurs, and is replaced by a
-placeholder; from ``REMOVE`` on it is removed. A pair counts once it was seen with ``SUPPORT``
-different neighbours of the term, none of them in more than half of the texts, so copies and
-near copies of one passage do not make its words disclosing.
-
-Only pairs near an entity are shuffled, combined on the map side; document counts are
+Disclosing terms (C-sanitisation): every base match is a protected entity e. The terms of
+its text co-occur with it, wherever they stand; words of the entity itself do not. Over the texts of
+the whole corpus (equal texts count once), ``PMI(t; e) = log2(n(t, e) * n / (n(t) * n(e)))`` says
+how many of the ``IC(e) = log2(n / n(e))`` bits of the entity the term gives away. A term that gives
+away ``GENERALISE`` of them is a span of kind ``term`` wherever it occurs, and is replaced by a
+placeholder; from ``REMOVE`` on it is removed. A pair counts once it was seen in ``SUPPORT`` classes
+of near copies, none of them with more than half of its texts, so copies and near copies of one
+text do not make its words disclosing, while a fixed signature under different texts does. The
+class of a text is the least hash of its runs of ``SHINGLE`` words: two texts share it with the
+probability of their runs' overlap. An entity in fewer than ``SUPPORT`` texts has no term.
+
+Only texts with an entity of that support send pairs, combined on the map side; document counts are
 taken for terms of such pairs alone. The base result is written without texts, so the last
 join moves no text.
 
@@ -43,8 +45,8 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 TERM = r"\p{L}[\p{L}\p{N}_-]{2,}"
-WINDOW = 80
 SUPPORT = 3
+SHINGLE = 3
 GENERALISE, REMOVE = 0.8, 0.95
 SUM_BLOCK = 256
 
@@ -75,7 +77,7 @@ def _filter_of(kind: str):
 
 
 def _entity_of(kind: str):
-    return lambda x: F.struct(F.concat(F.lit(kind + ":"), F.lower(x["s"])).alias("entity"), x["start"].alias("start"), x["end"].alias("end"))
+    return lambda x: F.concat(F.lit(kind + ":"), F.lower(x["s"]))
 
 
 def _mark_of(kind: str):
@@ -126,22 +128,26 @@ def _row_key(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
 
 
-def base(docs: DataFrame) -> DataFrame:
-    """id, t, the spans of each kind with their context terms; written to the shared folder without texts."""
-    d = with_base_spans(_row_key(docs), "text")
-    d = d.withColumn("__every", F.concat(*[F.transform(f"__{k}", _entity_of(k)) for k in KINDS]))
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
-    def near(x: Column) -> Column:
-        start = F.greatest(x["start"] - WINDOW, F.lit(0))
-        before = F.substring(F.col("text"), start + 1, x["start"] - start)
-        # a word that the window cuts is not a term
-        before = F.when(start > 0, F.regexp_replace(before, r"^\S*", "")).otherwise(before)
-        after = F.regexp_replace(F.substring(F.col("text"), x["end"] + 1, F.lit(WINDOW)), r"(?<=\s)\S*$", "")
-        words = F.regexp_extract_all(F.lower(F.concat_ws(" ", before, after)), F.lit(TERM), F.lit(0))
-        return F.struct(x["entity"].alias("entity"), words.alias("words"))
 
-    return scratch(d.withColumn("near", F.transform("__every", near)).select(
-        "id", "t", *[F.transform(f"__{k}", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(k) for k in KINDS], "near"), "pii-base")
+def base(docs: DataFrame) -> DataFrame:
+    """id, t, the spans of each kind, and for texts with any the entities, the terms, those outside of emails and
+    the class of near copies; written to the shared folder without texts."""
+    d = with_base_spans(_row_key(docs), "text")
+    d = d.withColumn("entities", F.array_distinct(F.concat(*[F.transform(f"__{k}", _entity_of(k)) for k in KINDS])))
+    some = F.size("entities") > 0
+    d = d.withColumn("__words", F.when(some, _words(F.col("text"))))
+    runs = F.transform("__words", lambda w, i: F.xxhash64(w, *[F.get("__words", i + k) for k in range(1, SHINGLE)]))
+    whole = F.size("__words") >= SHINGLE
+    runs = F.when(whole, F.slice(runs, F.lit(1), F.size("__words") - (SHINGLE - 1))).otherwise(runs)
+    # no other kind has letters
+    outside = F.when(F.size("__email") > 0, _words(F.regexp_replace("text", PATTERNS["email"], " "))).otherwise(F.col("__words"))
+    return scratch(d.select(
+        "id", "t", *[F.transform(f"__{k}", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(k) for k in KINDS],
+        "entities", F.array_distinct("__words").alias("terms"), F.when(some, F.array_distinct(outside)).alias("outside"),
+        F.when(some, F.coalesce(F.array_min(runs), F.col("t"))).alias("class")), "pii-base")
 
 
 def _share(n: int, both: Column, n_term: Column, n_entity: Column) -> Column:
@@ -153,25 +159,30 @@ def _share(n: int, both: Column, n_term: Column, n_entity: Column) -> Column:
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(id, t, term, share) for every text and each term in it that gives away at least
     ``GENERALISE`` of some entity's information."""
-    near = found.where(F.size("near") > 0).select("t", F.explode("near").alias("x")).select("t", "x.entity", "x.words")
-    words = F.col("words")
-    seen = scratch(near.select("t", "entity", F.explode(F.transform(words, lambda w, i: F.struct(
-        w.alias("term"), F.xxhash64(F.get(words, i - 1), F.get(words, i + 1)).alias("around")))).alias("y"))
-        .select("t", "entity", "y.term", "y.around").distinct(), "pii-near")
     n = max(2, found.select("t").distinct().count())
-    entities = near.select("t", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    # copies and near copies of one passage repeat one neighbourhood: no neighbourhood may hold more than half
-    pairs = (seen.groupBy("entity", "term", "t").agg(F.min("around").alias("around"))
-             .groupBy("entity", "term", "around").agg(F.count("*").alias("texts"))
+    held = found.where(F.size("entities") > 0)
+    # equal texts have equal entities: map-side sums over distinct (entity, text)
+    entities = held.select("t", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    entities = scratch(entities.where(F.col("n_entity") >= SUPPORT), "pii-entities")
+    with_any = (held.select("t", F.explode("entities").alias("entity")).join(entities, "entity").groupBy("t")
+                .agg(F.collect_set("entity").alias("supported")))
+    near = held.select("t", "terms", "outside", "class").join(with_any, "t").dropDuplicates(["t"])
+    near = scratch(near, "pii-near")
+    seen = near.select("terms", "outside", "class", F.explode("supported").alias("entity"))
+    # a word of the entity itself counts only where it stands outside of it too
+    own = F.array_except(_words(F.regexp_replace("entity", "^[a-z]+:", "")), F.col("outside"))
+    seen = seen.select("entity", "class", F.explode(F.array_except("terms", own)).alias("term"))
+    # copies and near copies of one text are one class: no class may hold more than half
+    pairs = (seen.groupBy("entity", "term", "class").agg(F.count("*").alias("texts"))
              .groupBy("entity", "term").agg(F.sum("texts").alias("both"), F.count("*").alias("kinds"), F.max("texts").alias("most"))
              .where((F.col("kinds") >= SUPPORT) & (2 * F.col("most") <= F.col("both"))))
-    # the texts with the term near any entity are a lower bound of those with the term at all: most
-    # pairs end here, and only the rest needs counts over whole texts
-    around_any = seen.select("term", "t").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    # the texts with the term and any supported entity are a lower bound of those with the term at all:
+    # most pairs end here, and only the rest needs counts over whole texts
+    around_any = near.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
     pairs = (pairs.join(entities, "entity").join(around_any, "term")
              .where(_share(n, F.col("both"), F.col("n_near"), F.col("n_entity")) >= GENERALISE).select("entity", "term", "both", "n_entity"))
     pairs = scratch(pairs, "pii-pairs")
-    held = scratch(_row_key(docs).select("id", "t", F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    held = scratch(_row_key(docs).select("id", "t", F.explode_outer(F.array_distinct(_words(F.col("text")))).alias("term"))
                    .join(pairs.select("term").distinct(), "term", "left_semi").distinct(), "pii-held")
     count = held.select("term", "t").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
     terms = (pairs.join(count, "term").groupBy("term").agg(F.max(_share(n, F.col("both"), F.col("n_term"), F.col("n_entity"))).alias("share"))

@@ -256,6 +256,24 @@ def test_copies_of_a_passage_disclose_nothing(spark):
     assert not any("term" in r.spans for r in pii.digest(docs(spark, texts)).collect())
 
 
+def test_names_in_fixed_signatures_and_far_from_the_entity_disclose_it(spark):
+    rng = random.Random(6)
+
+    def words(n):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(n))
+
+    texts = [f"{words(40)}. Best regards, Alice Smith alice@x.org" for _ in range(20)]
+    texts += [f"Dear Zacharias, {words(60)} reach me at +1 555 123 4567" for _ in range(10)]
+    near_copy = "call our friendly office writer today me@here.org " + words(40)
+    texts += [f"{near_copy} {i}" for i in range(30)] + [f"Best regards, {words(30)}" for _ in range(200)]
+    got = {r.doc_id: r.spans for r in pii.digest(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        for word, ids in (("Alice", range(20)), ("Smith", range(20)), ("Zacharias", range(20, 30))):
+            at = t.find(word)
+            assert (f"term:{at}:{at + len(word)}" in got[i]) == (i in ids), (t, got[i])
+        assert f"term:{t.find('friendly')}:" not in got[i] and not t.startswith("Best") or "term:0:4" not in got[i]
+
+
 def test_pii_edges(spark):
     out = pii.digest(edge_docs(spark)).toPandas()
     assert len(out) == len(EDGE_ROWS) and (out[out.doc_id == 1].base_sha256 == hashlib.sha256(b"").hexdigest()).all()
