@@ -13,8 +13,9 @@ that is nearer to a chosen neighbour than to the node is passed over), which kee
 groups tied to the rest. A query descends the layers, searches the lowest with a beam, and then
 follows every neighbour of every match, so a group larger than the beam is walked in full.
 
-Audit: in each (shard, chunk) task ``AUDIT`` queries are also answered by brute force. While their
-recall is below ``RECALL``, the beam is doubled and all queries are answered again; a beam as
+Audit: in each (shard, chunk) task ``AUDIT`` queries and ``PLANTED`` vectors made at the threshold and
+nearer to nodes of the shard, which so have neighbours there, are also answered by brute force; a query's
+own node is left out. While their recall is below ``RECALL``, the beam is doubled and all queries are answered again; a beam as
 wide as the shard means brute force, in blocks. Matches are verified by the cosine in double
 precision. A task sends, per query, the number of links, and a spanning forest of its links,
 never the pairs; components are joined from the forests.
@@ -41,7 +42,7 @@ LEAST_SHARDS, SHARD_NODES, CHUNK_NODES = 8, 50_000, 20_000
 LINKS = 16
 BUILD_BEAM, FIRST_BEAM = 48, 16
 BATCH = 1024
-AUDIT, RECALL = 64, 0.999
+AUDIT, PLANTED, RECALL = 64, 1000, 0.999
 EXPAND = 4
 
 
@@ -97,7 +98,7 @@ class Graph:
         src = np.repeat(new, adj.shape[1])
         dst = adj[new].ravel().astype(np.int64)
         src, dst = src[dst >= 0], dst[dst >= 0]
-        order = np.argsort(dst, kind="stable")
+        order = np.lexsort((-np.einsum("kd,kd->k", self.x[src], self.x[dst]), dst))  # the nearest first
         src, dst = src[order], dst[order]
         target, start, count = np.unique(dst, return_index=True, return_counts=True)
         width = min(int(count.max()), 4 * BUILD_BEAM) if len(count) else 0
@@ -215,14 +216,31 @@ class Graph:
         return np.concatenate(out_q or [np.empty(0, int)]), np.concatenate(out_n or [np.empty(0, int)])
 
 
-def audited(graph: Graph, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Matches of all queries with the first beam whose audit passes; and that beam."""
+def _planted(x: np.ndarray) -> np.ndarray:
+    """Unit vectors with a cosine between the threshold and 1 to nodes of the shard."""
+    rng = np.random.default_rng(len(x))
+    v = x[rng.permutation(len(x))[:PLANTED]].astype(np.float64)
+    off = rng.normal(size=v.shape)
+    off -= (off * v).sum(1, keepdims=True) * v
+    off /= np.maximum(np.sqrt((off * off).sum(1, keepdims=True)), 1e-12)
+    cosine = rng.uniform(THRESHOLD, 1, (len(v), 1))
+    return (cosine * v + np.sqrt(1 - cosine * cosine) * off).astype(np.float32)
+
+
+def audited(graph: Graph, q: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Matches of all queries with the first beam whose audit passes; and that beam. ``own``: each query's node, -1: none."""
     ef = min(FIRST_BEAM, graph.n)
     sample = np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int)
-    truth = int((q[sample] @ graph.x.T >= THRESHOLD - SLACK).sum())
+    planted = _planted(graph.x)
+    asked = np.concatenate([q[sample], planted])
+    mine = np.concatenate([np.full(len(sample), -1) if own is None else own[sample], np.full(len(planted), -1)])
+    truth = 0
+    for lo in range(0, len(asked), BATCH // 4):
+        r, n = np.nonzero(asked[lo:lo + BATCH // 4] @ graph.x.T >= THRESHOLD - SLACK)
+        truth += int((n != mine[r + lo]).sum())
     while True:
-        r, n = graph.matches(q[sample], ef)
-        if len(r) >= RECALL * truth or ef >= graph.n:
+        r, n = graph.matches(asked, ef)
+        if (n != mine[r]).sum() >= RECALL * truth or ef >= graph.n:
             r, n = graph.matches(q, ef)
             return r, n, ef
         ef = min(2 * ef, graph.n)
@@ -275,7 +293,9 @@ def _query(shard: pa.Table, chunk: pa.Table) -> pa.Table:
     shard, graph = _load(shard)
     mine, theirs = chunk.column("id").to_numpy(), shard.column("id").to_numpy()
     q, x = _matrix(chunk.column("unit")), _matrix(shard.column("unit"))
-    r, n, ef = audited(graph, q.astype(np.float32))
+    by_id = np.argsort(theirs)
+    at = by_id[np.minimum(np.searchsorted(theirs, mine, sorter=by_id), len(theirs) - 1)]
+    r, n, ef = audited(graph, q.astype(np.float32), np.where(theirs[at] == mine, at, -1))
     good = (mine[r] != theirs[n]) & (np.einsum("kd,kd->k", q[r], x[n]) >= THRESHOLD)
     r, n = r[good], n[good]
     links = np.bincount(r, shard.column("weight").to_numpy()[n], len(mine)).astype(np.int64)

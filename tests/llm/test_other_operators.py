@@ -242,6 +242,19 @@ def test_audit_widens_the_beam():
     assert ef == 900 and {(i, i) for i in range(900)} <= set(zip(r.tolist(), n.tolist(), strict=True))
 
 
+def test_audit_has_links_to_find_where_queries_have_none():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1800, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    graph = hnsw.Graph(x[:900])
+    graph.layers[0][450:] = -1  # half of the lists are lost, and no query has a neighbour here
+    graph.layers[0][graph.layers[0] >= 450] = -1
+    for upper in graph.layers[1:]:
+        upper[:] = -1
+    far = x[900:][(x[900:] @ x[:900].T).max(1) < 0.94]
+    assert len(far) > 100 and hnsw.audited(graph, far)[2] == 900
+
+
 def test_vector_edges(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [1.0, None]), (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]),
             (9, [1.0, 0.0, 0.0]), (10, [1e-30, 0.0]), (11, [1e30, 1e28]), (None, [0.0, 1.0])]
