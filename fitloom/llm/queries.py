@@ -17,6 +17,7 @@ from fitloom.llm.mixing import mix
 from fitloom.llm.packing import pack
 from fitloom.llm.pii import digest
 from fitloom.llm.quality_rules import judge
+from fitloom.llm.token_alignment import align
 
 
 def op1_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bag_minhash": op1_bag_minhash,
     "op2_line_dedup": op2_line_dedup,
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hnsw_dedup": op8_hnsw_dedup,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
+    "op11_token_alignment": op11_token_alignment,
 }
 
 # The mixture as plain windows: one running sum per source instead of bucket sums and a border bucket.
