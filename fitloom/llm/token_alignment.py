@@ -9,20 +9,21 @@ offsets where tokens of both sides end cut the text into groups; the product of
 incidences lists the pairs of tokens in one group (:func:`group_links`); only its size is
 kept corpus-wide, since a group of m and n tokens has m * n of them.
 
-Both tokenizers cut a text before a single space between two other than white-space characters, so no
-token, link or group crosses such a place. A text is taken apart there, and equal parts are
-tokenised and multiplied once per task (``CACHED`` parts are remembered).
+Both tokenizers begin a token at a single space between two other than white-space characters, so no
+token, link or group crosses such a place, and texts of over ``SLICE`` characters are cut there. Products
+are formed for some ``SLICE`` tokens of texts at a time, laid end to end: their tokens share no byte.
 
-Corpus-wide counts of linked id pairs: tasks add up their parts' links and send each pair once
-per ``PENDING`` distinct pairs; the sums are a Spark aggregate. Scoring needs them back: the most
+Corpus-wide counts of linked id pairs: a task adds up its links and sends each pair once per
+``PENDING`` links; the sums are a Spark aggregate. Texts are tokenised once: their ids (two bytes a
+token) lie in the shared folder for the second pass, which scores links by these sums. The most
 frequent pairs, at most ``HEAD_PAIRS`` (16 MB) by a threshold on the count, are broadcast together with
 the highest count of each B id (at most the vocabulary); every other link is sent as (row, pair, number)
 to a join with the rest of the table. Both ways give the same sums, at every size.
 
 Edge cases: NULL and empty texts, and texts whose joined A or B bytes differ from space + text (one
-with U+2581), have no tokens: zeros and an empty groups_sha256. Texts of any length are read in slices
-of ``SLICE`` characters cut at the places above. Repeated rows count as often as they occur; an
-empty table gives no rows; columns other than doc_id and text are ignored.
+with U+2581), have no tokens: zeros and an empty groups_sha256. Texts of any length are multiplied in
+slices cut at the places above. Repeated rows count as often as they occur; an empty table gives no
+rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -41,17 +41,17 @@ from pyspark.sql import functions as F
 from fitloom.llm.common import scratch
 from fitloom.llm.packing import PLAIN
 
-CACHED = 200_000        # parts remembered by a task
-CACHED_CHARS = 64       # longest part remembered
-SLICE = 1 << 20
-PENDING = 1_000_000     # distinct pairs a task holds before it sends them
+SLICE = 1 << 19         # characters tokenised and tokens multiplied at a time, one slice at least
+PENDING = 4_000_000     # sums a task holds before it adds them up, or sends them
 HEAD_PAIRS = 1_000_000  # pairs whose counts are broadcast
 PAIR = 1 << 20          # a pair (a, b) is the number a * PAIR + b; ids of both vocabularies lie below
 # A single space between two characters that are no white space: tokens of both sides begin here.
 CUT = re.compile(r" (?=\S)(?<=\S )")
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
-DIGEST_SCHEMA = ("row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_group_links long, n_best long, "
-                 "count_sum long, groups_sha256 string, tail_pairs array<long>, tail_n array<long>")
+ROW_SCHEMA = ("doc_id long, a_ids binary, b_ids binary, n_groups long, n_links long, n_group_links long, groups_sha256 string, "
+              "pairs array<long>, pair_n array<long>")
+SCORE_SCHEMA = ("row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_group_links long, groups_sha256 string, "
+                "n_best long, count_sum long, tail_pairs array<long>, tail_n array<long>")
 
 
 # CSR products -----------------------------------------------------------------------
@@ -68,10 +68,13 @@ def product(a_ptr: np.ndarray, a_idx: np.ndarray, b_ptr: np.ndarray, b_idx: np.n
     Every entry k of a row of the first selects row k of the second; equal columns within a
     row of the result are added up (sorted runs stand for the usual dense accumulator).
     """
-    picked = b_ptr[a_idx + 1] - b_ptr[a_idx]
-    row = np.repeat(np.repeat(np.arange(len(a_ptr) - 1), np.diff(a_ptr)), picked)
-    shift = pointers(picked)[:-1]
-    col = b_idx[np.repeat(b_ptr[a_idx] - shift, picked) + np.arange(len(row))]
+    row = np.repeat(np.arange(len(a_ptr) - 1), np.diff(a_ptr))
+    if len(b_idx) == len(b_ptr) - 1 and np.array_equal(b_ptr, np.arange(len(b_ptr))):   # every row of the second has one entry
+        col = b_idx[a_idx]
+    else:
+        picked = b_ptr[a_idx + 1] - b_ptr[a_idx]
+        row = np.repeat(row, picked)
+        col = b_idx[np.repeat(b_ptr[a_idx] - pointers(picked)[:-1], picked) + np.arange(len(row))]
     same_row = row[1:] == row[:-1]
     if np.any(same_row & (col[1:] < col[:-1])):
         order = np.lexsort((col, row))
@@ -91,8 +94,10 @@ def overlap_links(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray,
 def groups(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Group of each A and each B token, and the number of groups."""
     a_end, b_end = np.cumsum(a_sizes), np.cumsum(b_sizes)
-    ends = np.intersect1d(a_end, b_end, assume_unique=True)
-    return np.searchsorted(ends, a_end), np.searchsorted(ends, b_end), len(ends)
+    closes = np.zeros((2, int(a_end[-1]) + 1 if len(a_end) else 1), bool)
+    closes[0, a_end], closes[1, b_end] = True, True
+    upto = np.cumsum(closes[0] & closes[1])
+    return upto[a_end - 1], upto[b_end - 1], int(upto[-1])
 
 
 def group_links(a_group: np.ndarray, b_group: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,93 +125,67 @@ class Tokens:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
-        self.a_bytes = {i: b for b, i in ranks.items()}
+        self.a_bytes = [b""] * (max(ranks.values()) + 2)
+        for b, i in ranks.items():
+            self.a_bytes[i] = b
         names = [self.pieces.id_to_piece(i) for i in range(self.pieces.get_piece_size())]
         self.b_bytes = [bytes([int(m[1], 16)]) if (m := BYTE_PIECE.fullmatch(p)) else p.replace("▁", " ").encode() for p in names]
-        self.space = self.pieces.piece_to_id("▁")
-
-    def encode(self, part: str) -> tuple[list[int], list[int]] | None:
-        """Ids of space + ``part`` by both; None where the bytes do not come back."""
-        text = " " + part
-        a = self.fast.encode_ordinary(text) if PLAIN.fullmatch(text) else self.exact.encode(text, add_special_tokens=False).ids
-        b = self.pieces.encode(part) if part else [self.space]
-        want = text.encode()
-        if b"".join(self.a_bytes.get(i, b"") for i in a) != want or b"".join(self.b_bytes[i] for i in b) != want:
-            return None
-        return a, b
-
-
-class Part:
-    """What a part of a text adds to its text."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "n_group_links", "pairs", "text")
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, t)), np.int64) for t in (self.a_bytes, self.b_bytes))
+        self.flat = [(np.frombuffer(b"".join(t), np.uint8), pointers(s)) for t, s in ((self.a_bytes, self.a_sizes), (self.b_bytes, self.b_sizes))]
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of space + ``text`` by both; None where the bytes do not come back."""
+        whole = " " + text
+        if PLAIN.fullmatch(whole):
+            a = np.array(self.fast.encode_ordinary(whole), np.uint16)
+        else:
+            a = np.array(self.exact.encode(whole, add_special_tokens=False).ids, np.uint16)
+        b, want = np.array(self.pieces.encode(text), np.uint16), whole.encode()
+        return (a, b) if self.joined(a, 0) == want == self.joined(b, 1) else None
+
+    def joined(self, ids: np.ndarray, side: int) -> bytes:
+        """The bytes of the tokens, joined."""
+        sizes, (flat, begin) = (self.a_sizes, self.b_sizes)[side][ids], self.flat[side]
+        shift = begin[ids] - np.cumsum(sizes) + sizes
+        return flat[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))].tobytes()
+
+
+def slices(text: str) -> Iterator[str]:
+    """A text in slices of some ``SLICE`` characters, cut where tokens of both sides begin."""
+    start = 0
+    while len(text) - start > SLICE and (m := CUT.search(text, start + SLICE)):
+        yield text[start:m.start()]
+        start = m.end()
+    yield text[start:]
 
-    def __init__(self, n_a: int, n_b: int, n_groups: int, n_group_links: int, pairs: np.ndarray, text: str):
-        self.n_a, self.n_b, self.n_groups, self.n_group_links, self.pairs, self.text = n_a, n_b, n_groups, n_group_links, pairs, text
 
+class Digits:
+    """Writes ids in decimal, each followed by a given character, as arrays."""
 
-def _written(a: list[int], b: list[int], a_group: np.ndarray, b_group: np.ndarray, n: int) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids of each group."""
-    i, j = np.searchsorted(a_group, np.arange(n + 1)).tolist(), np.searchsorted(b_group, np.arange(n + 1)).tolist()
-    a_text, b_text = list(map(str, a)), list(map(str, b))
-    return ";".join(",".join(a_text[i[g]:i[g + 1]]) + "|" + ",".join(b_text[j[g]:j[g + 1]]) for g in range(n))
+    def __init__(self, n: int):
+        texts = [str(i).encode() for i in range(n)]
+        self.length = np.array(list(map(len, texts)), np.int8)
+        self.digit = np.frombuffer(b"".join(t.ljust(6, b" ") for t in texts), np.uint8).reshape(n, 6)
 
+    def write(self, ids: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The characters, and where each id ends."""
+        cells = self.digit[ids]
+        size = self.length[ids]
+        cells[np.arange(len(ids)), size] = after
+        return cells[np.arange(6, dtype=np.int8) <= size[:, None]], np.cumsum(size + np.int64(1))
 
-class Aligner:
-    """Aligned parts of texts, each distinct part once (as long as it is remembered)."""
 
-    def __init__(self, files: tuple[str, str, str, str] | None = None):
-        self.tokens = Tokens(files)
-        self.known: dict[str, Part | None] = {}
-
-    def _align(self, parts: list[str]) -> list[Part | None]:
-        """One product over all ``parts`` laid end to end: their tokens share no byte with each other's."""
-        encoded = [self.tokens.encode(p) for p in parts]
-        good = [e for e in encoded if e is not None]
-        a = np.fromiter((i for e in good for i in e[0]), np.int64)
-        b = np.fromiter((i for e in good for i in e[1]), np.int64)
-        a_sizes = np.fromiter((len(self.tokens.a_bytes[i]) for i in a.tolist()), np.int64, len(a))
-        b_sizes = np.fromiter((len(self.tokens.b_bytes[i]) for i in b.tolist()), np.int64, len(b))
-        ptr, col, _ = overlap_links(a_sizes, b_sizes)
-        pairs = np.repeat(a, np.diff(ptr)) * PAIR + b[col]
-        a_group, b_group, n = groups(a_sizes, b_sizes)
-        both = np.bincount(a_group, minlength=n) * np.bincount(b_group, minlength=n)  # row sizes of the group product
-        out: list[Part | None] = []
-        i = j = 0
-        for e in encoded:
-            if e is None:
-                out.append(None)
-                continue
-            i2, j2 = i + len(e[0]), j + len(e[1])
-            g, g2 = int(a_group[i]), int(a_group[i2 - 1]) + 1
-            text = _written(e[0], e[1], a_group[i:i2] - g, b_group[j:j2] - g, g2 - g)
-            out.append(Part(i2 - i, j2 - j, g2 - g, int(both[g:g2].sum()), pairs[ptr[i]:ptr[i2]].copy(), text))
-            i, j = i2, j2
-        return out
-
-    def parts(self, names: list[str]) -> dict[str, Part | None]:
-        """The aligned parts of ``names`` (at least those)."""
-        missing = list(set(names).difference(self.known))
-        if missing:
-            if len(self.known) > CACHED:
-                self.known.clear()
-                missing = list(set(names))
-            made = dict(zip(missing, self._align(missing), strict=True))
-            if all(len(m) <= CACHED_CHARS for m in missing):
-                self.known.update(made)
-            else:
-                self.known.update((k, v) for k, v in made.items() if len(k) <= CACHED_CHARS)
-                return {k: made[k] if k in made else self.known[k] for k in set(names)}
-        return self.known
-
-
-def slices(text: str) -> Iterator[list[str]]:
-    """The parts of a text, some ``SLICE`` characters of them at a time."""
-    start = 0
-    while len(text) - start > SLICE and (m := CUT.search(text, start + SLICE)):
-        yield CUT.split(text[start:m.start()])
-        start = m.end()
-    yield CUT.split(text[start:])
+def written(digits: Digits, a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray,
+            in_a: np.ndarray, in_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``a1,a2|b1;a3|b2,b3;``: the ids of each group (``in_a``, ``in_b``: tokens of each); and where each B id ends in it."""
+    a_upto, b_upto = np.cumsum(in_a), np.cumsum(in_b)
+    a_place = np.arange(len(a)) + (b_upto - in_b)[a_group]
+    b_place = np.arange(len(b)) + a_upto[b_group]
+    ids, after = np.empty(len(a) + len(b), np.uint16), np.full(len(a) + len(b), ord(","), np.uint8)
+    ids[a_place], ids[b_place] = a, b
+    after[a_place[a_upto - 1]] = ord("|")
+    after[b_place[b_upto - 1]] = ord(";")
+    text, end = digits.write(ids, after)
+    return text, end[b_place]
 
 
 # links of whole texts ------------------------------------------------------------------
@@ -225,9 +204,9 @@ def links(docs: DataFrame, files: tuple[str, str, str, str] | None = None) -> Da
         tokens = Tokens(files)
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                a, b = (tokens.encode(text.as_py()) if text.as_py() else None) or ([], [])
-                a_sizes = np.array([len(tokens.a_bytes[i]) for i in a], np.int64)
-                b_sizes = np.array([len(tokens.b_bytes[i]) for i in b], np.int64)
+                found = tokens.encode(text.as_py()) if text.as_py() else None
+                a, b = (x.astype(np.int64) for x in found or (np.zeros(0), np.zeros(0)))
+                a_sizes, b_sizes = tokens.a_sizes[a], tokens.b_sizes[b]
                 ptr, col, shared = overlap_links(a_sizes, b_sizes)
                 a_group, b_group, _ = groups(a_sizes, b_sizes)
                 columns = [a, b, a_group, b_group, ptr, col, shared]
@@ -239,6 +218,12 @@ def links(docs: DataFrame, files: tuple[str, str, str, str] | None = None) -> Da
 
 
 # corpus counts ------------------------------------------------------------------------
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of a sorted array and their numbers."""
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(values)), bool), values[1:] != values[:-1]]))
+    return values[first], np.diff(np.append(first, len(values)))
+
+
 def _summed(pairs: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     if not pairs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -249,53 +234,114 @@ def _summed(pairs: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[np.ndar
     return p[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def pair_counts(docs: DataFrame, files: tuple[str, str, str, str] | None = None) -> DataFrame:
-    """(pair, n): how many links of all texts hold the id pair."""
+class Sums:
+    """Numbers of links per id pair, added up when ``PENDING`` sums wait."""
+
+    def __init__(self):
+        self.pairs, self.numbers, self.waiting = [], [], 0
+
+    def add(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Sums to be sent, if too many are held."""
+        pairs, numbers = runs(np.sort(pairs))
+        self.pairs.append(pairs)
+        self.numbers.append(numbers)
+        self.waiting += len(pairs)
+        if self.waiting > PENDING:
+            held = self.close()
+            if 2 * len(held[0]) > PENDING:
+                return held
+            self.pairs, self.numbers, self.waiting = [held[0]], [held[1]], len(held[0])
+        return None
+
+    def close(self) -> tuple[np.ndarray, np.ndarray]:
+        out = _summed(self.pairs, self.numbers)
+        self.pairs, self.numbers, self.waiting = [], [], 0
+        return out
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, seen, loose = Aligner(files), Counter(), []
-        held: tuple[np.ndarray, np.ndarray] = _summed([], [])
 
-        def added() -> tuple[np.ndarray, np.ndarray]:
-            parts = aligner.parts(list(seen))
-            sums = [(p.pairs, n) for name, n in seen.items() if (p := parts[name]) is not None]
-            seen.clear()
-            out = _summed([held[0], *loose, *[p for p, _ in sums]],
-                          [held[1], *[np.ones(len(p), np.int64) for p in loose], *[np.full(len(p), n, np.int64) for p, n in sums]])
-            loose.clear()
-            return out
+def tokenised(docs: DataFrame, files: tuple[str, str, str, str] | None = None) -> DataFrame:
+    """A row per document: its ids, numbers of links and groups; and rows (n_links NULL) that hold sums of linked id pairs."""
 
-        def sent(pairs: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], names=["pair", "n"])
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, sums = Tokens(files), Sums()
+        digits = Digits(max(len(tokens.a_bytes), len(tokens.b_bytes)))
+        lists = pa.list_(pa.int64())
 
-        for batch in batches:
-            for text in batch.column(0):
+        def blocks(batch: pa.RecordBatch) -> Iterator[list[tuple[int | None, str | None]]]:
+            held, chars = [], 0
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
-                if not text:
-                    continue
-                whole: list[list[str]] = []
-                for names in slices(text):
-                    parts = aligner.parts(names)
-                    if None in map(parts.get, names):
-                        break
-                    whole.append(names)
-                else:                       # only a text whose bytes all come back has links
-                    for names in whole:
-                        seen.update(n for n in names if len(n) <= CACHED_CHARS)
-                        longs = [n for n in names if len(n) > CACHED_CHARS]
-                        if longs:
-                            parts = aligner.parts(longs)
-                            loose.extend(parts[n].pairs for n in longs)
-                if len(seen) > CACHED // 2 or sum(map(len, loose)) > PENDING:
-                    held = added()
-                    if len(held[0]) > PENDING:
-                        yield sent(*held)
-                        held = _summed([], [])
-        held = added()
-        yield sent(*held)
-
-    sums = docs.select("text").mapInArrow(run, "pair long, n long")
-    return sums.groupBy("pair").agg(F.sum("n").alias("n"))
+                held.append((doc_id, text))
+                chars += len(text or "")
+                if chars > SLICE:
+                    yield held
+                    held, chars = [], 0
+            if held:
+                yield held
+
+        def measured(a: np.ndarray, b: np.ndarray, a_end: np.ndarray, b_end: np.ndarray) -> tuple:
+            """For texts laid end to end, with the ends of their tokens: per text n_groups, n_links, n_group_links, the written groups."""
+            a_sizes, b_sizes = tokens.a_sizes[a], tokens.b_sizes[b]
+            ptr, col, _ = overlap_links(a_sizes, b_sizes)
+            more = sums.add(np.repeat(a.astype(np.int64) * PAIR, np.diff(ptr)) + b[col])
+            a_group, b_group, n = groups(a_sizes, b_sizes)
+            in_a, in_b = np.bincount(a_group, minlength=n), np.bincount(b_group, minlength=n)
+            both = pointers(in_a * in_b)                                # row sizes of the group product
+            text, end = written(digits, a, b, a_group, b_group, in_a, in_b)
+            g_end = a_group[a_end - 1] + 1
+            return np.diff(g_end, prepend=0), np.diff(ptr[a_end], prepend=0), np.diff(both[g_end], prepend=0), text, end[b_end - 1], more
+
+        def sent(rows: list[tuple], more: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            rows += [(None,) * 7] * len(more)
+            types = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
+            for k in (0, 1):
+                columns.append(pa.array([None] * (len(rows) - len(more)) + [m[k] for m in more], lists))
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "a_ids", "b_ids", "n_groups", "n_links", "n_group_links",
+                                                              "groups_sha256", "pairs", "pair_n"])
+
+        for batch in batches:
+            for block in blocks(batch):
+                rows, more = [], []
+                # every slice of a text on its own; a text counts only if the bytes of all its slices come back
+                ids = [(k, tokens.encode(part)) for k, (_, text) in enumerate(block) if text for part in slices(text)]
+                bad = {k for k, i in ids if i is None}
+                good = [(k, i) for k, i in ids if k not in bad]
+                totals, shas = {k: [[], [], 0, 0, 0] for k, _ in good}, {}
+                while good:
+                    take, held = 0, 0
+                    while take < len(good) and (take == 0 or held + len(good[take][1][0]) <= SLICE):
+                        held += len(good[take][1][0])
+                        take += 1
+                    now, good = good[:take], good[take:]
+                    a_end, b_end = (np.cumsum([len(i[side]) for _, i in now]) for side in (0, 1))
+                    a_ids, b_ids = (np.concatenate([i[side] for _, i in now]) for side in (0, 1))
+                    n_groups, n_links, n_pairs, text, end, over = measured(a_ids, b_ids, a_end, b_end)
+                    if over is not None:
+                        more.append(over)
+                    view, begin = memoryview(text), 0
+                    for at, (k, i) in enumerate(now):
+                        t = totals[k]
+                        t[0].append(i[0].tobytes())
+                        t[1].append(i[1].tobytes())
+                        t[2] += int(n_groups[at])
+                        t[3] += int(n_links[at])
+                        t[4] += int(n_pairs[at])
+                        sha = shas.get(k)
+                        if sha is None:
+                            sha = shas[k] = hashlib.sha256()
+                        else:
+                            sha.update(b";")
+                        sha.update(view[begin:int(end[at]) - 1])
+                        begin = int(end[at])
+                for k, (doc_id, _) in enumerate(block):
+                    t = totals.get(k)
+                    rows.append((doc_id, b"", b"", 0, 0, 0, "") if t is None else
+                                (doc_id, b"".join(t[0]), b"".join(t[1]), t[2], t[3], t[4], shas[k].hexdigest()))
+                yield sent(rows, more)
+        yield sent([], [sums.close()])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ROW_SCHEMA)
 
 
 def align(docs: DataFrame, files: tuple[str, str, str, str] | None = None, head_pairs: int = HEAD_PAIRS) -> DataFrame:
@@ -304,7 +350,9 @@ def align(docs: DataFrame, files: tuple[str, str, str, str] | None = None, head_
     ``n_group_links`` is the number of token pairs in one group.
     """
     spark = docs.sparkSession
-    counts = scratch(pair_counts(docs, files), "align-counts")
+    made = scratch(tokenised(docs, files).withColumn("row", F.monotonically_increasing_id()), "align-ids", "zstd")
+    sums = made.where(F.col("n_links").isNull()).select(F.explode(F.arrays_zip("pairs", "pair_n")).alias("s"))
+    counts = scratch(sums.groupBy(F.col("s.pairs").alias("pair")).agg(F.sum("s.pair_n").alias("n")), "align-counts")
     best = counts.groupBy(F.pmod("pair", F.lit(PAIR)).alias("b")).agg(F.max("n").alias("top"))
     # the least power of two that leaves at most head_pairs pairs
     steps = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("step")).count().collect()  # 63 rows at most
@@ -318,54 +366,32 @@ def align(docs: DataFrame, files: tuple[str, str, str, str] | None = None, head_
     shared = spark.sparkContext.broadcast((head["pair"].to_numpy(np.int64), head["n"].to_numpy(np.int64), top))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(files)
+        tokens = Tokens(files)
         codes, number, top = shared.value
-        scored: dict[str, tuple] = {}
-
-        def score(part: Part) -> tuple:
-            at = np.minimum(np.searchsorted(codes, part.pairs), max(len(codes) - 1, 0))
-            hit = codes[at] == part.pairs if len(codes) else np.zeros(len(part.pairs), bool)
-            n = number[at[hit]]
-            tail = part.pairs[~hit].tolist()
-            return (part.n_a, part.n_b, part.n_groups, len(part.pairs), part.n_group_links,
-                    int((n == top[part.pairs[hit] % PAIR]).sum()), int(n.sum())), part.text, tail
-
-        def digest(text: str | None) -> tuple:
-            sums, sha, tail, begun = np.zeros(7, np.int64), hashlib.sha256(), Counter(), False
-            for names in slices(text) if text else ():
-                missing = [n for n in names if n not in scored]
-                now = scored
-                if missing:
-                    parts = aligner.parts(missing)
-                    if any(parts[m] is None for m in missing):
-                        return (0, 0, 0, 0, 0, 0, 0), "", {}
-                    if len(scored) > CACHED:
-                        scored.clear()
-                        missing = names
-                        parts = aligner.parts(missing)
-                    fresh = {m: score(parts[m]) for m in set(missing)}
-                    scored.update((m, v) for m, v in fresh.items() if len(m) <= CACHED_CHARS)
-                    now = scored if all(len(m) <= CACHED_CHARS for m in fresh) else {n: fresh[n] if n in fresh else scored[n] for n in set(names)}
-                found = [now[n] for n in names]
-                sums += np.array([f[0] for f in found], np.int64).sum(axis=0)
-                sha.update((";" if begun else "").encode() + ";".join([f[1] for f in found]).encode())
-                begun = True
-                for f in found:
-                    if f[2]:
-                        tail.update(f[2])
-            return tuple(sums.tolist()), sha.hexdigest() if begun else "", tail
+        codes, number = np.append(codes, np.iinfo(np.int64).max), np.append(number, 0)
+        is_best = number == top[codes % PAIR]
+
+        def score(a_raw: bytes, b_raw: bytes) -> tuple:
+            a, b = np.frombuffer(a_raw, np.uint16), np.frombuffer(b_raw, np.uint16)
+            ptr, col, _ = overlap_links(tokens.a_sizes[a], tokens.b_sizes[b])
+            pairs, times = runs(np.sort(np.repeat(a.astype(np.int64) * PAIR, np.diff(ptr)) + b[col]))
+            at = np.searchsorted(codes, pairs)
+            hit = codes[at] == pairs
+            found, n = at[hit], times[hit]
+            return int(n[is_best[found]].sum()), int((n * number[found]).sum()), pairs[~hit], times[~hit]
 
         for batch in batches:
-            rows = [digest(t.as_py()) for t in batch.column(2)]
+            scores = [score(a.as_buffer(), b.as_buffer()) for a, b in zip(batch.column("a_ids"), batch.column("b_ids"), strict=True)]
+            n = [pa.array([len(x.as_buffer()) // 2 for x in batch.column(k)], pa.int64()) for k in ("a_ids", "b_ids")]
+            kept = [batch.column(k) for k in ("n_groups", "n_links", "n_group_links", "groups_sha256")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *[pa.array([r[0][k] for r in rows], pa.int64()) for k in range(7)],
-                 pa.array([r[1] for r in rows], pa.string()), pa.array([list(r[2]) for r in rows], pa.list_(pa.int64())),
-                 pa.array([list(r[2].values()) for r in rows], pa.list_(pa.int64()))],
-                names=["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_group_links", "n_best", "count_sum", "groups_sha256",
-                       "tail_pairs", "tail_n"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = scratch(rows.mapInArrow(run, DIGEST_SCHEMA), "align-rows")
+                [batch.column("row"), batch.column("doc_id"), *n, *kept, pa.array([s[0] for s in scores], pa.int64()),
+                 pa.array([s[1] for s in scores], pa.int64()), pa.array([s[2] for s in scores], pa.list_(pa.int64())),
+                 pa.array([s[3] for s in scores], pa.list_(pa.int64()))],
+                names=[f.split()[0] for f in SCORE_SCHEMA.split(", ")])
+
+    rows = made.where(F.col("n_links").isNotNull()).drop("pairs", "pair_n")
+    rows = scratch(rows.mapInArrow(run, SCORE_SCHEMA), "align-rows")
     rest = counts.where(F.col("n") < F.lit(1 << least)).join(best, F.pmod("pair", F.lit(PAIR)) == F.col("b"))
     rest = rest.select("pair", "n", (F.col("n") == F.col("top")).cast("long").alias("is_best"))
     tail = rows.where(F.size("tail_pairs") > 0).select("row", F.explode(F.arrays_zip("tail_pairs", "tail_n")).alias("t"))
