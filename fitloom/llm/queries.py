@@ -16,6 +16,7 @@ from fitloom.llm.line_dedup import dedup_lines
 from fitloom.llm.mixing import mix
 from fitloom.llm.packing import pack
 from fitloom.llm.pii import digest
+from fitloom.llm.prefix_trie import prefix_trie
 from fitloom.llm.quality_rules import judge
 from fitloom.llm.token_alignment import align
 
@@ -66,6 +67,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations")).drop("enter_at", "exit_at")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bag_minhash": op1_bag_minhash,
     "op2_line_dedup": op2_line_dedup,
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
     "op11_token_alignment": op11_token_alignment,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 # The mixture as plain windows: one running sum per source instead of bucket sums and a border bucket.
@@ -140,4 +146,29 @@ n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT r.a AS vec_id, coalesce(any_value(n.n), 0) AS n_links, min(r.b) AS component_id, r.a = min(r.b) AS kept
 FROM r LEFT JOIN n ON n.a = r.a GROUP BY r.a"""
 
-ORACLES: dict[str, str] = {"op1_bag_minhash": OP1_SQL, "op2_line_dedup": OP2_SQL, "op4_mixing": OP4_SQL, "op8_hnsw_dedup": OP8_SQL}
+# The trie with whole paths as keys; subtrees by joining every node with all nodes above it. CRC-32 bit by bit.
+OP12_SQL = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, md5(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 5 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)),
+      4294967295::BIGINT) % 9 AS h FROM t GROUP BY conv_id),
+p AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS p FROM c LEFT JOIN c b ON b.conv_id = c.base),
+r AS (SELECT p.conv_id, t.pos AS depth, role, text FROM p JOIN t ON t.conv_id = p.base AND t.pos <= p.p
+  UNION ALL SELECT p.conv_id, p.p + t.pos - p.h, role, text FROM p JOIN t ON t.conv_id = p.conv_id AND t.pos > p.h),
+m AS (SELECT conv_id, 0 AS depth, 0 AS bytes, '' AS path FROM c UNION ALL SELECT conv_id, depth, strlen(text),
+    string_agg(len(role) || ':' || role || len(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY depth) FROM r),
+n AS (SELECT path, min(conv_id) AS conv_id, min(depth) AS depth, count(*) AS n_convs, min(bytes) AS bytes FROM m GROUP BY path),
+e AS (SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+  FROM (SELECT *, max(depth) OVER (PARTITION BY conv_id) AS length FROM m) WHERE depth = length GROUP BY path),
+u AS (SELECT n.*, above.path AS parent FROM n LEFT JOIN m above ON above.conv_id = n.conv_id AND above.depth = n.depth - 1),
+k AS (SELECT parent AS path, count(*) AS n_children FROM u WHERE parent IS NOT NULL GROUP BY parent),
+s AS (SELECT a.path, count(*) FILTER (WHERE k.path IS NULL) AS n_leaves, sum((u.n_convs - 1) * u.bytes) AS saved
+  FROM u LEFT JOIN k ON k.path = u.path JOIN m a ON a.conv_id = u.conv_id AND a.depth <= u.depth GROUP BY a.path)
+SELECT u.conv_id, CAST(u.depth AS BIGINT) AS depth, x.conv_id AS parent_conv_id, u.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves,
+  CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM u LEFT JOIN n x ON x.path = u.parent LEFT JOIN k ON k.path = u.path LEFT JOIN e ON e.path = u.path JOIN s ON s.path = u.path"""
+
+ORACLES: dict[str, str] = {"op1_bag_minhash": OP1_SQL, "op2_line_dedup": OP2_SQL, "op4_mixing": OP4_SQL, "op8_hnsw_dedup": OP8_SQL,
+                           "op12_prefix_trie": OP12_SQL}
