@@ -18,6 +18,7 @@ from fitloom.llm.packing import pack
 from fitloom.llm.pii import digest
 from fitloom.llm.prefix_trie import prefix_trie
 from fitloom.llm.quality_rules import judge
+from fitloom.llm.substring_dedup import dedup_substrings
 from fitloom.llm.token_alignment import align
 
 
@@ -71,6 +72,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations")).drop("enter_at", "exit_at")
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bag_minhash": op1_bag_minhash,
     "op2_line_dedup": op2_line_dedup,
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op11_token_alignment": op11_token_alignment,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 # The mixture as plain windows: one running sum per source instead of bucket sums and a border bucket.
@@ -170,5 +176,17 @@ SELECT u.conv_id, CAST(u.depth AS BIGINT) AS depth, x.conv_id AS parent_conv_id,
   CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
 FROM u LEFT JOIN n x ON x.path = u.parent LEFT JOIN k ON k.path = u.path LEFT JOIN e ON e.path = u.path JOIN s ON s.path = u.path"""
 
+# All windows of 50 words as rows; a window's first document is the least one that holds it.
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT r, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+f AS (SELECT h, min(doc_id) AS least FROM x GROUP BY h),
+c AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS j FROM x JOIN f USING (h) WHERE least < doc_id),
+p AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d),
+k AS (SELECT p.r, string_agg(word, ' ' ORDER BY p.j) FILTER (WHERE c.j IS NULL) AS kept, count(c.j) AS n_removed
+  FROM p LEFT JOIN c ON c.r = p.r AND c.j = p.j GROUP BY p.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)"""
+
 ORACLES: dict[str, str] = {"op1_bag_minhash": OP1_SQL, "op2_line_dedup": OP2_SQL, "op4_mixing": OP4_SQL, "op8_hnsw_dedup": OP8_SQL,
-                           "op12_prefix_trie": OP12_SQL}
+                           "op12_prefix_trie": OP12_SQL, "op13_substring_dedup": OP13_SQL}
