@@ -45,7 +45,7 @@ SHARD_WORDS = 1 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15
 READ_SCHEMA = "doc_id long, n_words long, text_sha binary, anchors array<long>, places array<int>, passages array<long>"
 ENTRY_SCHEMA = "key long, passage long, doc long, words binary"
-FOUND_SCHEMA = "key long, passage long, first int, last int, least long"
+FOUND_SCHEMA = "key long, passage long, firsts array<int>, lasts array<int>, last int, most long"
 KEPT_SCHEMA = "doc_id long, text_sha binary, n_removed long, kept_sha256 string, kept string"
 
 
@@ -166,7 +166,11 @@ def entries(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def search(rows: DataFrame, shards: int) -> DataFrame:
-    """Per entry, runs of windows (first..last, by first word) and the least doc of all entries of the shard that hold each."""
+    """Per entry, what the index of its shard says of its windows, numbered 0..last by their first word.
+
+    Of the least doc of all entries that hold a window: ``most`` is the greatest over the entry's windows (at most
+    the entry's own doc), and ``firsts``..``lasts`` are the runs of windows for which it is smaller than that doc.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches), schema=schema)
@@ -186,17 +190,20 @@ def search(rows: DataFrame, shards: int) -> DataFrame:
         length, row = index.matching_statistics(symbols, sizes)
         least = index.least[index.group[row]]
         begin = np.cumsum(sizes) - sizes
-        at = np.flatnonzero(length >= WINDOW)
-        entry = np.searchsorted(begin, at, "right") - 1
-        # windows that follow each other with the same least doc are one run
-        new = np.ones(len(at), bool)
-        new[1:] = (entry[1:] != entry[:-1]) | (at[1:] != at[:-1] + 1) | (least[at][1:] != least[at][:-1])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(at)) - 1
-        e = entry[first]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys[e]), pa.array(passages[e]), pa.array((at[first] - begin[e]).astype(np.int32)),
-             pa.array((at[last] - begin[e]).astype(np.int32)), pa.array(least[at[first]])], names=["key", "passage", "first", "last", "least"])
+        last = sizes - WINDOW
+        known = np.where(length >= WINDOW, least, np.iinfo(np.int64).min)
+        most = np.maximum.reduceat(known, begin)
+        earlier = (length >= WINDOW) & (least < np.repeat(docs, sizes))
+        # runs of such windows, within their entry
+        edge = np.zeros(len(earlier), bool)
+        edge[begin] = True
+        first = np.flatnonzero(earlier & (edge | ~np.concatenate([[False], earlier[:-1]])))
+        final = np.flatnonzero(earlier & ~np.concatenate([earlier[1:] & ~edge[1:], [False]]))
+        entry = np.searchsorted(begin, first, "right") - 1
+        upto = np.concatenate([[0], np.cumsum(np.bincount(entry, minlength=len(sizes)))]).astype(np.int32)
+        runs = [pa.ListArray.from_arrays(pa.array(upto), pa.array((at - begin[entry]).astype(np.int32))) for at in (first, final)]
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(passages), *runs, pa.array(last.astype(np.int32)), pa.array(most)],
+                                         names=["key", "passage", "firsts", "lasts", "last", "most"])
 
     schema = pa.schema([("key", pa.int64()), ("passage", pa.int64()), ("doc", pa.int64()), ("words", pa.binary())])
     return rows.select("key", "passage", "doc", "words").repartition(max(1, shards), "key").mapInArrow(run, FOUND_SCHEMA)
@@ -229,12 +236,18 @@ def repeated_spans(docs: DataFrame, made: DataFrame) -> DataFrame:
         twice = windows.groupBy("w", "w2").agg(F.min("doc").alias("doc"), F.min("passage").alias("one"), F.max("passage").alias("other"),
                                                F.bool_or("again").alias("again"), F.min("words").alias("words"))
         twice = scratch(twice.where("one < other or again").select(F.col("w").alias("key"), F.col("w2").alias("passage"), "doc", "words"), "fm-windows")
-        answers = search(twice, -(-twice.count() * WINDOW // SHARD_WORDS)).select(F.col("key").alias("w"), F.col("passage").alias("w2"), "least")
-        back = windows.select("key", "passage", "first", "w", "w2").join(answers, ["w", "w2"])
-        found = found.unionByName(scratch(back.select("key", "passage", "first", F.col("first").alias("last"), "least"), "fm-found-crowded"))
+        answers = search(twice, -(-twice.count() * WINDOW // SHARD_WORDS)).select(F.col("key").alias("w"), F.col("passage").alias("w2"), F.col("most").alias("least"))
+        back = windows.select("key", "passage", "doc", "first", "w", "w2").join(answers, ["w", "w2"], "left")
+        earlier = F.collect_list(F.when(F.col("least") < F.col("doc"), F.col("first")))
+        back = back.groupBy("key", "passage").agg(earlier.alias("firsts"), F.max("first").alias("last"),
+                                                  F.max(F.coalesce("least", "doc")).alias("most"))
+        found = found.unionByName(scratch(back.select("key", "passage", "firsts", F.col("firsts").alias("lasts"), "last", "most"), "fm-found-crowded"))
     begin = F.greatest(F.col("place") - (WINDOW - ANCHOR), F.lit(0))
-    return hits.join(found, ["key", "passage"]).where("least < doc").select(
-        F.col("doc").alias("doc_id"), "text_sha", (begin + F.col("first")).alias("start"), (begin + F.col("last") + WINDOW).alias("end"))
+    # all windows of the passage have an earlier document, or those of the runs
+    spans = F.when(F.col("doc") > F.col("most"), F.array(F.struct(F.lit(0).alias("first"), F.col("last").alias("last")))).otherwise(
+        F.transform(F.arrays_zip("firsts", "lasts"), lambda r: F.struct(r["firsts"].alias("first"), r["lasts"].alias("last"))))
+    return hits.join(found, ["key", "passage"]).select("doc", "text_sha", begin.alias("begin"), F.explode(spans).alias("s")).select(
+        F.col("doc").alias("doc_id"), "text_sha", (F.col("begin") + F.col("s.first")).alias("start"), (F.col("begin") + F.col("s.last") + WINDOW).alias("end"))
 
 
 # removal ------------------------------------------------------------------------------------
