@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from fitloom.functions import rowwise as RW
 from fitloom.operators import cluster as L
+from fitloom.operators import kmeans_runs as KR
 from fitloom.operators import select as M
+from fitloom.operators.neighbours import neighbour_information
+from fitloom.operators.ward import fit_ward
 from fitloom.plans import sqlexpr as X
 from fitloom.plans.registry import register
 from fitloom.plans.sqlframes import with_frames
@@ -26,6 +29,19 @@ def l1_kmeans(spark, sf):
     return L.kmeans_label(tr, b, ["age", "total"], 5).select("id", "cluster")
 
 
+@register("l1_kmeans_restarts")
+def l1_kmeans_restarts(spark, sf):
+    b, tr = basket_feats(spark, sf)
+    return KR.fit_runs(tr, {"cluster": (["age", "total"], 5)}, restarts=10).label(b).select("id", "cluster")
+
+
+@register("l3_multi_k_restarts")
+def l3_multi_k_restarts(spark, sf):
+    b, tr = basket_feats(spark, sf)
+    views = {f"km{k}": (["age", "total"], k) for k in (5, 8, 12)}
+    return KR.fit_runs(tr, views, restarts=10).label(b).select("id", *views)
+
+
 # Three literal centres over (age, total spend).
 CENTRES = [(0.0, 0.0), (5000.0, 100000.0), (8000.0, 400000.0)]
 
@@ -59,6 +75,21 @@ def l4_multiview_clusters(spark, sf):
     return L.multiview(tr, b, views).select("id", "cl_demo", "cl_behavior", "cl_location")
 
 
+@register("l4_multiview_restarts")
+def l4_multiview_restarts(spark, sf):
+    b, _ = basket_feats(spark, sf)
+    b = b.withColumn("econ", F.coalesce("sp_economy", F.lit(0.0))).withColumn("large", F.coalesce("sp_large", F.lit(0.0)))
+    views = {"cl_demo": (["age"], 8), "cl_behavior": (["total", "econ", "large"], 10), "cl_location": (["grp"], 6)}
+    runs = KR.fit_runs(b.where(F.col("split") == "train"), views, restarts=10, scaling="robust")
+    return runs.label(b).select("id", *views)
+
+
+@register("l5_ward_segments")
+def l5_ward_segments(spark, sf):
+    b, tr = basket_feats(spark, sf)
+    return fit_ward(spark, tr, ["age", "total"], 12).label(b).select("id", "segment")
+
+
 @register("l5_bisecting_segments")
 def l5_bisecting_segments(spark, sf):
     b, tr = basket_feats(spark, sf)
@@ -126,6 +157,48 @@ def m4_mutual_information(spark, sf):
     return M.top_k_flag(mi, "mi", 1)
 
 
+def _psi(n):
+    t = f"({n} + 6.0::DOUBLE)"
+    series = (f"ln({t}) - 1 / (2 * {t}) - 1 / (12 * {t} ** 2) + 1 / (120 * {t} ** 4) - 1 / (252 * {t} ** 6) + 1 / (240 * {t} ** 8)")
+    return f"({series} - {' - '.join(f'1 / ({n} + {i}.0::DOUBLE)' for i in range(6))})"
+
+
+def _neighbour_sql(cols, k):
+    union = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS x, label AS y FROM b WHERE {c} IS NOT NULL" for c in cols)
+    sides = ", ".join(f"lag(x, {j}) OVER w AS l{j}, lead(x, {j}) OVER w AS h{j}" for j in range(1, k + 1))
+    inf = "'inf'::DOUBLE"
+
+    def radius(j):
+        left = [f"coalesce(x - l{i}, {inf})" if i else "0.0" for i in range(j + 1)]
+        right = [f"coalesce(h{j - i} - x, {inf})" if j - i else "0.0" for i in range(j + 1)]
+        return "least(" + ", ".join(f"greatest({a}, {c})" for a, c in zip(left, right, strict=True)) + ")"
+
+    near = "CASE " + " ".join(f"WHEN ny - 1 = {j} THEN {radius(j)}" for j in range(1, k)) + f" ELSE {radius(k)} END"
+    return f"""u AS ({union}),
+d AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY feature, y) AS ny FROM u) WHERE ny > 1),
+w AS (SELECT *, {sides} FROM d WINDOW w AS (PARTITION BY feature, y ORDER BY x)),
+r AS (SELECT feature, x, y, ny, least({k}, ny - 1) AS kk, {near} AS r FROM w),
+p AS (SELECT feature, x, count(*) AS here, sum(count(*)) OVER (PARTITION BY feature ORDER BY x) AS upto FROM d GROUP BY feature, x),
+q AS (SELECT r.*, x + r AS hi, x - r AS lo FROM r),
+m AS (SELECT q.*, CASE WHEN q.r = 0 THEN e.here ELSE coalesce(h.upto, 0) - coalesce(l.upto, 0) END AS m
+  FROM q JOIN p e ON e.feature = q.feature AND e.x = q.x ASOF LEFT JOIN p h ON h.feature = q.feature AND q.hi > h.x
+  ASOF LEFT JOIN p l ON l.feature = q.feature AND q.lo >= l.x),
+s AS (SELECT feature, round(greatest(0.0, {_psi('count(*)')} + avg({_psi('kk')}) - avg({_psi('ny')}) - avg({_psi('m')})), 6) AS mi FROM m GROUP BY feature)"""
+
+
+_M4N_COLS = ["age", "total", "sp_economy"]
+
+
+@register("m4_neighbour_information", with_frames("basket", f"""
+b AS (SELECT id, age, {TOTAL} AS total, sp_economy, label FROM basket),
+{_neighbour_sql(_M4N_COLS, 3)}
+SELECT feature, mi, CAST(row_number() OVER (ORDER BY mi DESC, feature) <= 2 AS INTEGER) AS selected FROM s"""))
+def m4_neighbour_information(spark, sf):
+    b, _ = basket_feats(spark, sf)
+    mi = neighbour_information(b, _M4N_COLS, "label", 3).withColumn("mi", F.round("mi", 6))
+    return M.top_k_flag(mi, "mi", 2)
+
+
 _M5_COLS = ["age", "total", "sp_economy"]
 
 

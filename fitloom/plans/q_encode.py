@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fitloom.functions import rowwise as RW
 from fitloom.operators import encode as J
 from fitloom.operators import folds as N
+from fitloom.operators import group_folds as NG
 from fitloom.plans import sqlexpr as X
 from fitloom.plans.registry import register
 from fitloom.plans.sqlframes import with_frames
@@ -221,6 +222,26 @@ def n3_stratified_group_kfold(spark, sf):
     return out.select("id", "grp", "fold")
 
 
+# One group after the other, each to the fold where it adds least to the variance of the class shares.
+@register("n3_balanced_group_kfold", "WITH RECURSIVE " + with_frames("basket", """
+g AS (SELECT grp, sum(label) AS p, count(*) - sum(label) AS n FROM basket GROUP BY grp),
+o AS (SELECT *, row_number() OVER (ORDER BY abs(p - n) DESC, p + n DESC, p DESC, md5(CAST(grp AS VARCHAR))) AS i,
+    row_number() OVER (PARTITION BY p, n ORDER BY md5(CAST(grp AS VARCHAR))) AS place,
+    p / (sum(p) OVER ()::DOUBLE * sum(p) OVER ()::DOUBLE) AS bp, n / (sum(n) OVER ()::DOUBLE * sum(n) OVER ()::DOUBLE) AS bn FROM g),
+r AS (SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS x, [0, 0, 0, 0, 0]::BIGINT[] AS y, 0::BIGINT AS p, 0::BIGINT AS n, 0::BIGINT AS f
+  UNION ALL
+  SELECT i, list_transform(x, lambda v, k: v + CASE WHEN k = f THEN p ELSE 0 END), list_transform(y, lambda v, k: v + CASE WHEN k = f THEN n ELSE 0 END), p, n, f
+  FROM (SELECT o.i, r.x, r.y, o.p::BIGINT AS p, o.n::BIGINT AS n, list_min(list_transform([1, 2, 3, 4, 5], lambda k:
+      {'a': r.x[k] * o.bp + r.y[k] * o.bn, 'b': r.x[k] + r.y[k], 'k': k})).k::BIGINT AS f FROM r JOIN o ON o.i = r.i + 1)),
+c AS (SELECT p, n, f, count(*) AS m FROM r WHERE i > 0 GROUP BY p, n, f),
+u AS (SELECT p, n, f, sum(m) OVER (PARTITION BY p, n ORDER BY f) AS upto FROM c),
+t AS (SELECT grp, (SELECT min(u.f) - 1 FROM u WHERE u.p = o.p AND u.n = o.n AND u.upto >= o.place) AS fold FROM o)
+SELECT id, grp, CAST(fold AS INTEGER) AS fold FROM basket JOIN t USING (grp)""").removeprefix("WITH "))
+def n3_balanced_group_kfold(spark, sf):
+    out = NG.balanced_group_kfold(spark, basket(spark, sf).select("id", "grp", "label"), "grp", "label", 5)
+    return out.select("id", "grp", "fold")
+
+
 @register("n4_repeated_stratified", with_frames("basket", """
 r AS (SELECT id, label, CAST(t.r AS INTEGER) AS repeat, md5(CAST(id AS VARCHAR) || '#' || CAST(t.r AS VARCHAR)) AS h
       FROM basket CROSS JOIN range(3) t(r))

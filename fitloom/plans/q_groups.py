@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fitloom.functions import rowwise as RW
 from fitloom.operators import binning as E
 from fitloom.operators import groupstats as G
+from fitloom.operators.correlation import blocked_correlation
 from fitloom.plans import sqlexpr as X
 from fitloom.plans.registry import register
 from fitloom.plans.sqlframes import with_frames
@@ -181,6 +182,14 @@ def f8_abs_correlation(spark, sf):
     return c.select("feature_a", "feature_b", F.round("abs_corr", 9).alias("abs_corr"))
 
 
+@register("f8_correlation_blocks", with_frames("basket", " UNION ALL ".join(
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(abs(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))), 9) AS abs_corr FROM basket"
+    for a, b in _PAIRS)))
+def f8_correlation_blocks(spark, sf):
+    c = blocked_correlation(basket(spark, sf), _CORR_COLS)
+    return c.select("feature_a", "feature_b", F.round("abs_corr", 9).alias("abs_corr"))
+
+
 @register("f9_prediction_distribution", with_frames("preds", """
 SELECT member, count(*) FILTER (WHERE vote = 0) AS n_neg, count(*) FILTER (WHERE vote = 1) AS n_pos,
        avg(CAST(vote AS DOUBLE)) AS pos_rate FROM preds GROUP BY member"""))

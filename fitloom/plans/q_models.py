@@ -10,10 +10,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from fitloom.functions import rowwise as RW
+from fitloom.operators import boosting as B
 from fitloom.operators import folds as N
 from fitloom.operators import models as O
 from fitloom.operators import select as M
 from fitloom.operators import stack as S
+from fitloom.operators.randomized_trees import grow
 from fitloom.plans.registry import register
 from fitloom.sources.frames import DOC_FEATURES, SPEND_COLS, basket, documents_frame
 
@@ -50,6 +52,26 @@ def o3_boosted_trees_early_stop(spark, sf):
     return O.fit_predict(tr, te, "gbt", FEATS, maxIter=50, validationIndicatorCol="is_valid", validationTol=0.01)
 
 
+def _patient(spark, sf):
+    _, tr, te = docs(spark, sf)
+    tr = N.stratified_holdout(tr, "row_id", "label", 200, out="is_valid")
+    fitted = B.fit_with_patience(tr.where("is_valid = 0"), tr.where("is_valid = 1"), FEATS, rounds=80, patience=50, maxDepth=4)
+    return fitted, te
+
+
+@register("o3_boosted_trees_patience")
+def o3_boosted_trees_patience(spark, sf):
+    (model, _, _), te = _patient(spark, sf)
+    out = O.positive_prob(model.transform(te))
+    return out.select("row_id", F.round("prob", 12).alias("prob"), (F.col("prob") > 0.5).cast("int").alias("pred"))
+
+
+@register("o3_staged_losses")
+def o3_staged_losses(spark, sf):
+    (_, losses, kept), _ = _patient(spark, sf)
+    return B.loss_table(spark, losses, kept)
+
+
 @register("o4_random_forest")
 def o4_random_forest(spark, sf):
     _, tr, te = docs(spark, sf)
@@ -62,6 +84,13 @@ def o5_randomized_trees(spark, sf):
     return O.fit_predict(tr, te, "xt", FEATS, numTrees=50, maxDepth=6)
 
 
+@register("o5_extremely_randomized_trees")
+def o5_extremely_randomized_trees(spark, sf):
+    _, tr, te = docs(spark, sf)
+    out = te.withColumn("prob", grow(tr, FEATS, trees=50, max_depth=6).positive())
+    return out.select("row_id", F.round("prob", 12).alias("prob"), (F.col("prob") > 0.5).cast("int").alias("pred"))
+
+
 @register("o6_neural_net")
 def o6_neural_net(spark, sf):
     _, tr, te = docs(spark, sf)
