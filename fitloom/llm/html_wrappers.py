@@ -37,6 +37,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
@@ -80,6 +81,8 @@ WORDS = re.compile(r"[a-z]+")
 PARTS = 16
 LONGEST_FOLD = 3
 TEMPLATE_PAGES = 5
+NEST = 100              # elements nested deeper are children of the one at this depth: every tree function is that deep at most
+ALIGN_CELLS = 1_000_000  # pairs of children up to which the best alignment is sought; beyond, each goes to the nearest that follows
 
 
 def _tag(name: str, attributes: str) -> tuple[str, int]:
@@ -108,6 +111,7 @@ class Page:
         self.root: list = ["#page", 0, []]  # signature, flags, children
         # name, path, skipped, node, numbers of the elements around that may turn out to be wrappers of the page
         stack: list[tuple[str, str, bool, list, tuple[int, ...]]] = [("#page", "#page", False, self.root, ())]
+        opened: dict[str, int] = {}  # open elements by name
         doubtful: list[list] = []  # characters, those in paragraphs, whether a title or an article is inside
         pieces: list[str] = []
         at = 0
@@ -137,26 +141,29 @@ class Page:
                 continue
             flush()
             if m[2] or m[5]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
+                while opened.get(name, 0):
+                    last = stack.pop()[0]
+                    opened[last] -= 1
+                    if last == name:
                         break
             elif name not in VOID:
                 closing = CLOSED_BY.get(stack[-1][0], ())
                 if closing is None or name in closing:
-                    stack.pop()
+                    opened[stack.pop()[0]] -= 1
                 sig, skipped = _tag(name, m[4] or m[7] or "")
                 node = [sig, 0, []]
+                top = stack[min(len(stack) - 1, NEST)]
                 if skeleton:
-                    stack[-1][3][2].append(node)
+                    top[3][2].append(node)
                 around = stack[-1][4]
                 if name in ("article", "main", "h1"):
                     for k in around:
                         doubtful[k][2] = True
-                if skipped == 1:
+                if skipped == 1 and len(stack) <= NEST:
                     around = (*around, len(doubtful))
                     doubtful.append([0, 0, False])
-                stack.append((name, f"{stack[-1][1]}>{sig}", skipped == 2 or stack[-1][2], node, around))
+                opened[name] = opened.get(name, 0) + 1
+                stack.append((name, f"{top[1]}>{sig}", skipped == 2 or stack[-1][2], node, around))
         if at < len(html):
             pieces.append(unescape(html[at:]))
         flush()
@@ -190,25 +197,50 @@ def _shape(node: list) -> tuple:
     return node[0], tuple(_shape(c) for c in node[2])
 
 
-def align(a: list, b: list) -> list:
-    """The wrapper of two skeletons with one signature: common children aligned, others optional."""
-    x, y = a[2], b[2]
+def _common(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence; of very long lists, each name goes to the nearest that follows in the other."""
+    lead = 0
+    while lead < min(len(x), len(y)) and x[lead] == y[lead]:
+        lead += 1
+    out = [(k, k) for k in range(lead)]
+    x, y = x[lead:], y[lead:]
+    if len(x) * len(y) > ALIGN_CELLS:
+        places: dict[str, list[int]] = {}
+        for j, name in enumerate(y):
+            places.setdefault(name, []).append(j)
+        at = 0
+        for i, name in enumerate(x):
+            mine = places.get(name, [])
+            k = bisect_left(mine, at)
+            if k < len(mine):
+                out.append((lead + i, lead + mine[k]))
+                at = mine[k] + 1
+        return out
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x) - 1, -1, -1):
         for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i][0] == y[j][0] else max(best[i + 1][j], best[i][j + 1])
+            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
     i = j = 0
-    out = []
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i][0] == y[j][0] and best[i][j] == best[i + 1][j + 1] + 1:
-            out.append(align(x[i], y[j]))
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            out.append((lead + i, lead + j))
             i, j = i + 1, j + 1
-        elif j == len(y) or (i < len(x) and best[i + 1][j] >= best[i][j + 1]):
-            out.append([x[i][0], x[i][1] | 2, x[i][2]])
+        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
-            out.append([y[j][0], y[j][1] | 2, y[j][2]])
             j += 1
+    return out
+
+
+def align(a: list, b: list) -> list:
+    """The wrapper of two skeletons with one signature: common children aligned, others optional."""
+    x, y = a[2], b[2]
+    out, i, j = [], 0, 0
+    for i2, j2 in [*_common([c[0] for c in x], [c[0] for c in y]), (len(x), len(y))]:
+        out += [[c[0], c[1] | 2, c[2]] for c in (*x[i:i2], *y[j:j2])]
+        if i2 < len(x):
+            out.append(align(x[i2], y[j2]))
+        i, j = i2 + 1, j2 + 1
     return fold([a[0], a[1] | b[1], out])
 
 
@@ -290,6 +322,8 @@ class Wrapper:
     def _most(self, sigs: tuple[str, ...], names: list[str], repeated: list[bool]) -> list[int]:
         """The choice that gives the most children one."""
         m, k = len(sigs), len(names)
+        if m * k > ALIGN_CELLS:
+            return self._nearest(sigs, names, repeated)
         after = [self._back(j, repeated) for j in range(k)]
         best = [[0] * (k + 1) for _ in range(m + 1)]
         for i in range(m - 1, -1, -1):
@@ -308,6 +342,20 @@ class Wrapper:
                 i += 1
         return out
 
+    def _nearest(self, sigs: tuple[str, ...], names: list[str], repeated: list[bool]) -> list[int]:
+        """For each child the nearest choice that may follow the one before it, if there is one."""
+        found: dict[str, list[int]] = {}
+        for j, name in enumerate(names):
+            found.setdefault(name, []).append(j)
+        at, out = 0, []
+        for s in sigs:
+            mine = found.get(s, [])
+            k = bisect_left(mine, at)
+            out.append(mine[k] if k < len(mine) else -1)
+            if k < len(mine):
+                at = self._back(mine[k], repeated)
+        return out
+
     def places(self, page: Page) -> list[int]:
         """The slot of each of the page's blocks; where it has none, the deepest element that was matched."""
         out = [0] * len(page.blocks)

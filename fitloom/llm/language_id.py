@@ -121,7 +121,7 @@ def counted(sample: DataFrame) -> DataFrame:
                         gram, first, count = np.unique(h[at], return_index=True, return_counts=True)
                         at = at[first]
                         yield pa.RecordBatch.from_arrays([
-                            pa.array([lang] * len(at)), pa.array(np.full(len(at), n, np.int32)), pa.array(gram.view(np.int64)),
+                            pa.array([lang] * len(at), pa.string()), pa.array(np.full(len(at), n, np.int32)), pa.array(gram.view(np.int64)),
                             pa.array(before[at].view(np.int64)), pa.array(all_grams[n - 1][0][at].view(np.int64)), pa.array(count.astype(np.int64)),
                         ], names=["lang", "n", "gram", "context", "tail", "count"])
 
@@ -170,6 +170,16 @@ class Model:
             self.contexts[n], self.logb[n] = c, np.log(np.maximum(back, FLOOR)).astype(np.float32)
             below = (g, p)
 
+    def plain(self) -> tuple:
+        """Its arrays and names only: what a broadcast may hold where executors lack the package."""
+        return self.langs, self.grams, self.logp, self.contexts, self.logb
+
+    @classmethod
+    def of(cls, plain: tuple) -> Model:
+        model = cls.__new__(cls)
+        model.langs, model.grams, model.logp, model.contexts, model.logb = plain
+        return model
+
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per character and language, and the number of letters, for each text."""
         codes, text = _codes(texts)
@@ -235,15 +245,16 @@ def fit(docs: DataFrame) -> tuple[Model, np.ndarray] | None:
         return None
     counts = counted(sample).toPandas()
     model = Model({c: counts[c].to_numpy() for c in counts.columns}, langs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.plain())
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_model = Model.of(shared.value)
         for batch in batches:
             lang, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for part in _runs(texts):
-                h, _ = shared.value.entropies([texts[i] for i in part])
-                mine = [float(h[k, shared.value.langs.index(lang[i])]) for k, i in enumerate(part)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang[i] for i in part]), pa.array(mine)], names=["lang", "h"])
+                h, _ = own_model.entropies([texts[i] for i in part])
+                mine = [float(h[k, own_model.langs.index(lang[i])]) for k, i in enumerate(part)]
+                yield pa.RecordBatch.from_arrays([pa.array([lang[i] for i in part], pa.string()), pa.array(mine, pa.float64())], names=["lang", "h"])
 
     limits = {r["lang"]: r["q"] for r in sample.select("lang", "text").mapInArrow(own, "lang string, h double")
               .groupBy("lang").agg(F.percentile_approx("h", F.lit(REJECT_QUANTILE)).alias("q")).collect()}
@@ -257,10 +268,10 @@ def identify(docs: DataFrame) -> DataFrame:
     if fitted is None:
         return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"),
                            F.lit(None).cast("double").alias("cross_entropy"), F.lit(False).alias("rejected"))
-    shared = docs.sparkSession.sparkContext.broadcast(fitted)
+    shared = docs.sparkSession.sparkContext.broadcast((fitted[0].plain(), fitted[1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, limits = shared.value
+        model, limits = Model.of(shared.value[0]), shared.value[1]
         names = np.array(model.langs, object)
         for batch in batches:
             texts = [t or "" for t in batch.column(2).to_pylist()]
