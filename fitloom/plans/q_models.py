@@ -15,6 +15,7 @@ from fitloom.operators import folds as N
 from fitloom.operators import models as O
 from fitloom.operators import select as M
 from fitloom.operators import stack as S
+from fitloom.operators.neural_net import fit_net
 from fitloom.operators.randomized_trees import grow
 from fitloom.plans.registry import register
 from fitloom.sources.frames import DOC_FEATURES, SPEND_COLS, basket, documents_frame
@@ -97,6 +98,13 @@ def o6_neural_net(spark, sf):
     return O.fit_predict(tr, te, "mlp", FEATS, hidden=[16, 8], maxIter=100)
 
 
+@register("o6_relu_net")
+def o6_relu_net(spark, sf):
+    _, tr, te = docs(spark, sf)
+    out = te.withColumn("prob", fit_net(tr, FEATS, hidden=(100,), epochs=15, rate=0.01).positive())
+    return out.select("row_id", F.round("prob", 9).alias("prob"), (F.col("prob") > 0.5).cast("int").alias("pred"))
+
+
 @register("o7_ridge_classifier")
 def o7_ridge_classifier(spark, sf):
     _, tr, te = docs(spark, sf)
