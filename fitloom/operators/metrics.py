@@ -135,8 +135,14 @@ def threshold_scan(df: DataFrame, label: str, score: str, lo: int, hi: int, step
     """
     spark = df.sparkSession
     n_grid = (hi - lo) // step + 1
-    m = F.ceil(F.col(score) * resolution) - 1                       # largest integer strictly below u
-    g = F.least(F.lit(n_grid), F.greatest(F.lit(0), F.floor((m - lo) / step) + 1)).cast("int")
+    # about how many, then compared with the thresholds themselves: a product with the resolution is not exact
+    near = F.least(F.lit(n_grid), F.greatest(F.lit(0), F.ceil((F.col(score) * resolution - lo) / step))).cast("int")
+
+    def threshold(j: Column) -> Column:
+        return (F.lit(lo) + j * step).cast("double") / F.lit(float(resolution))
+
+    g = (F.when((near > 0) & ~(threshold(near - 1) < F.col(score)), near - 1)
+         .when((near < n_grid) & (threshold(near) < F.col(score)), near + 1).otherwise(near)).cast("int")
     agg = df.groupBy(g.alias("g")).agg(F.sum(F.col(label).cast("long")).alias("pos"),
                                        F.sum((1 - F.col(label)).cast("long")).alias("neg"))
     grid = spark.range(n_grid + 1).select(F.col("id").cast("int").alias("g"))
@@ -173,9 +179,8 @@ def threshold_panel(df: DataFrame, score: str, thresholds_units: Sequence[int],
                     resolution: int = 10_000) -> DataFrame:
     """Positive rate at each threshold and the rows whose prediction differs from the base threshold."""
     exprs = [F.count(F.lit(1)).alias("n")]
-    u = F.col(score) * resolution
     for t in list(thresholds_units) + [base_units]:
-        exprs.append(F.count_if(u > t).alias(f"c{t}"))
+        exprs.append(F.count_if(F.col(score) > F.lit(t / resolution)).alias(f"c{t}"))
     a = df.agg(*exprs)
     rows = F.array(*[F.struct(F.lit(t).alias("t_units"), F.col(f"c{t}").alias("n_pos"),
                               F.abs(F.col(f"c{t}") - F.col(f"c{base_units}")).alias("n_changed"))

@@ -204,10 +204,10 @@ def _scan_sql(lo, hi, step):
     return f"""
 {SCORED},
 g AS (SELECT CAST(t AS INTEGER) AS t_units FROM range({lo}, {hi + 1}, {step}) r(t)),
-c AS (SELECT t_units, count(*) FILTER (WHERE prob * 10000 > t_units AND label = 1) AS tp,
-             count(*) FILTER (WHERE prob * 10000 > t_units AND label = 0) AS fp,
-             count(*) FILTER (WHERE NOT (prob * 10000 > t_units) AND label = 0) AS tn,
-             count(*) FILTER (WHERE NOT (prob * 10000 > t_units) AND label = 1) AS fn
+c AS (SELECT t_units, count(*) FILTER (WHERE prob > t_units / 10000.0::DOUBLE AND label = 1) AS tp,
+             count(*) FILTER (WHERE prob > t_units / 10000.0::DOUBLE AND label = 0) AS fp,
+             count(*) FILTER (WHERE NOT (prob > t_units / 10000.0::DOUBLE) AND label = 0) AS tn,
+             count(*) FILTER (WHERE NOT (prob > t_units / 10000.0::DOUBLE) AND label = 1) AS fn
       FROM g CROSS JOIN sc GROUP BY t_units),
 m AS (SELECT *, round(coalesce(2.0 * tp / nullif(2.0 * tp + fp + fn, 0), 0.0), 12) AS f1,
   round(CAST(tp + tn AS DOUBLE) / (tp + fp + tn + fn), 12) AS accuracy,
@@ -243,7 +243,7 @@ _PANEL = [4000, 4500, 5500, 6000]
 
 @register("q6_threshold_panel", with_frames("preds", """
 a AS (SELECT row_id, round(avg(prob), 12) AS p FROM preds GROUP BY row_id),
-c AS (SELECT count(*) AS n, """ + ", ".join(f"count(*) FILTER (WHERE p * 10000 > {t}) AS c{t}" for t in _PANEL + [5000])
+c AS (SELECT count(*) AS n, """ + ", ".join(f"count(*) FILTER (WHERE p > {t} / 10000.0::DOUBLE) AS c{t}" for t in _PANEL + [5000])
     + """ FROM a)
 """ + " UNION ALL ".join(
     f"SELECT {t} AS t_units, c{t} AS n_pos, round(c{t} / n, 12) AS pos_rate, abs(c{t} - c5000) AS n_changed FROM c"

@@ -46,8 +46,8 @@ def test_threshold_scan_matches_brute_force(spark):
     df = spark.createDataFrame([(s, int(y)) for s, y in rows], "s double, y int")
     scan = {r["t_units"]: r for r in Q.threshold_scan(df, "y", "s", 3000, 7000, 100).collect()}
     for t in range(3000, 7001, 100):
-        tp = sum(1 for s, y in rows if s * 10000 > t and y)
-        fp = sum(1 for s, y in rows if s * 10000 > t and not y)
+        tp = sum(1 for s, y in rows if s > t / 10000 and y)
+        fp = sum(1 for s, y in rows if s > t / 10000 and not y)
         assert (scan[t]["tp"], scan[t]["fp"]) == (tp, fp)
 
 
@@ -96,3 +96,13 @@ def test_rules_groups_and_children(spark):
     assert out[(3, 2.0)]["pred_r3"] is True
     c = R.correction_counts(x, "pred", "pred_r3").first()
     assert c["n_r1"] == 1 and c["n_changed"] >= 2
+
+
+def test_a_score_on_the_grid_is_not_above_its_own_threshold(spark):
+    rows = [(t / 10000, i % 2) for i, t in enumerate(range(2900, 7100, 10))] + [(0.34, 0), (0.34, 1), (float("0.5600000000000001"), 1)]
+    df = spark.createDataFrame(rows, "prob double, label int")
+    for r in Q.threshold_scan(df, "label", "prob", 3000, 7000, 50).collect():
+        t = r.t_units / 10000
+        assert (r.tp, r.fp) == tuple(sum(s > t and y == v for s, y in rows) for v in (1, 0)), t
+    panel = {r.t_units: r.n_pos for r in Q.threshold_panel(df, "prob", [3400, 5600, 6800], 5000).collect()}
+    assert panel == {t: sum(s > t / 10000 for s, _ in rows) for t in (3400, 5600, 6800)}
