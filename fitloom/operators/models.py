@@ -103,9 +103,18 @@ def ridge_classify(train: DataFrame, score: DataFrame, features: Sequence[str],
 # O8 ---------------------------------------------------------------------------
 def calibrate_sigmoid(fit_on: DataFrame, score: DataFrame, margin: str, label: str = "label",
                       keep: Sequence[str] = ("row_id",)) -> DataFrame:
-    """Platt scaling of an already fitted score: one-feature logistic regression on the margin."""
-    model = Pipeline(stages=[assembler([margin], "features"),
-                             LogisticRegression(featuresCol="features", labelCol=label)]).fit(fit_on)
+    """Platt scaling of an already fitted score: one-feature logistic regression on the margin.
+
+    Targets are smoothed: (n1 + 1) / (n1 + 2) for the n1 positives and 1 / (n0 + 2) for the n0 negatives, as two
+    weighted rows of either class per row.
+    """
+    rows = fit_on.where(F.col(label).isNotNull() & F.col(margin).isNotNull())
+    n = rows.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")).first()
+    target = F.when(F.col(label) == 1, F.lit((n["p"] + 1.0) / (n["p"] + 2.0))).otherwise(F.lit(1.0 / (n["n"] + 2.0)))
+    both = F.array(F.struct(F.lit(1.0).alias("__y"), target.alias("__w")), F.struct(F.lit(0.0).alias("__y"), (1.0 - target).alias("__w")))
+    weighted = rows.select(margin, F.explode(both).alias("__b")).select(margin, "__b.*")
+    model = Pipeline(stages=[assembler([margin], "features"), LogisticRegression(
+        featuresCol="features", labelCol="__y", weightCol="__w", standardization=False, tol=1e-10, maxIter=200)]).fit(weighted)
     out = positive_prob(model.transform(score))
     return out.select(*keep, F.round("prob", 12).alias("prob_calibrated"))
 

@@ -231,6 +231,25 @@ def test_ensemble_is_cut_at_its_best_round(spark, docs):
     assert B.loss_table(spark, losses, kept).where("kept = 1").count() == kept
 
 
+# --- calibration
+
+
+def test_calibration_has_smoothed_targets(spark):
+    from fitloom.operators import models as O
+
+    rng = np.random.default_rng(11)
+    m = rng.normal(size=60)
+    y = (m + rng.normal(scale=0.5, size=60) > 0).astype(int)
+    df = spark.createDataFrame([(i, float(a), int(b)) for i, (a, b) in enumerate(zip(m, y, strict=True))], "row_id int, margin double, label int")
+    t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (60 - y.sum() + 2))
+    x, w = np.column_stack([m, np.ones(60)]), np.zeros(2)
+    for _ in range(50):                                                    # Newton steps on the smoothed log loss
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x, x.T @ (p - t))
+    got = O.calibrate_sigmoid(df, df, "margin").orderBy("row_id").toPandas()["prob_calibrated"]
+    assert np.allclose(got, 1 / (1 + np.exp(-x @ w)), atol=1e-5)
+
+
 # --- correlation
 
 
