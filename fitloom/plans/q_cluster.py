@@ -9,6 +9,7 @@ from fitloom.operators import cluster as L
 from fitloom.operators import kmeans_runs as KR
 from fitloom.operators import select as M
 from fitloom.operators.neighbours import neighbour_information
+from fitloom.operators.silhouette import best_number_of_clusters, silhouettes
 from fitloom.operators.ward import fit_ward
 from fitloom.plans import sqlexpr as X
 from fitloom.plans.registry import register
@@ -102,6 +103,39 @@ def l6_silhouette_k(spark, sf):
     return L.silhouette_scan(spark, b, ["age", "total"], list(range(3, 11)))
 
 
+@register("l6_best_k_euclidean")
+def l6_best_k_euclidean(spark, sf):
+    _, tr = basket_feats(spark, sf)
+    return best_number_of_clusters(tr, ["age", "total"], list(range(3, 11)), "id", restarts=3)
+
+
+def _near_sql(centres):
+    ds = [f"((age - {a!r}) * (age - {a!r}) + (total - {t!r}) * (total - {t!r}))" for a, t in centres]
+    return "CASE " + " ".join(f"WHEN {d} = least({', '.join(ds)}) THEN {i}" for i, d in enumerate(ds)) + " END"
+
+
+def _silhouette_sql(label):
+    return f"""SELECT '{label}' AS clustering, round(sum(n * CASE WHEN others > 0 AND b IS NOT NULL AND greatest(a, b) > 0
+  THEN (b - a) / greatest(a, b) ELSE 0 END) / sum(n), 6) AS silhouette, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT h, any_value(n) AS n, sum(w - inside) FILTER (own = c) AS others, min(sd / w) FILTER (own <> c) AS b,
+    sum(CASE WHEN w > inside THEN sd / (w - inside) END) FILTER (own = c) AS a FROM (
+      SELECT p.h, any_value(p.n) AS n, any_value(p.{label}) AS own, s.{label} AS c, sum(s.n) AS w, max(CAST(p.h = s.h AS INTEGER)) AS inside,
+        sum(s.n * sqrt((p.age - s.age) * (p.age - s.age) + (p.total - s.total) * (p.total - s.total))) AS sd
+      FROM p CROSS JOIN s GROUP BY p.h, s.{label}) GROUP BY h)"""
+
+
+@register("l6_silhouette_euclidean", with_frames("basket", f"""
+b AS (SELECT id, age, {TOTAL} AS total FROM basket),
+p AS (SELECT age, total, {_near_sql(CENTRES[:2])} AS two, {_near_sql(CENTRES)} AS three, count(*) AS n, min(md5(CAST(id AS VARCHAR))) AS h
+  FROM b WHERE age IS NOT NULL AND total IS NOT NULL GROUP BY ALL),
+s AS (SELECT * FROM p ORDER BY h LIMIT 2000)
+{_silhouette_sql("two")} UNION ALL {_silhouette_sql("three")}"""))
+def l6_silhouette_euclidean(spark, sf):
+    b, _ = basket_feats(spark, sf)
+    b = b.withColumn("two", L.nearest_centroid(["age", "total"], CENTRES[:2])).withColumn("three", L.nearest_centroid(["age", "total"], CENTRES))
+    return silhouettes(b, ["age", "total"], ["two", "three"], "id").withColumn("silhouette", F.round("silhouette", 6))
+
+
 _M1_COLS = ["age", "age_n", "sp_economy", "label", "grp"]
 
 

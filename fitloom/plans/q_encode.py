@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from fitloom.functions import rowwise as RW
 from fitloom.operators import encode as J
 from fitloom.operators import folds as N
 from fitloom.operators import group_folds as NG
+from fitloom.operators.sparse_onehot import fit_sparse_one_hot
 from fitloom.plans import sqlexpr as X
 from fitloom.plans.registry import register
 from fitloom.plans.sqlframes import with_frames
@@ -150,6 +153,38 @@ def j7_one_hot(spark, sf):
     return J.one_hot(b, "planet_n", cats).select("id", *[f"planet_n_{v}" for v in cats[1:]])
 
 
+# planet_n, then one place per customer but the first: as many as the table has
+@register("j7_sparse_one_hot", with_frames("basket", f"""
+{TR},
+pc AS (SELECT planet_n, dense_rank() OVER (ORDER BY planet_n) - 1 AS code FROM (SELECT DISTINCT planet_n FROM tr WHERE planet_n IS NOT NULL)),
+gc AS (SELECT grp, dense_rank() OVER (ORDER BY grp) - 1 AS code FROM (SELECT DISTINCT grp FROM tr)),
+z AS (SELECT greatest((SELECT count(*) FROM pc) - 1, 0) AS np, greatest((SELECT count(*) FROM gc) - 1, 0) AS ng)
+SELECT id, CAST(1 + np + ng AS INTEGER) AS width, coalesce(age, 0.0) AS age,
+  CAST(CASE WHEN pc.code > 0 THEN pc.code END AS INTEGER) AS planet_place,
+  CAST(CASE WHEN gc.code > 0 THEN np + gc.code END AS INTEGER) AS grp_place
+FROM basket LEFT JOIN pc USING (planet_n) LEFT JOIN gc USING (grp) CROSS JOIN z"""))
+def j7_sparse_one_hot(spark, sf):
+    b, tr = split_frames(spark, sf)
+    fitted = fit_sparse_one_hot(tr, ["planet_n", "grp"], ["age"])
+    _, first, n = fitted.tables["planet_n"]
+    hot = fitted.indexed(b)
+
+    def place(lo, hi):
+        return F.get(F.filter("indices", lambda i: (i >= lo) & (i < hi)), 0)
+
+    return hot.select("id", F.lit(fitted.width).alias("width"), F.get("values", 0).alias("age"),
+                      place(first, first + n).alias("planet_place"), place(first + n, fitted.width).alias("grp_place"))
+
+
+@register("j7_sparse_logistic")
+def j7_sparse_logistic(spark, sf):
+    b, tr = split_frames(spark, sf)
+    fitted = fit_sparse_one_hot(tr, ["planet_n", "grp"], ["age"])
+    rows = fitted.vectors(b, ["id", "split", "label"])
+    model = LogisticRegression(featuresCol="features", labelCol="label", maxIter=20, regParam=0.01, standardization=True).fit(rows.where("split = 'train'"))
+    return model.transform(rows.where("split = 'test'")).select("id", F.round(vector_to_array("probability")[1], 9).alias("prob"))
+
+
 @register("j8_ordinal_codes", with_frames("basket", f"""
 {TR},
 pc AS (SELECT planet_n, CAST(dense_rank() OVER (ORDER BY planet_n) - 1 AS INTEGER) AS code
