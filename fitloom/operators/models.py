@@ -8,7 +8,8 @@ lineage stays short and a lost executor recomputes from the checkpoint.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import partial
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fitloom.operators import metrics as Q
+from fitloom.operators.concurrent import run_fits
 
 
 def assembler(features: Sequence[str], out: str = "features") -> VectorAssembler:
@@ -129,12 +131,17 @@ def importance_table(spark: SparkSession, model, features: Sequence[str]) -> Dat
 def cv_metric(df: DataFrame, fold: str, k: int, fit_score: Callable[[DataFrame, DataFrame], DataFrame],
               label: str = "label", metric: str = "auc") -> list[float]:
     """Per-fold metric of ``fit_score(train_part, valid_part) -> (label, prob, pred)``."""
-    out = []
-    for f in range(k):
-        tr, va = df.where(F.col(fold) != f), df.where(F.col(fold) == f)
-        sc = fit_score(tr, va)
+    return cv_metrics(df, fold, k, {"": fit_score}, label, metric)[""]
+
+
+def cv_metrics(df: DataFrame, fold: str, k: int, scorers: Mapping[str, Callable[[DataFrame, DataFrame], DataFrame]],
+               label: str = "label", metric: str = "auc") -> dict[str, list[float]]:
+    """Per-fold metrics of each scorer; the fits of all scorers and folds run side by side."""
+    def value(name: str, f: int) -> float:
+        sc = scorers[name](df.where(F.col(fold) != f), df.where(F.col(fold) == f))
         if metric == "auc":
-            out.append(Q.auc(sc, label, "prob").first()["auc"])
-        else:
-            out.append(sc.agg(F.avg((F.col(label) == F.col("pred")).cast("double")).alias("a")).first()["a"])
-    return out
+            return Q.auc(sc, label, "prob").first()["auc"]
+        return sc.agg(F.avg((F.col(label) == F.col("pred")).cast("double")).alias("a")).first()["a"]
+
+    found = run_fits(df.sparkSession, {(name, f): partial(value, name, f) for name in scorers for f in range(k)})
+    return {name: [found[name, f] for f in range(k)] for name in scorers}

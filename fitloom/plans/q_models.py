@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fitloom.functions import rowwise as RW
 from fitloom.operators import boosting as B
+from fitloom.operators import configurations as C
 from fitloom.operators import folds as N
 from fitloom.operators import models as O
 from fitloom.operators import select as M
@@ -189,6 +190,19 @@ def p15_best_stack(spark, sf):
     return S.stack_scoreboard(spark, tr, STACKS, ["lr", "rf"], FEATS, "fold", 2)
 
 
+def _choices():
+    lr, rf, gbt = ("lr", {}), ("rf", {"maxDepth": 4, "numTrees": 20}), ("gbt", {"maxIter": 10})
+    three = {"lr": lr, "rf": rf, "gbt": gbt}
+    return {"single": C.Config({"gbt": gbt}, FEATS), "soft": C.Config(three, FEATS), "hard": C.Config(three, FEATS, "hard"),
+            "weighted": C.Config(three, FEATS, "soft", {"lr": 1.0, "rf": 2.0, "gbt": 2.0}), "without_codes": C.Config({"gbt": gbt}, FEATS[:-2])}
+
+
+@register("p15_best_ensemble")
+def p15_best_ensemble(spark, sf):
+    tr, _ = docs_folds(spark, sf, 3)
+    return C.compare_configs(spark, tr, _choices(), "fold", 3)
+
+
 @register("p16_ablation")
 def p16_ablation(spark, sf):
     tr, _ = docs_folds(spark, sf, 3)
@@ -209,6 +223,13 @@ def q9_random_search(spark, sf):
     return S.random_search(spark, tr, FEATS, "fold", n_iter=3)
 
 
+@register("q9_continuous_search")
+def q9_continuous_search(spark, sf):
+    tr, _ = docs_folds(spark, sf, 3)
+    ranges = {"stepSize": ("log", 0.02, 0.3), "maxDepth": ("int", 2, 5), "maxIter": ("int", 5, 20), "subsamplingRate": ("uniform", 0.6, 1.0)}
+    return C.search_ranges(spark, tr, "gbt", ranges, FEATS, "fold", 3, n_iter=6)
+
+
 @register("m3_importance_selection")
 def m3_importance_selection(spark, sf):
     _, tr, _ = docs(spark, sf)
