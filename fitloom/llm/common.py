@@ -23,12 +23,14 @@ def scratch(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     Cuts the lineage: every executor reads the same files, so a lost executor
-    costs the re-read of its splits and no recomputation. The folder belongs to
-    the session (``spark.checkpoint.dir``) and is cleared with it.
+    costs the re-read of its splits and no recomputation. The table is deleted when the driver
+    ends; a driver that is killed leaves it in the folder that ``spark.checkpoint.dir`` names.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.schema(df.schema).parquet(path)
 
 

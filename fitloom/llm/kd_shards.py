@@ -8,8 +8,9 @@ for an odd number of shards, the matching weighted quantile. Splitting ends when
 every leaf holds the target bytes, i.e. ``total / n_shards``.
 
 The cut is found by radix descent: a row's key on a dimension is 24 bits of the
-value's place in its range, then 24 bits of a hash of the row, so equal values (a
-hot source, copies of one text) still have a median to cut at. Each pass sums bytes
+value's place in its range, then 16 bits of a hash of the row and 16 of a hash of its place in
+the written table, so equal values (a hot source, copies of one text, one row repeated) still
+have a median to cut at. Each pass sums bytes
 per (leaf, next 8 key bits) with map-side partial sums; at most 256 rows per open
 leaf reach the driver, whatever the size of the table. Rows move only once, at
 the end, to number the slots.
@@ -19,8 +20,8 @@ Law ``bytes``: a cut misses the exact split by less than one key's bytes, or by
 not held together: a group with a third of all rows could not be, under this law.
 
 Edge cases: NULL text counts as empty (size 1, CRC 0); a NULL dimension sorts
-first; ties and repeated rows are told apart by the row hash, rows that agree in
-doc_id and text stay together; an empty table gives no rows; further columns of
+first; ties are told apart by the row hash, rows that agree in doc_id and text by their
+place in the written table, so they need not stay together; an empty table gives no rows; further columns of
 ``docs`` are ignored, so their names cannot clash.
 """
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from fitloom.llm.common import local_rows, scratch
 
 VALUE_BITS = 24
-TIE_BITS = 24
+TIE_BITS = 32        # half from the row, half from its place
 RADIX_BITS = 8
 ROWS_PER_SLOT_BUCKET = 20_000
 
@@ -63,7 +64,8 @@ def kd_shards(docs: DataFrame, n_shards: int = 16, dimensions: list[Column] | No
         "doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.shiftrightunsigned(F.xxhash64("doc_id", text), 64 - TIE_BITS).alias("tie"),
+        F.shiftleft(F.shiftrightunsigned(F.xxhash64("doc_id", text), 64 - TIE_BITS // 2), TIE_BITS // 2).bitwiseOR(
+            F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - TIE_BITS // 2)).alias("tie"),
         F.lit(0).alias("leaf"),
         *[d.cast("double").alias(f"d{i}") for i, d in enumerate(dims)],
     ), "kd-points")

@@ -42,6 +42,15 @@ def test_shards_split_a_hot_group_of_copies(spark):
     assert len(size) == 16 and size.max() <= 1.1 * size.mean()
 
 
+def test_shards_split_one_row_that_repeats(spark):
+    rows = [(7, "one row", "en", "s", 7)] * 1000 + [(i, f"text {i}", "en", "s", 8) for i in range(2000)]
+    out = kd_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4), 16).toPandas()
+    sizes = out.groupby("shard")["size"].sum()
+    assert len(out) == 3000 and len(sizes) == 16 and sizes.max() < 1.05 * sizes.min()
+    for _, part in out.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+
+
 def test_shards_other_counts_and_edges(spark, prose):
     for n in (1, 3, 7):
         out = kd_shards(docs(spark, prose), n).toPandas()
