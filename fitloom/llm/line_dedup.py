@@ -1,19 +1,20 @@
 """Line dedup over content-defined chunks of lines [native].
 
-Lines: a text is split after every newline, and a line further after every sentence end
-(``. ``, ``! ``, ``? ``), so a passage written as one long line is several lines too. The
-lines put together again are the text, byte for byte.
-
-Chunks: line hashes are rolled over a window of two lines, and a line whose rolling hash is less
-than both its neighbours' ends a chunk, so a chunk has two lines at least and three on
-average. A newline-ended line of ``ANCHOR_WORDS`` words or more starts and ends a chunk,
-with no boundary that would split off its first or last sentence. All of this depends on
-the neighbouring lines alone, so a passage is cut alike wherever it stands.
-
-Dedup: chunks of two or more lines, and anchored lines, are compared over the whole
-corpus: hashes are counted, the chunks whose hash repeats are grouped by hash and bytes (that
-is the byte comparison), and each group keeps its first chunk by (doc_id, text hash,
-position). Only hashes, repeated chunks and the final join by document are shuffled; the
+Lines: a text is split after every newline and every sentence end (``. ``, ``! ``, ``? ``); what is
+longer than ``LONG_LINE`` characters is split further, past the first white space after every
+``PIECE`` characters. The lines put together again are the text, byte for byte.
+
+Chunks: line hashes are rolled over a window of two lines, and the rolling hashes are counted over
+the whole corpus. A chunk ends wherever the rolling hash across the border occurs once (no
+repeated chunk can span it), and, within the runs of lines that are left, where the rolling hash
+of a line is less than both its neighbours'. So a passage that stands between foreign lines is cut
+off from them and cut alike wherever it stands, from its first line on, and every chunk has two lines
+at least. Runs of under ``RUN_CHARS`` characters are not compared: pairs of very short lines
+repeat by chance.
+
+Dedup: chunks are compared over the whole corpus: they are grouped by hash and bytes (that is the
+byte comparison), and each group keeps its first chunk by (doc_id, text hash, position). Only
+rolling hashes, runs, repeated chunks and the final join by document are shuffled; the
 aggregations combine on the map side, so a chunk found in a third of all rows is no hot task.
 
 Edge cases: NULL text stays NULL; empty text stays empty; a document whose chunks all go
@@ -27,99 +28,116 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fitloom.llm.common import WORD, keep_listed, scratch
+from fitloom.llm.common import SPACE_CLASS, keep_listed, scratch
 
-ANCHOR_WORDS = 30
+LONG_LINE = 160
+PIECE = 80
+# past the white space, or past 40 further characters where there is none
+PIECES = rf"(?s).{{{PIECE}}}[^\x20\x09-\x0D]{{0,40}}{SPACE_CLASS}*|.+"
+RUN_CHARS = 120
 
 
-def _paragraphs(text: Column) -> Column:
-    """array<struct<parts, anchor>>: the newline-ended paragraphs, split after sentence ends."""
-    return F.transform(F.filter(F.split(text, r"(?<=\n)", -1), lambda p: p != ""), lambda p: F.struct(
-        F.filter(F.split(p, r"(?<=[.!?] )", -1), lambda s: s != "").alias("parts"),
-        (F.regexp_count(p, F.lit(WORD)) >= ANCHOR_WORDS).alias("anchor")))
+def _bytes(line: Column) -> Column:
+    return F.rtrim(line, F.lit("\n"))
 
 
-def _lines_of(p: Column) -> Column:
-    """array<struct<s, h, first, last, anchor>>: the lines of one paragraph."""
-    return F.transform(p["parts"], lambda s, i: F.struct(
-        s.alias("s"), F.md5(F.rtrim(s, F.lit("\n"))).alias("h"),
-        (i == 0).alias("first"), (i == F.size(p["parts"]) - 1).alias("last"), p["anchor"].alias("anchor")))
-
-
-def _mark(x: Column, i: Column) -> Column:
-    """The rolling hash over line ``i`` and the one before it; alone where an anchored line begins."""
-    alone = (i == 0) | (x["first"] & x["anchor"])
-    return F.md5(F.when(alone, x["h"]).otherwise(F.concat(F.get("__lines", i - 1)["h"], x["h"])))
+def lined(docs: DataFrame) -> DataFrame:
+    """``docs`` with the text replaced by ``__lines``, their lengths ``__chars``, the rolling hashes ``__windows``
+    over each line and the next, and the row's number ``__rid``."""
+    # each array is a column of its own: referred to more than once, it is evaluated once per row
+    d = docs.withColumn("__rid", F.monotonically_increasing_id()).withColumn("__text_hash", F.xxhash64("text"))
+    d = d.withColumn("__lines", F.filter(F.split("text", r"(?<=\n|[.!?] )", -1), lambda s: s != "")).drop("text")
+    long_line = F.exists("__lines", lambda s: F.length(s) > LONG_LINE)
+    pieces = F.flatten(F.transform("__lines", lambda s: F.when(
+        F.length(s) > LONG_LINE, F.regexp_extract_all(s, F.lit(PIECES), F.lit(0))).otherwise(F.array(s))))
+    d = d.withColumn("__lines", F.when(long_line, pieces).otherwise(F.col("__lines")))
+    d = d.withColumn("__hashes", F.transform("__lines", lambda s: F.xxhash64(_bytes(s))))
+    first = F.slice("__hashes", F.lit(1), F.greatest(F.size("__hashes") - 1, F.lit(0)))
+    d = d.withColumn("__windows", F.transform(first, lambda h, i: F.xxhash64(h, F.get("__hashes", i + 1))))
+    d = d.withColumn("__chars", F.transform("__lines", lambda s: F.length(s)))
+    return d.drop("__hashes")
+
+
+def runs(rows: DataFrame) -> DataFrame:
+    """(__rid, __runs): array<struct<first, last>>, the lines of each run of repeated rolling hashes."""
+    found = rows.select("__rid", F.explode("__windows").alias("window"))
+    repeated = scratch(found.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"), "lines-windows")
+    pairs = F.transform("__windows", lambda w, i: F.struct(
+        w.alias("window"), F.get("__chars", i).alias("chars"), F.get("__chars", i + 1).alias("next")))
+    found = rows.select("__rid", F.posexplode_outer(pairs).alias("k", "p")).select("__rid", "k", "p.*")
+    found = keep_listed(found, repeated, "window")
+    # neighbouring windows have the same difference of position and rank
+    island = F.col("k") - F.row_number().over(Window.partitionBy("__rid").orderBy("k"))
+    found = found.withColumn("island", island).groupBy("__rid", "island").agg(
+        F.min("k").alias("first"), (F.max("k") + 1).alias("last"), (F.sum("chars") + F.max_by("next", "k")).alias("chars"))
+    return found.where(F.col("chars") >= RUN_CHARS).groupBy("__rid").agg(
+        F.sort_array(F.collect_list(F.struct("first", "last"))).alias("__runs"))
 
 
 def _ends(x: Column, i: Column) -> Column:
-    """Whether a chunk ends with line ``i``."""
-    after = F.get("__lines", i + 1)
-    at_anchor = x["last"] & (x["anchor"] | after["anchor"])
-    splits_edge = x["anchor"] & (x["first"] | after["last"])
-    here = F.get("__marks", i)
-    least = (F.get("__marks", i - 1) > here) & (F.get("__marks", i + 1) > here)
-    return (i == F.size("__lines") - 1) | at_anchor | (F.coalesce(least, F.lit(False)) & ~splits_edge)
-
-
-def _chunk(end: Column, k: Column) -> Column:
-    """struct<text, hash> of the chunk that ends with line ``end``; hash is NULL where it is not compared."""
-    start = F.coalesce(F.get("__ends", k - 1) + 1, F.lit(0))
-    body = F.array_join(F.transform(F.slice("__lines", start + 1, end - start + 1), lambda x: x["s"]), "")
-    compared = (end > start) | F.get("__lines", end)["anchor"]
-    return F.struct(body.alias("text"), compared.alias("compared"))
-
-
-def chunked(docs: DataFrame) -> DataFrame:
-    """``docs`` with the text replaced by ``__chunks`` and the row's key ``__row``."""
-    # each array is a column of its own: referred to more than once, it is evaluated once per row
-    d = docs.withColumn("__row", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("t")))
-    d = d.withColumn("__lines", F.flatten(F.transform(_paragraphs(F.col("text")), _lines_of))).drop("text")
-    d = d.withColumn("__marks", F.transform("__lines", _mark))
-    d = d.withColumn("__ends", F.filter(F.transform("__lines", lambda x, i: F.when(_ends(x, i), i)), lambda i: i.isNotNull()))
-    d = d.withColumn("__chunks", F.transform("__ends", _chunk)).drop("__lines", "__marks", "__ends")
-    return d.withColumn("__chunks", F.transform("__chunks", lambda c: F.struct(
-        c["text"].alias("text"), F.when(c["compared"], F.xxhash64(F.rtrim(c["text"], F.lit("\n")))).alias("hash"))))
+    """Whether a chunk ends with line ``i`` of ``lines``: at a least rolling hash, or at the run's end;
+    ``marks`` has the rolling hash over each line and the one before it."""
+    here = F.get("marks", i)
+    least = (F.get("marks", i - 1) > here) & (F.get("marks", i + 1) > here) & (i + 2 < F.size("lines"))
+    return (i == F.size("lines") - 1) | F.coalesce(least, F.lit(False))
+
+
+def chunks(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(__rid, id, t, first, last, bytes, hash): the chunks of all runs ``found``, by first and last line."""
+    # the generators are outer ones (no array is empty here): of others Spark infers a filter, which it pushes
+    # down with the arrays written out, each evaluated once per element of the next
+    d = rows.select("__rid", "doc_id", "__text_hash", "__lines").join(found, "__rid")
+    d = d.withColumn("__runs", F.transform("__runs", lambda r: F.struct(
+        r["first"].alias("first"), F.slice("__lines", r["first"] + 1, r["last"] - r["first"] + 1).alias("lines")))).drop("__lines")
+    d = d.select("__rid", "doc_id", "__text_hash", F.inline_outer("__runs"))
+    d = d.withColumn("hashes", F.transform("lines", lambda s: F.md5(_bytes(s))))
+    d = d.withColumn("marks", F.transform("hashes", lambda h, i: F.when(i > 0, F.md5(F.concat(F.get("hashes", i - 1), h)))))
+    d = d.withColumn("ends", F.filter(F.transform("lines", lambda x, i: F.when(_ends(x, i), i)), lambda i: i.isNotNull()))
+    body = F.transform("ends", lambda e, k: F.struct(
+        F.coalesce(F.get("ends", k - 1) + 1, F.lit(0)).alias("from"), e.alias("to")))
+    d = d.withColumn("cuts", body).withColumn("cuts", F.transform("cuts", lambda c: F.struct(
+        (F.col("first") + c["from"]).alias("begin"), (F.col("first") + c["to"]).alias("end"),
+        _bytes(F.array_join(F.slice("lines", c["from"] + 1, c["to"] - c["from"] + 1), "")).alias("bytes"))))
+    d = d.select("__rid", F.col("doc_id").alias("id"), F.col("__text_hash").alias("t"), F.inline_outer("cuts"))
+    return d.withColumn("hash", F.xxhash64("bytes"))
 
 
 def removals(rows: DataFrame) -> DataFrame:
-    """(__row, __gone): positions of the chunks that go, for each document that loses any."""
-    found = rows.select("__row", F.posexplode(F.col("__chunks.hash")).alias("k", "hash")).where("hash is not null")
-    found = found.select("hash", F.struct(F.col("__row.id"), F.col("__row.t"), "k").alias("place"))
-    repeated = scratch(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "lines-repeated")
-    found = keep_listed(found, repeated, "hash")
-    texts = (rows.select("__row", F.posexplode("__chunks").alias("k", "c"))
-             .select(F.col("c.hash").alias("hash"), F.rtrim("c.text", F.lit("\n")).alias("bytes"),
-                     F.struct(F.col("__row.id"), F.col("__row.t"), "k").alias("place"))
-             .where("hash is not null"))
-    texts = keep_listed(texts, repeated, "hash")
-    groups = texts.groupBy("hash", "bytes").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    """(__rid, __compared, __gone): for each document with chunks to compare, how many they are and
+    the first and last lines of those that go."""
+    found = scratch(runs(rows), "lines-runs")
+    texts = scratch(chunks(rows, found), "lines-chunks", compression="zstd")
+    place = F.struct("id", "t", "begin")
+    groups = texts.groupBy("hash", "bytes").agg(F.min(place).alias("kept"), F.max(place).alias("other"))
     # chunks with one hash but different bytes are collisions: a handful, told apart by their bytes
-    same_hash = Window.partitionBy("hash")
-    groups = scratch(groups.withColumn("texts", F.count("*").over(same_hash))
-                     .where((F.col("texts") > 1) | ~F.col("first").eqNullSafe(F.col("last")))
-                     .select("hash", "first", "texts", F.when(F.col("texts") > 1, F.col("bytes")).alias("bytes")), "lines-groups")
-    alike = found.join(groups.where("texts = 1").select("hash", "first"), "hash")
-    clash = texts.join(groups.where("texts > 1").select("hash", "bytes", "first"), ["hash", "bytes"])
-    gone = alike.select("place", "first").unionByName(clash.select("place", "first")).where(~F.col("place").eqNullSafe(F.col("first")))
-    return gone.groupBy(F.struct(F.col("place.id").alias("id"), F.col("place.t").alias("t")).alias("__row")).agg(
-        F.collect_set("place.k").alias("__gone"))
+    groups = scratch(groups.withColumn("texts", F.count("*").over(Window.partitionBy("hash")))
+                     .where((F.col("texts") > 1) | ~F.col("kept").eqNullSafe(F.col("other")))
+                     .select("hash", "kept", F.when(F.col("texts") > 1, F.col("bytes")).alias("same")), "lines-groups")
+    alike = texts.select("__rid", "id", "t", "begin", "end", "hash").join(groups.where("same is null").drop("same"), "hash", "left")
+    clash = texts.join(groups.where("same is not null"), [texts["hash"] == groups["hash"], texts["bytes"] == groups["same"]]) \
+        .select("__rid", "id", "t", "begin", "end", texts["hash"], "kept")
+    judged = alike.unionByName(clash)
+    gone = F.col("kept").isNotNull() & ~place.eqNullSafe(F.col("kept"))
+    judged = judged.groupBy("__rid").agg(
+        F.count_distinct("begin").alias("__compared"), F.collect_set(F.when(gone, F.struct("begin", "end"))).alias("__gone"))
+    return judged
 
 
 def dedup_lines(docs: DataFrame, report: bool = True) -> DataFrame:
-    """``docs`` with repeated chunks cut from ``text``; ``report`` adds n_chunks and n_removed
+    """``docs`` with repeated chunks cut from ``text``; ``report`` adds n_chunks (compared) and n_removed
     (in place of columns of ``docs`` with these names)."""
     names = [c for c in docs.columns if not (report and c in ("n_chunks", "n_removed"))]
-    rows = scratch(chunked(docs), "lines", compression="zstd")
-    gone = removals(rows)
-    left = rows.join(gone.withColumnRenamed("__row", "__r"), F.col("__row").eqNullSafe(F.col("__r")), "left")
-    n = F.size("__chunks")
-    keep = F.array_except(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")),
-                          F.coalesce("__gone", F.array().cast("array<int>")))
-    left = left.withColumn("__keep", keep)
-    text = F.array_join(F.transform("__keep", lambda i: F.get("__chunks", i)["text"]), "")
-    out = left.withColumn("text", F.when(F.col("__chunks").isNotNull(), text))
+    rows = scratch(lined(docs), "lines", compression="zstd")
+    gone = scratch(removals(rows), "lines-gone")
+    left = rows.join(gone, "__rid", "left")
+    lost = F.flatten(F.transform("__gone", lambda g: F.sequence(g["begin"], g["end"])))
+    left = left.withColumn("__lost", F.when(F.size("__gone") > 0, lost))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__lost")
+    left = left.withColumn("__kept", F.when(F.col("__lost").isNotNull(), kept))
+    text = F.when(F.col("__lost").isNull(), F.array_join("__lines", "")).otherwise(
+        F.array_join(F.transform("__kept", lambda i: F.get("__lines", i)), ""))
+    out = left.withColumn("text", text)
     if not report:
         return out.select(*names)
-    return out.select(*names, F.greatest(n, F.lit(0)).alias("n_chunks"),
-                      F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).alias("n_removed"))
+    return out.select(*names, F.coalesce("__compared", F.lit(0)).cast("int").alias("n_chunks"),
+                      F.greatest(F.size("__gone"), F.lit(0)).alias("n_removed"))

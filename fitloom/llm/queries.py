@@ -113,23 +113,27 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 
 # Line dedup with lines and chunks as rows; the first chunk of equal bytes stays.
 OP2_SQL = r"""
-WITH p AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\n]*\n|[^\n]+')) AS para,
-    generate_subscripts(regexp_extract_all(text, '[^\n]*\n|[^\n]+'), 1) AS pn FROM documents),
-s AS (SELECT doc_id, pn, unnest(regexp_extract_all(para, '(?s).*?[.!?] |.+')) AS s, generate_subscripts(regexp_extract_all(para, '(?s).*?[.!?] |.+'), 1) AS sn,
-    len(regexp_extract_all(para, '(?s).*?[.!?] |.+')) AS parts, len(regexp_extract_all(para, '[^\x20\x09-\x0D]+')) >= 30 AS anchor FROM p),
-l AS (SELECT *, md5(rtrim(s, chr(10))) AS h, sn = parts AS last, row_number() OVER d AS i, count(*) OVER (PARTITION BY doc_id) AS n
-  FROM s WINDOW d AS (PARTITION BY doc_id ORDER BY pn, sn)),
-m AS (SELECT *, md5(CASE WHEN i = 1 OR (sn = 1 AND anchor) THEN h ELSE lag(h) OVER d || h END) AS mark FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-e AS (SELECT *, i = n OR (last AND (anchor OR lead(anchor) OVER d))
-    OR (coalesce(mark < lag(mark) OVER d AND mark < lead(mark) OVER d, false) AND NOT (anchor AND (sn = 1 OR lead(last) OVER d))) AS ends
-  FROM m WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-k AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM e),
-c AS (SELECT doc_id, chunk, string_agg(s, '' ORDER BY i) AS body, count(*) > 1 OR bool_or(anchor) AS compared FROM k GROUP BY doc_id, chunk),
-r AS (SELECT *, compared AND row_number() OVER (PARTITION BY compared, rtrim(body, chr(10)) ORDER BY doc_id, chunk) > 1 AS gone FROM c),
-g AS (SELECT doc_id, string_agg(body, '' ORDER BY chunk) FILTER (WHERE NOT gone) AS text, count(*) AS n_chunks, count(*) FILTER (WHERE gone) AS n_removed FROM r GROUP BY doc_id)
-SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(g.text, '') END AS text,
+WITH p AS (SELECT doc_id, regexp_extract_all(text, '(?s).*?(?:\n|[.!?] )|.+') AS p FROM documents),
+q AS (SELECT doc_id, flatten(list_transform(p, lambda s: CASE WHEN length(s) > 160
+  THEN regexp_extract_all(s, '(?s).{80}[^\x20\x09-\x0D]{0,40}[\x20\x09-\x0D]*|.+') ELSE [s] END)) AS q FROM p),
+l AS (SELECT doc_id, unnest(q) AS s, generate_subscripts(q, 1) AS i FROM q),
+w AS (SELECT *, rtrim(s, chr(10)) AS b, lead(rtrim(s, chr(10))) OVER d AS nb, length(s) AS c, lead(length(s)) OVER d AS nc FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT *, count(*) OVER (PARTITION BY b, nb) AS n FROM w WHERE nb IS NOT NULL),
+f AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM n WHERE n > 1),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 1 AS z FROM f GROUP BY doc_id, island HAVING sum(c) + max_by(nc, i) >= 120),
+x AS (SELECT l.*, a, md5(rtrim(s, chr(10))) AS h FROM l JOIN r ON l.doc_id = r.doc_id AND i BETWEEN a AND z),
+m AS (SELECT *, md5(lag(h) OVER d || h) AS mark FROM x WINDOW d AS (PARTITION BY doc_id, a ORDER BY i)),
+e AS (SELECT *, coalesce(mark < lag(mark) OVER d AND mark < lead(mark) OVER d AND lead(i, 2) OVER d IS NOT NULL, false) AS ends
+  FROM m WINDOW d AS (PARTITION BY doc_id, a ORDER BY i)),
+k AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id, a ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM e),
+c AS (SELECT doc_id, min(i) AS begin, max(i) AS until, rtrim(string_agg(s, '' ORDER BY i), chr(10)) AS body FROM k GROUP BY doc_id, a, chunk),
+o AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, begin) > 1 AS gone FROM c),
+g AS (SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (WHERE gone) AS n_removed FROM o GROUP BY doc_id),
+t AS (SELECT l.doc_id, string_agg(s, '' ORDER BY i) AS text FROM l LEFT JOIN o ON o.gone AND o.doc_id = l.doc_id AND i BETWEEN begin AND until
+  WHERE o.doc_id IS NULL GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(t.text, '') END AS text,
   CAST(coalesce(n_chunks, 0) AS INTEGER) AS n_chunks, CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed
-FROM documents d LEFT JOIN g USING (doc_id)"""
+FROM documents d LEFT JOIN g USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
 # Brute force over all pairs with a common shingle, then reachability.
 OP1_SQL = r"""

@@ -8,6 +8,7 @@ import zlib
 import pytest
 
 from fitloom.llm import line_dedup, pii
+from fitloom.llm.common import keep_listed
 from fitloom.llm.kd_shards import kd_shards
 from fitloom.llm.mixing import mix, mixed_documents, source_targets
 from fitloom.llm.quality_rules import fit, judge, quality_filter
@@ -166,7 +167,8 @@ def test_lines_put_together_are_the_text(spark, prose):
     from pyspark.sql import functions as F
 
     texts = prose[:100] + ["", "\n\n", "no end", "a. b! c? d\ne. f.\n", LONG]
-    out = line_dedup.chunked(docs(spark, texts)).select("doc_id", F.expr("array_join(transform(__chunks, c -> c.text), '')").alias("t")).collect()
+    texts += ["word " * 300, "日本語" * 200, "x" * 500 + " y\n\n" + "é" * 161]
+    out = line_dedup.lined(docs(spark, texts)).select("doc_id", F.array_join("__lines", "").alias("t")).collect()
     assert {r.doc_id: r.t for r in out} == dict(enumerate(texts))
 
 
@@ -200,6 +202,54 @@ def test_repeated_passages_go_and_clean_texts_stay(spark):
             assert out[i].text.split() == want.split()
 
 
+KINDS = [("\n", 5, 12), ("\n", 3, 20), ("\n", 10, 12), (" ", 4, 15), (" ", 1, 60), (" ", 10, 15), ("\n", 1, 60)]
+
+
+def test_passages_between_foreign_lines_go_whole(spark):
+    """Each kind is (separator, sentences, words of a sentence), planted between unique sentences in two or three documents."""
+    rng = random.Random(5)
+
+    def sentence(n):
+        return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(n)).capitalize() + "."
+
+    texts, want = [], []
+    for sep, n, words in KINDS:
+        for j in range(20):
+            passage = sep.join(sentence(words) for _ in range(n))
+            for copy in range(2 + j % 2):
+                before, after = (sep.join(sentence(rng.randint(5, 20)) for _ in range(5)) for _ in range(2))
+                texts.append(before + sep + passage + sep + after)
+                want.append(texts[-1] if copy == 0 else before + sep + after)
+    texts += ["", None, "The end. Of it.", "The end. Of it."]
+    want += texts[-4:]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for spread in (1, 7):
+        out = {r.doc_id: r.text for r in line_dedup.dedup_lines(table.repartition(spread), report=False).collect()}
+        assert [out[i] for i in range(len(texts))] == want
+
+
+def test_line_dedup_by_shuffle_join(spark, prose, monkeypatch):
+    """Beyond the broadcast bound the repeated windows are joined by shuffle, with the same result."""
+    texts = prose[:60] + prose[30:60] + [prose[0] + "\n" + prose[70]]
+    want = sorted(map(tuple, line_dedup.dedup_lines(docs(spark, texts)).collect()))
+    monkeypatch.setattr(line_dedup, "keep_listed", lambda df, listed, key: keep_listed(df, listed, key, broadcast_rows=0))
+    assert sorted(map(tuple, line_dedup.dedup_lines(docs(spark, texts)).collect())) == want
+    assert any(r[-1] for r in want)
+
+
+def test_line_dedup_colliding_hashes(spark, monkeypatch):
+    """Where all chunks share one hash, their bytes still tell them apart."""
+    from pyspark.sql import functions as F
+
+    a, b = ("Here is a first sentence of its own kind%d. Then comes a second one which is longer%d. And the third closes the passage%d.\n" % (i, i, i) for i in (1, 2))
+    texts = [a + b, a, b, a + "Tail."]
+    want = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    plain = line_dedup.chunks
+    monkeypatch.setattr(line_dedup, "chunks", lambda rows, found: plain(rows, found).withColumn("hash", F.lit(1).cast("long")))
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, texts)).collect()} == want
+    assert want[0] == texts[0] and want[1] == want[2] == ""
+
+
 def test_line_dedup_edges(spark):
     out = line_dedup.dedup_lines(edge_docs(spark))
     got = out.toPandas()
