@@ -35,12 +35,21 @@ PIECE = 80
 # past the white space, or past 40 further characters where there is none
 PIECES = rf"(?s).{{{PIECE}}}[^\x20\x09-\x0D]{{0,40}}{SPACE_CLASS}*|.+"
 RUN_CHARS = 120
+# a list of documents with pairs of line numbers is broadcast up to this many pairs and documents (some 32 MB)
+BROADCAST_PAIRS = 500_000
 
 
 def _bytes(line: Column) -> Column:
     return F.rtrim(line, F.lit("\n"))
 
 
+def _bounded(listed: DataFrame, pairs: str) -> DataFrame:
+    """``listed`` marked for broadcast where its rows and the elements of its arrays ``pairs`` are counted and few;
+    beyond that the join with it is a shuffle join with the same rows."""
+    n = listed.agg(F.coalesce(F.sum(F.size(pairs) + 1), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(listed) if n <= BROADCAST_PAIRS else listed
+
+
 def lined(docs: DataFrame) -> DataFrame:
     """``docs`` with the text replaced by ``__lines``, their lengths ``__chars``, the rolling hashes ``__windows``
     over each line and the next, and the row's number ``__rid``."""
@@ -86,7 +95,7 @@ def chunks(rows: DataFrame, found: DataFrame) -> DataFrame:
     """(__rid, id, t, first, last, bytes, hash): the chunks of all runs ``found``, by first and last line."""
     # the generators are outer ones (no array is empty here): of others Spark infers a filter, which it pushes
     # down with the arrays written out, each evaluated once per element of the next
-    d = rows.select("__rid", "doc_id", "__text_hash", "__lines").join(found, "__rid")
+    d = rows.select("__rid", "doc_id", "__text_hash", "__lines").join(_bounded(found, "__runs"), "__rid")
     d = d.withColumn("__runs", F.transform("__runs", lambda r: F.struct(
         r["first"].alias("first"), F.slice("__lines", r["first"] + 1, r["last"] - r["first"] + 1).alias("lines")))).drop("__lines")
     d = d.select("__rid", "doc_id", "__text_hash", F.inline_outer("__runs"))
@@ -129,7 +138,7 @@ def dedup_lines(docs: DataFrame, report: bool = True) -> DataFrame:
     names = [c for c in docs.columns if not (report and c in ("n_chunks", "n_removed"))]
     rows = scratch(lined(docs), "lines", compression="zstd")
     gone = scratch(removals(rows), "lines-gone")
-    left = rows.join(gone, "__rid", "left")
+    left = rows.join(_bounded(gone, "__gone"), "__rid", "left")
     lost = F.flatten(F.transform("__gone", lambda g: F.sequence(g["begin"], g["end"])))
     left = left.withColumn("__lost", F.when(F.size("__gone") > 0, lost))
     kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__lost")

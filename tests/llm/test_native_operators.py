@@ -229,10 +229,11 @@ def test_passages_between_foreign_lines_go_whole(spark):
 
 
 def test_line_dedup_by_shuffle_join(spark, prose, monkeypatch):
-    """Beyond the broadcast bound the repeated windows are joined by shuffle, with the same result."""
+    """Beyond the broadcast bounds the repeated windows, runs and removals are joined by shuffle, with the same result."""
     texts = prose[:60] + prose[30:60] + [prose[0] + "\n" + prose[70]]
     want = sorted(map(tuple, line_dedup.dedup_lines(docs(spark, texts)).collect()))
     monkeypatch.setattr(line_dedup, "keep_listed", lambda df, listed, key: keep_listed(df, listed, key, broadcast_rows=0))
+    monkeypatch.setattr(line_dedup, "BROADCAST_PAIRS", -1)
     assert sorted(map(tuple, line_dedup.dedup_lines(docs(spark, texts)).collect())) == want
     assert any(r[-1] for r in want)
 
