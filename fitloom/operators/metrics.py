@@ -7,7 +7,7 @@ No metric sorts or windows the row-level data in one task:
   exceeds (integer arithmetic), aggregate per grid index, and take suffix
   sums over at most grid-size rows.
 * Weight searches multiply rows by weights inside the tasks. For the AUC each
-  Arrow batch sends, per weight and score range, its distinct blends with
+  block of rows sends, per weight and score range, its distinct blends with
   their counts as packed arrays, which one task per (weight, range) merges:
   exact, without a histogram's ties and without a row per (row, weight).
 """
@@ -15,11 +15,14 @@ No metric sorts or windows the row-level data in one task:
 from __future__ import annotations
 
 import itertools
+import sys
 from collections.abc import Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fitloom.session import cut_lineage
 
 PREC = 12
 
@@ -197,40 +200,69 @@ def simplex_weights(n_members: int, steps: int = 10) -> list[tuple[int, ...]]:
     return [(first, *rest) for first in range(steps + 1) for rest in simplex_weights(n_members - 1, steps - first)]
 
 
-# Rows per score range, and weights per matrix product, of the AUC weight search.
+# Rows per score range, rows and weights per matrix product, and sampled rows per range, of the AUC weight search.
 SEARCH_RANGE_ROWS = 500_000
-SEARCH_WEIGHTS_AT_ONCE = 64
+SEARCH_BLOCK_ROWS = 250_000
+SEARCH_WEIGHTS_AT_ONCE = 8
+SEARCH_SAMPLE_PER_RANGE = 200
+
+
+def _distinct_values(values):
+    """Ascending distinct values and how often each comes (NaN: one value, the last)."""
+    import numpy as np
+
+    v = np.sort(values)
+    first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) & ~np.isnan(v[:-1])])[:len(v)])
+    return v[first], np.diff(np.concatenate([first, [len(v)]])).astype(np.int32)
+
+
+def _weight_cuts(sample, weights, ranges):
+    """Per weight at most ``ranges - 1`` ascending cuts of its own blends: they only deal the work, the result is exact with any."""
+    import numpy as np
+
+    probs = np.arange(1, ranges) / ranges
+    blends = np.round(sample @ np.asarray(weights, dtype=float).T, PREC)
+    known = [b[~np.isnan(b)] for b in blends.T]
+    return [np.unique(np.quantile(b, probs, method="lower")) if len(b) and ranges > 1 else np.zeros(0) for b in known]
 
 
 def _blend_counts(prob_cols, label, weights, cuts):
-    """mapInPandas body: per batch, weight and score range the distinct blends with positives and negatives."""
+    """mapInPandas body: per block of rows, weight and score range the distinct blends of positives and of negatives.
+
+    Copies travel only where a value comes more than once.
+    """
     import numpy as np
     import pandas as pd
 
     kmat = np.asarray(weights, dtype=float).T            # members x weights
-    edges = np.asarray(cuts, dtype=float)
+
+    def packed(values, edges):
+        v, n = _distinct_values(values)
+        at = np.concatenate([[0], np.searchsorted(v, edges, side="right"), [len(v)]])
+        parts = [slice(lo, hi) for lo, hi in itertools.pairwise(at)]
+        return [(v[p].tobytes(), n[p].tobytes() if (n[p] > 1).any() else b"") for p in parts]
+
+    def block(frames):
+        pdf = pd.concat(frames, ignore_index=True)
+        probs = pdf[list(prob_cols)].to_numpy(dtype=float)
+        positive = pdf[label].to_numpy(dtype=np.int64) == 1
+        for lo in range(0, kmat.shape[1], SEARCH_WEIGHTS_AT_ONCE):
+            blends = np.round(probs @ kmat[:, lo:lo + SEARCH_WEIGHTS_AT_ONCE], PREC)
+            rows = []
+            for j, edges in enumerate(cuts[lo:lo + SEARCH_WEIGHTS_AT_ONCE]):
+                both = zip(packed(blends[positive, j], edges), packed(blends[~positive, j], edges), strict=True)
+                rows += [(lo + j, r, *pos, *neg) for r, (pos, neg) in enumerate(both) if pos[0] or neg[0]]
+            yield pd.DataFrame(rows, columns=["w_id", "rng", "pos", "n_pos", "neg", "n_neg"])
 
     def run(batches):
+        held, rows = [], 0
         for pdf in batches:
-            if pdf.empty:
-                continue
-            probs = pdf[list(prob_cols)].to_numpy(dtype=float)
-            y = pdf[label].to_numpy(dtype=np.int64)
-            for lo in range(0, kmat.shape[1], SEARCH_WEIGHTS_AT_ONCE):
-                blends = np.round(probs @ kmat[:, lo:lo + SEARCH_WEIGHTS_AT_ONCE], PREC)
-                rows = []
-                for j in range(blends.shape[1]):
-                    order = np.argsort(blends[:, j])
-                    v = blends[order, j]
-                    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-                    v, pos = v[first], np.add.reduceat(y[order], first)
-                    n = np.diff(np.concatenate([first, [len(order)]]))
-                    at = np.concatenate([[0], np.searchsorted(v, edges, side="right"), [len(v)]])
-                    for r in np.flatnonzero(np.diff(at)):
-                        part = slice(at[r], at[r + 1])
-                        rows.append((lo + j, int(r), v[part].tobytes(), pos[part].astype(np.int32).tobytes(),
-                                     (n - pos)[part].astype(np.int32).tobytes()))
-                yield pd.DataFrame(rows, columns=["w_id", "rng", "v", "pos", "neg"])
+            held, rows = [*held, pdf], rows + len(pdf)
+            if rows >= SEARCH_BLOCK_ROWS:
+                yield from block(held)
+                held, rows = [], 0
+        if rows:
+            yield from block(held)
     return run
 
 
@@ -239,28 +271,42 @@ def _range_auc(pdf):
     import numpy as np
     import pandas as pd
 
-    v, pos, neg = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("v", float), ("pos", np.int32), ("neg", np.int32)))
-    order = np.argsort(v, kind="stable")
-    v, pos, neg = v[order], pos[order].astype(np.int64), neg[order].astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-    pos, neg = np.add.reduceat(pos, first), np.add.reduceat(neg, first)
-    won = float((pos * (np.cumsum(neg) - neg)).sum()) + float((pos * neg).sum()) / 2.0
-    return pd.DataFrame({"w_id": [pdf["w_id"].iloc[0]], "rng": [pdf["rng"].iloc[0]], "pos": [pos.sum()], "neg": [neg.sum()], "won": [won]})
+    def values(v, n):
+        found = [np.frombuffer(x, float) for x in pdf[v]]
+        copies = [np.frombuffer(c, np.int32) if c else np.ones(len(x), np.int32) for x, c in zip(found, pdf[n], strict=True)]
+        return np.concatenate(found), np.concatenate(copies).astype(np.int64)
+
+    pos, n_pos = values("pos", "n_pos")
+    neg, n_neg = values("neg", "n_neg")
+    order = np.argsort(neg)
+    neg, upto = neg[order], np.concatenate([[0], np.cumsum(n_neg[order])])
+    # lower negatives count twice, equal ones once
+    twice = (n_pos * (upto[np.searchsorted(neg, pos, "left")] + upto[np.searchsorted(neg, pos, "right")])).sum()
+    return pd.DataFrame({"w_id": [pdf["w_id"].iloc[0]], "rng": [pdf["rng"].iloc[0]], "pos": [n_pos.sum()], "neg": [upto[-1]], "won": [float(twice) / 2.0]})
 
 
 def weight_search_auc(wide: DataFrame, label: str, prob_cols: Sequence[str], weights: Sequence[Sequence[float]],
                       range_rows: int = SEARCH_RANGE_ROWS) -> DataFrame:
     """Exact AUC (ties half) of sum(w_i * p_i) for every weight vector, blends rounded to ``PREC`` decimals.
 
-    Tasks hold one Arrow batch of blends for 64 weights, or one score range of
-    one weight (about ``range_rows`` distinct blends); the ranges' counts below
-    are added up from a table of weights x ranges.
+    Tasks hold one block of rows and its blends for a few weights, or one score range of
+    one weight (about ``range_rows`` rows, however unlike the weights' blends are: every weight is cut
+    at quantiles of its own blends in a sample); the ranges' counts below
+    are added up from a table of weights x ranges. Rows without a label are left out.
     """
+    import numpy as np
+
     src = wide.select(F.col(label).cast("int").alias(label), *[F.col(c).cast("double") for c in prob_cols])
-    mean = sum((F.col(c) for c in prob_cols[1:]), F.col(prob_cols[0])) / len(prob_cols)
-    ranges = -(-src.count() // range_rows)
-    cuts = quantile_cuts(src.select(mean.alias("m")), "m", ranges) if ranges > 1 else []
-    parts = src.mapInPandas(_blend_counts(prob_cols, label, weights, cuts), "w_id int, rng int, v binary, pos binary, neg binary")
+    src = cut_lineage(src.where(F.col(label).isNotNull()))       # counted, sampled and searched
+    rows = src.count()
+    ranges = -(-rows // range_rows)
+    sample = np.zeros((0, len(prob_cols)))
+    if ranges > 1:
+        share = min(1.0, SEARCH_SAMPLE_PER_RANGE * ranges / rows)
+        sample = np.array(src.select(*prob_cols).sample(share, seed=42).collect(), float).reshape(-1, len(prob_cols))
+    cuts = _weight_cuts(sample, weights, ranges)
+    parts = src.mapInPandas(_blend_counts(prob_cols, label, weights, cuts),
+                            "w_id int, rng int, pos binary, n_pos binary, neg binary, n_neg binary")
     per = parts.groupBy("w_id", "rng").applyInPandas(_range_auc, "w_id int, rng int, pos long, neg long, won double")
     below = Window.partitionBy("w_id").orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
@@ -334,3 +380,7 @@ def rule_compliance(df: DataFrame, antecedent: Column, consequent: Column) -> Da
     out = df.agg(F.count_if(a).alias("n_applicable"), F.count_if(a & c).alias("n_valid"),
                  F.count_if(a & ~c).alias("n_violation"))
     return out.withColumn("share_valid", _r(F.try_divide(F.col("n_valid").cast("double"), F.col("n_applicable"))))
+
+
+# Functions of this module that run in tasks travel by value: executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

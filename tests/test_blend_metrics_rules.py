@@ -106,3 +106,43 @@ def test_a_score_on_the_grid_is_not_above_its_own_threshold(spark):
         assert (r.tp, r.fp) == tuple(sum(s > t and y == v for s, y in rows) for v in (1, 0)), t
     panel = {r.t_units: r.n_pos for r in Q.threshold_panel(df, "prob", [3400, 5600, 6800], 5000).collect()}
     assert panel == {t: sum(s > t / 10000 for s, _ in rows) for t in (3400, 5600, 6800)}
+
+
+def test_weight_search_merges_equal_blends_of_many_batches_before_the_shuffle():
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    frames = [pd.DataFrame(rng.integers(0, 100, (2000, 2)) / 100.0, columns=["a", "b"]).assign(label=rng.integers(0, 2, 2000)) for _ in range(20)]
+    weights = [(0.3, 0.7), (0.5, 0.5)]
+    parts = pd.concat(Q._blend_counts(["a", "b"], "label", weights, [np.zeros(0)] * 2)(iter(frames)))
+    sent = sum(len(x) for c in parts.columns if c not in ("w_id", "rng") for x in parts[c])
+    assert sent < 16 * 40_000 * 2 / 10                  # a tenth of a value and two counts per row and weight
+
+
+def test_weight_search_ranges_are_even_for_every_weight(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    # six unlike members: a blend by one of them alone reaches far beyond the mean of all
+    cols = [f"p{m}" for m in range(6)]
+    wide = spark.range(20_000).select(*[(F.pmod(F.xxhash64("id", F.lit(m)), F.lit(1_000_003)) / 1_000_003).alias(c) for m, c in enumerate(cols)],
+                                      (F.pmod(F.xxhash64("id"), F.lit(2))).cast("int").alias("label"))
+    found, real = {}, Q._blend_counts
+    monkeypatch.setattr(Q, "_blend_counts", lambda *a: found.update(cuts=a[3]) or real(*a))
+    weights = [(1, 0, 0, 0, 0, 0), (1 / 6,) * 6]
+    got = {r["w_id"]: r["auc"] for r in Q.weight_search_auc(wide, "label", cols, weights, 1000).collect()}
+    rows = np.array(wide.select(*cols, "label").collect(), float)
+    cuts = found["cuts"] if len(np.shape(found["cuts"][0])) else [found["cuts"]] * 2
+    for j, w in enumerate(weights):
+        blend = np.round(rows[:, :6] @ np.array(w), Q.PREC)
+        sizes = np.bincount(np.searchsorted(cuts[j], blend, side="left"))
+        assert sizes.max() < 2500
+        pos, neg = blend[rows[:, 6] == 1], np.sort(blend[rows[:, 6] == 0])
+        won = (np.searchsorted(neg, pos, "left") + np.searchsorted(neg, pos, "right")).sum() / 2
+        assert abs(got[j] - won / (len(pos) * len(neg))) < 1e-11
+
+
+def test_weight_search_leaves_out_rows_without_a_label(spark):
+    wide = spark.createDataFrame([(0.1, 0), (0.2, 1), (0.3, None), (0.2, 0), (0.9, 1)], "a double, label int")
+    assert [r["auc"] for r in Q.weight_search_auc(wide, "label", ["a"], [(1.0,)]).collect()] == [0.875]
