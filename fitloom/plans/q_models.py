@@ -19,13 +19,14 @@ from fitloom.operators import stack as S
 from fitloom.operators.neural_net import fit_net
 from fitloom.operators.randomized_trees import grow
 from fitloom.plans.registry import register
+from fitloom.session import keep_for_reuse
 from fitloom.sources.frames import DOC_FEATURES, SPEND_COLS, basket, documents_frame
 
 FEATS = DOC_FEATURES
 
 
 def docs(spark, sf):
-    d = documents_frame(spark, sf)
+    d = keep_for_reuse(documents_frame(spark, sf))      # every fit and score reads it: the texts are parsed once
     return d, d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
 
 

@@ -141,3 +141,12 @@ def test_vip_is_decided_after_the_state_repair(spark):
     df = df.withColumn("cat", F.lit("x")).withColumn("dest", F.lit("y"))
     out = D.rule_cascade(df, ["spend"], "state", "vip", "age", "grp", ("cat", "dest"), {"y": "x"}, "z")
     assert {r["id"]: (r["state_r"], r["vip_r"]) for r in out.collect()} == {1: (1, 0), 2: (0, 1), 3: (0, 1), 4: (1, 0)}
+
+
+def test_out_of_fold_scores_read_each_part_once_for_all_kinds(spark):
+    rows = spark.createDataFrame([(i, i % 2, float(i % 2) + (i % 5) / 3.0, i // 2 % 2) for i in range(60)], "row_id long, label int, x double, fold int")
+    o, t = S.oof_predictions(rows, rows.drop("fold"), ["lr", "rf"], ["x"], "fold", 2)
+    assert o.columns == t.columns == ["row_id", "lr", "rf"]
+    for found, parts in ((o, 2), (t, 2)):                 # a part per fold, not per fold and kind
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= parts
+        assert found.count() == 60
