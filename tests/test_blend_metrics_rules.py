@@ -143,6 +143,6 @@ def test_weight_search_ranges_are_even_for_every_weight(spark, monkeypatch):
         assert abs(got[j] - won / (len(pos) * len(neg))) < 1e-11
 
 
-def test_weight_search_leaves_out_rows_without_a_label(spark):
+def test_weight_search_counts_rows_without_a_label_as_negatives(spark):
     wide = spark.createDataFrame([(0.1, 0), (0.2, 1), (0.3, None), (0.2, 0), (0.9, 1)], "a double, label int")
-    assert [r["auc"] for r in Q.weight_search_auc(wide, "label", ["a"], [(1.0,)]).collect()] == [0.875]
+    assert [r["auc"] for r in Q.weight_search_auc(wide, "label", ["a"], [(1.0,)]).collect()] == [0.75]
