@@ -113,3 +113,10 @@ def test_a_hundred_thousand_categories_fit(spark):
 def test_sparse_one_hot_of_an_empty_table(sales):
     fitted = fit_sparse_one_hot(sales.where("id < 0"), ["kind"], ["v"])
     assert fitted.width == 1 and list(fitted.vectors(sales.where("id = 3"), ["id"]).first()["features"].indices) == [0]
+
+
+def test_multi_k_labels_read_the_written_basket(spark, sf):
+    from fitloom.plans.q_cluster import l3_multi_k
+
+    plan = l3_multi_k(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" in plan and "Join" not in plan      # the joins of the basket are not rebuilt for the labels
