@@ -120,3 +120,30 @@ def test_multi_k_labels_read_the_written_basket(spark, sf):
 
     plan = l3_multi_k(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "LogicalRDD" in plan and "Join" not in plan      # the joins of the basket are not rebuilt for the labels
+
+
+def test_squared_silhouettes_equal_the_evaluator_and_input_is_read_once(spark):
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    from fitloom.operators import cluster as L
+    from fitloom.operators.squared_silhouette import squared_silhouettes
+
+    rng = np.random.default_rng(5)
+    pts = [(float(a), float(b), int(a > 0), int(rng.integers(0, 4)) if i else 4) for i, (a, b) in enumerate(rng.normal(size=(150, 2)))]
+    pts += pts[1:30]                                            # copies; label 4 of the second clustering has one row
+    df = spark.createDataFrame(pts, "a double, b double, two int, many int").repartition(3)
+    got = squared_silhouettes(df, 2)
+    for label, value in zip(("two", "many"), got, strict=True):
+        rows = df.select(array_to_vector(F.array("a", "b")).alias("features"), F.col(label).cast("double").alias("prediction"))
+        assert abs(ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(rows) - value) < 1e-9
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    out = L.silhouette_scan(spark, df.select(counted("a").alias("a"), "b"), ["a", "b"], [2, 3]).collect()
+    assert seen.value == len(pts) and sum(r["is_best"] for r in out) == 1 and [r["k"] for r in out] == [2, 3]
