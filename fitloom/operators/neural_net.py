@@ -1,9 +1,10 @@
 """Neural net with ReLU layers, trained by mini-batch Adam on Spark.
 
-Rows are standardised, dealt to mini-batches by a hash and written once, a folder per batch, so that a step
-reads the files of its batch only. Tasks run the net forward and back over their Arrow batches and send one sum of
-gradients each (at most ``WAYS`` of them); the driver adds them up in the order of the partitions and
-makes the Adam step. What travels per step is as large as the weights, whatever the number of rows.
+Rows are standardised, dealt to mini-batches by a hash and written once as blocks of numbers, every batch in partitions
+of its own. A step is one job over the partitions of its batch and nothing else: no query is planned for it, no file
+listed. Tasks run the net forward and back over their blocks and send one sum of gradients each (at most ``WAYS`` of
+them); the driver adds them up in the order of the partitions and makes the Adam step. What travels per step is as
+large as the weights, whatever the number of rows.
 
 The loss is the log loss plus ``alpha`` / 2 times the squared weights per batch row, weights start as Glorot
 uniform draws, and training ends after ``epochs`` or when ``patience`` epochs bring no gain of ``tolerance``.
@@ -13,13 +14,12 @@ The same rows give the same weights; equal rows share a batch. NULL features cou
 from __future__ import annotations
 
 import sys
-import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import RDD, cloudpickle
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from fitloom.operators.encode import fit_standard
 from fitloom.session import checkpoint_dir
 
-WAYS = 64
+WAYS = 64           # most tasks of a step
+TASK_ROWS = 100_000     # rows of a batch in one task, until there are WAYS of them
+BLOCK = 10_000      # rows of a block
 BATCHES = 200       # most mini-batches of an epoch; larger tables have larger batches
 Layers = list[tuple[np.ndarray, np.ndarray]]
 
@@ -74,26 +76,59 @@ def shaped(values: np.ndarray, sizes: Sequence[int]) -> Layers:
     return out
 
 
-def batch_gradient(rows: DataFrame, layers: Layers, width: int) -> tuple[int, float, np.ndarray]:
-    """Rows, loss and gradient of one mini-batch: a sum per task, added up in the order of the partitions."""
+def packed(rows: DataFrame, width: int, batches: int, ways: int) -> RDD:
+    """Blocks (rows, labels, features) of the mini-batches: batch b is in the partitions b * ways to b * ways + ways - 1.
+
+    ``rows`` has the batch, the label and ``width`` features, its partitions whole batches one after the other.
+    """
+
+    def run(found: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["part", "n", "y", "x"]
+
+        def block(b: int, k: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            y, x = (np.concatenate(v) for v in zip(*held, strict=True))
+            arrays = [pa.array([b * ways + k % ways], pa.int32()), pa.array([len(y)], pa.int32()), pa.array([y.tobytes()]), pa.array([x.tobytes()])]
+            return pa.RecordBatch.from_arrays(arrays, names=names)
+
+        now, k, held, size = -1, 0, [], 0
+        for batch in found:
+            of, y, *x = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            x, y, at = np.column_stack(x).astype(float), y.astype(float), 0
+            while at < len(y):
+                if of[at] != now or size == BLOCK:                  # blocks are counted from their batch's first row
+                    if size:
+                        yield block(now, k, held)
+                    k = k + 1 if of[at] == now else 0
+                    now, held, size = of[at], [], 0
+                end = min(int(np.searchsorted(of, now, "right")), at + BLOCK - size)
+                held.append((y[at:end], x[at:end]))
+                size, at = size + end - at, end
+        if size:
+            yield block(now, k, held)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    blocks = rows.mapInArrow(run, "part int, n int, y binary, x binary").rdd
+    return blocks.map(lambda r: (r[0], (r[1], bytes(r[2]), bytes(r[3])))).partitionBy(batches * ways, int).values()
 
+
+def sum_of_gradients(blocks: RDD, parts: Sequence[int], layers: Layers, width: int) -> tuple[int, float, np.ndarray]:
+    """Rows, loss and gradient over the partitions ``parts``: a sum per task, added up in the order of the partitions."""
+
+    def run(found: Iterable[tuple[int, bytes, bytes]]) -> list[tuple[int, float, bytes]]:
         n, loss, total = 0, 0.0, 0.0
-        for batch in batches:
-            x = np.column_stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(width)])
-            y = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
-            one, gradients = loss_and_gradients(layers, x, y)
-            n, loss, total = n + len(y), loss + one, total + flat(gradients)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64()),
-                                              pa.array([loss]), pa.array([total.tobytes()])], names=["part", "n", "loss", "g"])
+        for rows, y, x in found:
+            one, gradients = loss_and_gradients(layers, np.frombuffer(x).reshape(rows, width), np.frombuffer(y))
+            n, loss, total = n + rows, loss + one, total + flat(gradients)
+        return [(n, loss, total.tobytes())] if n else []
+
+    sums = blocks.context.runJob(blocks, run, list(parts))
+    total = sum((np.frombuffer(g) for _, _, g in sums), np.zeros(len(flat(layers))))
+    return sum(n for n, _, _ in sums), sum(loss for _, loss, _ in sums), total
 
-    sums = rows.coalesce(WAYS).mapInArrow(run, "part int, n long, loss double, g binary").collect()
-    sums = sorted(sums, key=lambda r: r["part"])
-    total = sum((np.frombuffer(r["g"], np.float64) for r in sums), np.zeros(len(flat(layers))))
-    return sum(r["n"] for r in sums), sum(r["loss"] for r in sums), total
+
+def batch_gradient(rows: DataFrame, layers: Layers, width: int) -> tuple[int, float, np.ndarray]:
+    """Rows, loss and gradient of one mini-batch: the label and ``width`` features."""
+    one = packed(rows.select(F.lit(0).alias("__b"), *rows.columns).coalesce(WAYS), width, 1, 1)
+    return sum_of_gradients(one, [0], layers, width)
 
 
 class ReluNet:
@@ -136,11 +171,14 @@ def fit_net(train: DataFrame, features: Sequence[str], label: str = "label", hid
     rows = train.select(F.col(label).cast("int").alias("__y"), *[c.alias(f"__x{i}") for i, c in enumerate(scaled(features, scale))])
     n = rows.count()
     batches = min(BATCHES, max(1, -(-n // batch_rows)))
-    path = f"{checkpoint_dir(spark).rstrip('/')}/net-{uuid.uuid4().hex}"
     dealt = rows.withColumn("__b", F.pmod(F.xxhash64(F.lit(seed), *rows.columns), F.lit(batches)).cast("int"))
-    # the order within a file is fixed by the values, so that sums are the same in every run
-    dealt.repartition(batches, "__b").sortWithinPartitions("__b", *rows.columns).write.partitionBy("__b").parquet(path)
-    data = spark.read.schema(dealt.schema).parquet(path)
+    # the order within a batch is fixed by the values, so that sums are the same in every run
+    dealt = dealt.repartition(batches, "__b").sortWithinPartitions("__b", *rows.columns).select("__b", *rows.columns)
+    ways = min(WAYS, max(1, -(-n // (batches * TASK_ROWS))))
+    checkpoint_dir(spark)
+    blocks = packed(dealt, width, batches, ways)
+    blocks.checkpoint()
+    blocks.count()
     sizes = [width, *hidden, 1]
     layers = start(sizes, seed)
     first, second, steps, losses, best, idle = 0.0, 0.0, 0, [], np.inf, 0
@@ -148,7 +186,7 @@ def fit_net(train: DataFrame, features: Sequence[str], label: str = "label", hid
     for _ in range(epochs if n else 0):
         loss = 0.0
         for b in order.permutation(batches):
-            m, one, g = batch_gradient(data.where(F.col("__b") == int(b)), layers, width)
+            m, one, g = sum_of_gradients(blocks, range(int(b) * ways, (int(b) + 1) * ways), layers, width)
             if not m:
                 continue
             weights = [(alpha * w, np.zeros_like(o)) for w, o in layers]

@@ -55,3 +55,17 @@ def test_awkward_rows(spark):
     odd = spark.createDataFrame([(None, 1.0, 1), (2.0, 1.0, 0), (3.0, 1.0, None)], "a double, b double, label int")
     net = N.fit_net(odd, ["a", "b"], hidden=(4,), epochs=1)
     assert net.transform(odd).where(F.col("prediction").isNotNull()).count() == 3
+
+
+def test_every_batch_is_in_partitions_of_its_own(spark):
+    n, ways = 25_000, 2
+    df = spark.range(n).select((F.col("id") % 3 % 2).cast("int").alias("b"), (F.col("id") % 2).cast("int").alias("y"), F.col("id").cast("double").alias("x"))
+    blocks = N.packed(df.repartition(2, "b").sortWithinPartitions("b", "x"), 1, 2, ways)
+    sizes = blocks.map(lambda r: r[0]).glom().collect()
+    assert [sum(p) for p in sizes] == [10_000, 6_667, 8_333, 0] and max(max(p, default=0) for p in sizes) <= N.BLOCK
+    layers = N.start([1, 4, 1], 1)
+    for b in (0, 1):
+        rows, loss, g = N.sum_of_gradients(blocks, range(b * ways, (b + 1) * ways), layers, 1)
+        pdf = df.where(F.col("b") == b).toPandas()
+        want, gradients = N.loss_and_gradients(layers, pdf[["x"]].to_numpy(), pdf.y.to_numpy(float))
+        assert rows == len(pdf) and loss == pytest.approx(want) and np.allclose(g, N.flat(gradients))
