@@ -57,7 +57,7 @@ def o3_boosted_trees_early_stop(spark, sf):
 
 def _patient(spark, sf):
     _, tr, te = docs(spark, sf)
-    tr = N.stratified_holdout(tr, "row_id", "label", 200, out="is_valid")
+    tr = keep_for_reuse(N.stratified_holdout(tr, "row_id", "label", 200, out="is_valid"))     # a fit reads it several times
     fitted = B.fit_with_patience(tr.where("is_valid = 0"), tr.where("is_valid = 1"), FEATS, rounds=80, patience=50, maxDepth=4)
     return fitted, te
 

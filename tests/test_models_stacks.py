@@ -150,3 +150,22 @@ def test_out_of_fold_scores_read_each_part_once_for_all_kinds(spark):
     for found, parts in ((o, 2), (t, 2)):                 # a part per fold, not per fold and kind
         assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= parts
         assert found.count() == 60
+
+
+def test_text_features_remove_runs_and_count_lines_natively(spark, tmp_path):
+    import re
+
+    from fitloom.sources.frames import documents_frame
+
+    texts = [None, "", "\n", "a\n\nb\n", "AB12 é😀x-3", "😀😀", "١٢ ÀB", "  A9\r\nZ"]
+    rows = [(i, t, "en", "web") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = documents_frame(spark, str(tmp_path))
+    for r in found.collect():
+        t, n = texts[r["row_id"]], max(len(texts[r["row_id"]] or ""), 1)
+        shares = [len(re.sub(p, "", t or "")) / n for p in ("[a-zA-Z0-9 ]", "[^0-9]", "[^A-Z]")]
+        assert [r["odd_share"], r["digit_share"], r["upper_share"]] == shares
+        assert r["line_count"] == (1 if t is None else t.count("\n") + 1)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "[^0-9]+" in plan and "split(text" not in plan         # not one match per character, no array of lines
