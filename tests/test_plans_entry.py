@@ -74,3 +74,17 @@ def test_submission_read_back(spark, sf):
 
     sub = A.write_submission(average_blend(preds(spark, sf)), "row_id", "pred", A.scratch_path(spark, "test_sub"))
     assert sub.dtypes == [("id", "string"), ("pred", "boolean")]
+
+
+def test_stack_reads_written_member_scores(spark, sf, monkeypatch):
+    from fitloom.plans import flows
+
+    plans, made = [], flows.S.oof_predictions
+
+    def recorded(train, test, kinds, *rest, **kw):
+        plans.append(test._jdf.queryExecution().optimizedPlan().toString())
+        return made(train, test, kinds, *rest, **kw)
+
+    monkeypatch.setattr(flows.S, "oof_predictions", recorded)
+    flows.leakage_aware_stack(spark, sf)
+    assert len(plans) == 2 and all("RDD" in p and "UDF" not in p for p in plans)
