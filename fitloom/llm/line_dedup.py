@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fitloom.llm.common import SPACE_CLASS, keep_listed, scratch
+from fitloom.llm.common import SPACE_CLASS, keep_listed, scratch, scratch_by, shuffle_partitions
 
 LONG_LINE = 160
 PIECE = 80
@@ -45,16 +45,18 @@ def _bytes(line: Column) -> Column:
 
 def _bounded(listed: DataFrame, pairs: str) -> DataFrame:
     """``listed`` marked for broadcast where its rows and the elements of its arrays ``pairs`` are counted and few;
-    beyond that the join with it is a shuffle join with the same rows."""
+    beyond that it is shuffled to the buckets of the table of lines, with the same rows."""
     n = listed.agg(F.coalesce(F.sum(F.size(pairs) + 1), F.lit(0)).alias("n")).first()["n"]
-    return F.broadcast(listed) if n <= BROADCAST_PAIRS else listed
+    return F.broadcast(listed) if n <= BROADCAST_PAIRS else listed.hint("shuffle_hash")
 
 
 def lined(docs: DataFrame) -> DataFrame:
     """``docs`` with the text replaced by ``__lines``, their lengths ``__chars``, the rolling hashes ``__windows``
-    over each line and the next, and the row's number ``__rid``."""
+    over each line and the next, and the row's number ``__rid``, by which the rows are dealt."""
     # each array is a column of its own: referred to more than once, it is evaluated once per row
-    d = docs.withColumn("__rid", F.monotonically_increasing_id()).withColumn("__text_hash", F.xxhash64("text"))
+    # dealt before the text is cut: as one string it is smaller than its lines
+    d = docs.withColumn("__rid", F.monotonically_increasing_id()).repartition(shuffle_partitions(docs.sparkSession), "__rid")
+    d = d.withColumn("__text_hash", F.xxhash64("text"))
     d = d.withColumn("__lines", F.filter(F.split("text", r"(?<=\n|[.!?] )", -1), lambda s: s != "")).drop("text")
     long_line = F.exists("__lines", lambda s: F.length(s) > LONG_LINE)
     pieces = F.flatten(F.transform("__lines", lambda s: F.when(
@@ -69,18 +71,18 @@ def lined(docs: DataFrame) -> DataFrame:
 
 def runs(rows: DataFrame) -> DataFrame:
     """(__rid, __runs): array<struct<first, last>>, the lines of each run of repeated rolling hashes."""
-    found = rows.select("__rid", F.explode("__windows").alias("window"))
-    repeated = scratch(found.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"), "lines-windows")
-    pairs = F.transform("__windows", lambda w, i: F.struct(
-        w.alias("window"), F.get("__chars", i).alias("chars"), F.get("__chars", i + 1).alias("next")))
-    found = rows.select("__rid", F.posexplode_outer(pairs).alias("k", "p")).select("__rid", "k", "p.*")
-    found = keep_listed(found, repeated, "window")
-    # neighbouring windows have the same difference of position and rank
-    island = F.col("k") - F.row_number().over(Window.partitionBy("__rid").orderBy("k"))
-    found = found.withColumn("island", island).groupBy("__rid", "island").agg(
-        F.min("k").alias("first"), (F.max("k") + 1).alias("last"), (F.sum("chars") + F.max_by("next", "k")).alias("chars"))
-    return found.where(F.col("chars") >= RUN_CHARS).groupBy("__rid").agg(
-        F.sort_array(F.collect_list(F.struct("first", "last"))).alias("__runs"))
+    found = rows.select("__rid", F.posexplode("__windows").alias("k", "window"))
+    # the one place of a rolling hash that occurs once comes with its count: nothing is joined to find it
+    once = found.groupBy("window").agg(F.count("*").alias("n"), F.min("__rid").alias("__rid"), F.min("k").alias("k")).where("n = 1")
+    ends = rows.where(F.size("__windows") > 0).select("__rid", F.size("__windows").alias("k"), "__chars")
+    found = once.select("__rid", "k", F.lit(None).cast("array<int>").alias("__chars")).unionByName(ends)
+    found = found.groupBy("__rid").agg(F.sort_array(F.collect_list("k")).alias("ks"), F.max_by("__chars", "k").alias("__chars"))
+    # a run is what lies between a window that occurs once, or the text's start, and the next one, or the text's end
+    found = found.select("__rid", "__chars", F.transform("ks", lambda k, i: F.struct(
+        F.coalesce(F.get("ks", i - 1) + 1, F.lit(0)).alias("first"), k.alias("last"))).alias("__runs"))
+    long_enough = F.filter("__runs", lambda r: (r["last"] > r["first"]) & (F.aggregate(
+        F.slice("__chars", r["first"] + 1, r["last"] - r["first"] + 1), F.lit(0), lambda x, c: x + c) >= RUN_CHARS))
+    return found.select("__rid", long_enough.alias("__runs")).where(F.size("__runs") > 0)
 
 
 def _ends(x: Column, i: Column) -> Column:
@@ -123,8 +125,10 @@ def removals(rows: DataFrame) -> DataFrame:
                      .where((F.col("texts") > 1) | ~F.col("kept").eqNullSafe(F.col("other")))
                      .select("hash", "kept", F.when(F.col("texts") > 1, F.col("bytes")).alias("same")), "lines-groups")
     alike = texts.select("__rid", "id", "t", "begin", "end", "hash").join(groups.where("same is null").drop("same"), "hash", "left")
-    clash = texts.join(groups.where("same is not null"), [texts["hash"] == groups["hash"], texts["bytes"] == groups["same"]]) \
-        .select("__rid", "id", "t", "begin", "end", texts["hash"], "kept")
+    # few or no chunks have such a hash: only these are shuffled with their bytes
+    told = groups.where("same is not null")
+    clash = keep_listed(texts, told.select("hash").distinct(), "hash").join(
+        told.withColumnRenamed("same", "bytes"), ["hash", "bytes"]).select("__rid", "id", "t", "begin", "end", "hash", "kept")
     judged = alike.unionByName(clash)
     gone = F.col("kept").isNotNull() & ~place.eqNullSafe(F.col("kept"))
     judged = judged.groupBy("__rid").agg(
@@ -136,7 +140,7 @@ def dedup_lines(docs: DataFrame, report: bool = True) -> DataFrame:
     """``docs`` with repeated chunks cut from ``text``; ``report`` adds n_chunks (compared) and n_removed
     (in place of columns of ``docs`` with these names)."""
     names = [c for c in docs.columns if not (report and c in ("n_chunks", "n_removed"))]
-    rows = scratch(lined(docs), "lines", compression="zstd")
+    rows = scratch_by(lined(docs), "lines", "__rid")
     gone = scratch(removals(rows), "lines-gone")
     left = rows.join(_bounded(gone, "__gone"), "__rid", "left")
     lost = F.flatten(F.transform("__gone", lambda g: F.sequence(g["begin"], g["end"])))

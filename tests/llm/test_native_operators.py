@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -238,6 +239,26 @@ def test_line_dedup_by_shuffle_join(spark, prose, monkeypatch):
     assert any(r[-1] for r in want)
 
 
+def test_line_dedup_moves_texts_once(spark, prose, monkeypatch):
+    """Beyond the broadcast bounds a list of removals is shuffled to the bucketed lines, and these stay; before, both were."""
+    monkeypatch.setattr(line_dedup, "BROADCAST_PAIRS", -1)
+    plan = line_dedup.dedup_lines(docs(spark, prose[:40] + prose[20:40]))._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_line_runs_lie_between_windows_that_occur_once(spark, prose):
+    texts = prose[:30] + prose[20:30] + ["\n".join(prose[i] for i in (0, 31, 5, 32, 5))] + ["A. B. ", "A. B. ", "One.", ""]
+    rows = line_dedup.lined(docs(spark, texts)).localCheckpoint()
+    got = {r["__rid"]: [tuple(x) for x in r["__runs"]] for r in line_dedup.runs(rows).collect()}
+    lines, want = rows.select("__rid", "__windows", "__chars").collect(), {}
+    n = Counter(w for _, ws, _ in lines for w in ws or [])
+    for rid, ws, chars in lines:
+        ks = [-1, *[k for k, w in enumerate(ws or []) if n[w] == 1], len(ws or [])]
+        found = [(a + 1, z) for a, z in zip(ks, ks[1:], strict=False) if z - a > 1 and sum(chars[a + 1:z + 1]) >= line_dedup.RUN_CHARS]
+        want |= {rid: found} if found else {}
+    assert got == want and len(want) >= 20
+
+
 def test_line_dedup_colliding_hashes(spark, monkeypatch):
     """Where all chunks share one hash, their bytes still tell them apart."""
     from pyspark.sql import functions as F
