@@ -19,3 +19,12 @@ def test_scratch_tables_go_with_the_driver(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     subprocess.run([sys.executable, "-c", CODE % shared], cwd=root, check=True, timeout=240)
     assert not list(shared.rglob("numbers-*"))
+
+
+def test_bucketed_tables_go_with_the_driver(tmp_path):
+    shared = tmp_path / "shared"
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = CODE.replace("import scratch", "import scratch_by").replace('scratch(spark.range(100).toDF("n"), "numbers")',
+                                                                        'scratch_by(spark.range(100).toDF("n"), "numbers", "n")')
+    subprocess.run([sys.executable, "-c", code % shared], cwd=root, check=True, timeout=240)
+    assert not list(shared.rglob("numbers-*"))
