@@ -30,6 +30,10 @@ from pyspark.sql import functions as F
 
 from fitloom.llm.common import SPACE_CLASS, keep_listed, scratch, scratch_by, shuffle_partitions
 
+LINE_ENDS = ("\n", ". ", "! ", "? ")
+# set behind every line's end, to split there without a regex; a text that has it already is split by one
+MARK = "\x00"
+LINE_BORDER = r"(?<=[\n ])(?<=\n|[.!?] )"
 LONG_LINE = 160
 PIECE = 80
 # past the white space, or past 40 further characters where there is none
@@ -40,7 +44,10 @@ BROADCAST_PAIRS = 500_000
 
 
 def _bytes(line: Column) -> Column:
-    return F.rtrim(line, F.lit("\n"))
+    """``line`` without the newlines at its end; it is referred to more than once."""
+    # trimming walks the whole text by characters, so only what needs it is trimmed
+    return (F.when(F.endswith(line, F.lit("\n\n")), F.rtrim(line, F.lit("\n")))
+            .when(F.endswith(line, F.lit("\n")), F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line))
 
 
 def _bounded(listed: DataFrame, pairs: str) -> DataFrame:
@@ -50,6 +57,14 @@ def _bounded(listed: DataFrame, pairs: str) -> DataFrame:
     return F.broadcast(listed) if n <= BROADCAST_PAIRS else listed.hint("shuffle_hash")
 
 
+def _cut(text: Column) -> Column:
+    """The lines of ``text``, which may end with an empty one."""
+    marked = text
+    for end in LINE_ENDS:
+        marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
+    return F.when(F.contains(text, F.lit(MARK)), F.split(text, LINE_BORDER, -1)).otherwise(F.split(marked, MARK, -1))
+
+
 def lined(docs: DataFrame) -> DataFrame:
     """``docs`` with the text replaced by ``__lines``, their lengths ``__chars``, the rolling hashes ``__windows``
     over each line and the next, and the row's number ``__rid``, by which the rows are dealt."""
@@ -57,7 +72,7 @@ def lined(docs: DataFrame) -> DataFrame:
     # dealt before the text is cut: as one string it is smaller than its lines
     d = docs.withColumn("__rid", F.monotonically_increasing_id()).repartition(shuffle_partitions(docs.sparkSession), "__rid")
     d = d.withColumn("__text_hash", F.xxhash64("text"))
-    d = d.withColumn("__lines", F.filter(F.split("text", r"(?<=\n|[.!?] )", -1), lambda s: s != "")).drop("text")
+    d = d.withColumn("__lines", F.filter(_cut(F.col("text")), lambda s: s != "")).drop("text")
     long_line = F.exists("__lines", lambda s: F.length(s) > LONG_LINE)
     pieces = F.flatten(F.transform("__lines", lambda s: F.when(
         F.length(s) > LONG_LINE, F.regexp_extract_all(s, F.lit(PIECES), F.lit(0))).otherwise(F.array(s))))
@@ -108,7 +123,8 @@ def chunks(rows: DataFrame, found: DataFrame) -> DataFrame:
         F.coalesce(F.get("ends", k - 1) + 1, F.lit(0)).alias("from"), e.alias("to")))
     d = d.withColumn("cuts", body).withColumn("cuts", F.transform("cuts", lambda c: F.struct(
         (F.col("first") + c["from"]).alias("begin"), (F.col("first") + c["to"]).alias("end"),
-        _bytes(F.array_join(F.slice("lines", c["from"] + 1, c["to"] - c["from"] + 1), "")).alias("bytes"))))
+        F.array_join(F.slice("lines", c["from"] + 1, c["to"] - c["from"] + 1), "").alias("text"))))
+    d = d.withColumn("cuts", F.transform("cuts", lambda c: F.struct(c["begin"], c["end"], _bytes(c["text"]).alias("bytes"))))
     d = d.select("__rid", F.col("doc_id").alias("id"), F.col("__text_hash").alias("t"), F.inline_outer("cuts"))
     return d.withColumn("hash", F.xxhash64("bytes"))
 

@@ -173,6 +173,24 @@ def test_lines_put_together_are_the_text(spark, prose):
     assert {r.doc_id: r.t for r in out} == dict(enumerate(texts))
 
 
+def test_lines_are_cut_without_a_regex_but_where_a_text_has_the_mark(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["", "\n", "\n\n", "no end", "a. b! c? d\ne. f.\n", ". . .\n \n", "é. ü! \n\n\n", "a\x00b. c\nd! e", "\x00", "x. y\x00", LONG, None]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    cut = line_dedup._cut(F.col("text"))
+    got = d.select("id", cut.alias("cut"), F.transform(cut, line_dedup._bytes).alias("bytes"), line_dedup._bytes(F.col("text")).alias("whole"))
+    for r in got.collect():
+        want = texts[r.id] if texts[r.id] is None else re.split(r"(?<=\n)|(?<=[.!?] )", texts[r.id])
+        assert r.cut == want and r.bytes == (want and [x.rstrip("\n") for x in want])
+        assert r.whole == (want and texts[r.id].rstrip("\n"))
+    # before, every text went through one: a regex that cannot be read shows that it is not used
+    plain = spark.createDataFrame([(1, "a. b\nc")], "id int, text string")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(line_dedup, "LINE_BORDER", "(")
+        assert plain.select(line_dedup._cut(F.col("text")).alias("x")).first().x == ["a. ", "b\n", "c"]
+
+
 def test_repeated_passages_go_and_clean_texts_stay(spark):
     rng = random.Random(3)
 
