@@ -146,3 +146,21 @@ def test_weight_search_ranges_are_even_for_every_weight(spark, monkeypatch):
 def test_weight_search_counts_rows_without_a_label_as_negatives(spark):
     wide = spark.createDataFrame([(0.1, 0), (0.2, 1), (0.3, None), (0.2, 0), (0.9, 1)], "a double, label int")
     assert [r["auc"] for r in Q.weight_search_auc(wide, "label", ["a"], [(1.0,)]).collect()] == [0.75]
+
+
+def test_weight_search_takes_many_weights_in_turns(spark, monkeypatch):
+    wide = spark.createDataFrame([(i % 7 / 7, i * 5 % 11 / 11, int(i * i % 5 < 2)) for i in range(90)], "a double, b double, label int")
+    weights = [(k / 10, 1 - k / 10) for k in range(11)]
+    want = sorted(Q.weight_search_auc(wide, "label", ["a", "b"], weights).collect())
+    sent, real = [], Q._blend_counts
+    monkeypatch.setattr(Q, "SEARCH_BLENDS_AT_ONCE", 4 * 90)
+    monkeypatch.setattr(Q, "SEARCH_WEIGHTS_AT_ONCE", 2)
+    monkeypatch.setattr(Q, "_blend_counts", lambda *a: sent.append(len(a[2])) or real(*a))
+    assert sorted(Q.weight_search_auc(wide, "label", ["a", "b"], weights).collect()) == want and len(want) == 11
+    assert sent == [4, 4, 3]                               # no pass shuffles more blends than it may
+
+
+def test_fits_of_many_rows_run_one_after_the_other(spark):
+    from fitloom.operators.concurrent import fits_at_once
+
+    assert [fits_at_once(spark, n) for n in (0, 100, 4_000_000, 40_000_000)] == [4, 4, 2, 1]

@@ -88,3 +88,45 @@ def test_stack_reads_written_member_scores(spark, sf, monkeypatch):
     monkeypatch.setattr(flows.S, "oof_predictions", recorded)
     flows.leakage_aware_stack(spark, sf)
     assert len(plans) == 2 and all("RDD" in p and "UDF" not in p for p in plans)
+
+
+def test_stack_keeps_only_the_tables_that_later_steps_read(spark, sf, monkeypatch):
+    import pytest
+
+    from fitloom.plans import flows
+    from fitloom.session import checkpoint_dir
+
+    class Fitting(Exception):
+        pass
+
+    sc = spark.sparkContext
+    checkpoint_dir(spark)
+
+    def kept():
+        path = sc._jvm.org.apache.hadoop.fs.Path(sc.getCheckpointDir())
+        return {s.getPath().getName() for s in path.getFileSystem(sc._jsc.hadoopConfiguration()).listStatus(path)}
+
+    def members(train, test, kinds, feats, *rest):
+        assert not {"route", "max_category", "segment", "grp", "split"} & set(train.columns + test.columns)
+        assert train.count() and test.count()
+        raise Fitting
+
+    monkeypatch.setattr(flows.S, "oof_predictions", members)
+    before = kept()
+    with pytest.raises(Fitting):
+        flows.leakage_aware_stack(spark, sf)
+    assert len({x for x in kept() - before if x.startswith("rdd-")}) == 2        # the training and the test rows
+
+
+def test_forgotten_frames_leave_no_files(spark):
+    import os
+
+    from fitloom.session import cut_lineage, forget, shuffles_freed
+
+    with shuffles_freed(spark):
+        a = cut_lineage(spark.range(100).repartition(3))
+        b = cut_lineage(a.selectExpr("id + 1 as id"))
+    file = a._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:")
+    assert os.path.exists(file)
+    forget(a, spark.range(3).toDF("id"))
+    assert not os.path.exists(file) and b.agg({"id": "sum"}).first()[0] == 5050
