@@ -32,19 +32,26 @@ class SparseOneHot:
     def __init__(self, numeric: Sequence[str], tables: dict[str, tuple[DataFrame, int, int]], width: int):
         self.numeric, self.tables, self.width = list(numeric), tables, width
 
-    def indexed(self, df: DataFrame) -> DataFrame:
-        """``df`` with ``indices`` and ``values`` of its vectors (in place of columns of these names)."""
-        out, places = df.drop("indices", "values"), []
+    def placed(self, df: DataFrame) -> DataFrame:
+        """``df`` with the place of each category column in the vector, as ``__place0`` and so on (NULL: none)."""
+        out = df
         for i, (col, (table, first, _)) in enumerate(self.tables.items()):
             code = table.select(F.col(col), F.col("code").alias(f"__code{i}"))
             out = lookup_join(out, code, col, "left")
-            places.append(F.when(F.col(f"__code{i}") > 0, F.col(f"__code{i}") - 1 + F.lit(first)).cast("int"))
+            place = F.when(F.col(f"__code{i}") > 0, F.col(f"__code{i}") - 1 + F.lit(first)).cast("int")
+            out = out.withColumn(f"__place{i}", place).drop(f"__code{i}")
+        return out
+
+    def indexed(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``indices`` and ``values`` of its vectors (in place of columns of these names)."""
+        out = self.placed(df.drop("indices", "values"))
+        places = [F.col(f"__place{i}") for i in range(len(self.tables))]
         fixed: list[Column] = [F.lit(i) for i in range(len(self.numeric))]
         hot = F.filter(F.array(*places), lambda p: p.isNotNull()) if places else F.array().cast("array<int>")
         indices = F.concat(F.array(*fixed), hot) if fixed else hot
         values = F.concat(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.numeric]).cast("array<double>"),
                           F.array_repeat(F.lit(1.0), F.size(hot)))
-        return out.withColumns({"indices": indices, "values": values}).drop(*[f"__code{i}" for i in range(len(self.tables))])
+        return out.withColumns({"indices": indices, "values": values}).drop(*[f"__place{i}" for i in range(len(self.tables))])
 
     def vectors(self, df: DataFrame, keep: Sequence[str], out: str = "features") -> DataFrame:
         """``keep`` and the vector column ``out`` of every row of ``df``, as a written table."""

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from fitloom.functions import rowwise as RW
 from fitloom.operators import encode as J
 from fitloom.operators import folds as N
 from fitloom.operators import group_folds as NG
+from fitloom.operators.sparse_logistic import logistic_scores
 from fitloom.operators.sparse_onehot import fit_sparse_one_hot
 from fitloom.plans import sqlexpr as X
 from fitloom.plans.registry import register
@@ -180,9 +179,8 @@ def j7_sparse_one_hot(spark, sf):
 def j7_sparse_logistic(spark, sf):
     b, tr = split_frames(spark, sf)
     fitted = fit_sparse_one_hot(tr, ["planet_n", "grp"], ["age"])
-    rows = fitted.vectors(b, ["id", "split", "label"])
-    model = LogisticRegression(featuresCol="features", labelCol="label", maxIter=20, regParam=0.01, standardization=True).fit(rows.where("split = 'train'"))
-    return model.transform(rows.where("split = 'test'")).select("id", F.round(vector_to_array("probability")[1], 9).alias("prob"))
+    out = logistic_scores(fitted, tr, b.where("split = 'test'"), ["id"], max_iter=20, reg=0.01)
+    return out.select("id", F.round("prob", 9).alias("prob"))
 
 
 @register("j8_ordinal_codes", with_frames("basket", f"""
